@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("access",)
+MODULES = ("access", "cells", "region", "areas", "social")
 
 
 def load() -> tuple[dict, dict]:
