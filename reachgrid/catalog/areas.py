@@ -27,7 +27,7 @@ DRAWN = {
     ],
 }
 POINTS = DRAWN["coordinates"][0]
-DRAWN_EDGES = "select * from (values {}) t(ax, ay, bx, by)".format(
+DRAWN_EDGES = 'select * from (values {}) t(ax, ay, bx, "by")'.format(
     ", ".join(f"({a[0]}, {a[1]}, {b[0]}, {b[1]})" for a, b in zip(POINTS, POINTS[1:]))
 )
 DRAWN_IDS = f"""

@@ -142,7 +142,7 @@ def _(b):
 
 @query(
     "f17_weighted_means",
-    """with j as (select departure_time, c.muni_code, c.population as w, s.combined_score_normalized as v
+    """with j as (select t.departure_time, c.muni_code, c.population as w, s.combined_score_normalized as v
                   from cells c cross join (select distinct departure_time from comb) t
                   left join comb s on s.cell_id = c.id and s.departure_time = t.departure_time
                                   and s.combined_score_normalized > 40)

@@ -39,10 +39,10 @@ def number_scan(df: DataFrame, out: str, start: int | Column = 0, file_order: Co
     offsets = sizes.select("_file", "_block", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"))
     inside = Window.partitionBy("_file", "_block").orderBy("_pos")
     return (
-        df.withColumn("_n", F.row_number().over(inside))
+        df.withColumn("_within", F.row_number().over(inside))
         .join(offsets, ["_file", "_block"])
-        .withColumn(out, (start + F.col("_offset") + F.col("_n")).cast("bigint"))
-        .drop("_rank", "_offset", "_n", *SCAN)
+        .withColumn(out, (start + F.col("_offset") + F.col("_within")).cast("bigint"))
+        .drop("_rank", "_offset", "_within", *SCAN)
     )
 
 

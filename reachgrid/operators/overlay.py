@@ -106,9 +106,9 @@ def _pieces(boxes: DataFrame, cells: DataFrame, key: str, tile: float) -> DataFr
     ).where("xl < xr")
 
 
-def _columns(edges: DataFrame, key: str, tile: float) -> DataFrame:
-    """Non-vertical edges filed under every tile column they cross."""
-    return edges.where("ax <> bx").select(
+def _columns(edges: DataFrame, key: str, tile: float, upright: bool = False) -> DataFrame:
+    """Edges filed under every tile column they cross; vertical ones only on request."""
+    return (edges if upright else edges.where("ax <> bx")).select(
         key, "ax", "ay", "bx", "by", tile_span(F.least("ax", "bx"), F.greatest("ax", "bx"), tile).alias("_tx")
     )
 
@@ -160,10 +160,12 @@ def masked_area(pieces: DataFrame, edges: DataFrame, mask_edges: DataFrame, tile
         .select(*piece, "mask_id", "xl", "xr", "y0", "y1")
     )
     segments = (
-        mask_hits.join(_columns(mask_edges, "mask_id", tile), ["mask_id", "_tx"])
+        mask_hits.join(_columns(mask_edges, "mask_id", tile, True), ["mask_id", "_tx"])
         .withColumn("kind", F.lit(1))
         .drop("mask_id")
-        .unionByName(columns.join(_columns(edges, "source_id", tile), ["source_id", "_tx"]).withColumn("kind", F.lit(0)))
+        .unionByName(
+            columns.join(_columns(edges, "source_id", tile, True), ["source_id", "_tx"]).withColumn("kind", F.lit(0))
+        )
         .where("greatest(ax, bx) > xl and least(ax, bx) < xr and least(ay, by) < y1")
     )
     in_band = F.greatest("ay", "by") > F.col("y0")
@@ -188,21 +190,21 @@ def masked_area(pieces: DataFrame, edges: DataFrame, mask_edges: DataFrame, tile
             F.greatest("sl", F.least("ax", "bx")).alias("xa"),
             F.least("sr", F.greatest("ax", "bx")).alias("xb"),
         )
-        .where("xa < xb")
+        .where("xa < xb or (ax = bx and xa = xb)")
         .select(
             *group, "sl", "sr", "y0", "y1", "kind", "xa", "xb",
-            _y_at(F.col("xa")).alias("ya"),
-            _y_at(F.col("xb")).alias("yb"),
+            F.when(F.col("ax") == F.col("bx"), F.col("ay")).otherwise(_y_at(F.col("xa"))).alias("ya"),
+            F.when(F.col("ax") == F.col("bx"), F.col("by")).otherwise(_y_at(F.col("xb"))).alias("yb"),
             F.when(F.col("ax") < F.col("bx"), 1).otherwise(-1).alias("dir"),
         )
     )
     slabs = _slabs(clipped, group)
     xm = (F.col("left") + F.col("right")) / 2
-    y = F.col("ya") + (F.col("yb") - F.col("ya")) * (xm - F.col("xa")) / (F.col("xb") - F.col("xa"))
+    y = F.col("ya") + F.try_divide((F.col("yb") - F.col("ya")) * (xm - F.col("xa")), F.col("xb") - F.col("xa"))
     swept = (
         slabs.join(clipped.drop("sl", "sr"), group)
         .where((F.col("xa") <= xm) & (F.col("xb") > xm))
-        .select(*group, "left", "right", "kind", "dir", F.least(F.greatest(y, F.col("y0")), F.col("y1")).alias("y"))
+        .select(*group, "left", "right", "y1", "kind", "dir", F.least(F.greatest(y, F.col("y0")), F.col("y1")).alias("y"))
     )
     upward = Window.partitionBy(*group, "left").orderBy("y")
     so_far = upward.rowsBetween(Window.unboundedPreceding, 0)
@@ -211,7 +213,7 @@ def masked_area(pieces: DataFrame, edges: DataFrame, mask_edges: DataFrame, tile
         "id",
         F.sum(F.when(F.col("kind") == 0, F.col("dir")).otherwise(0)).over(so_far).alias("in_source"),
         F.sum(F.when(F.col("kind") == 1, F.col("dir")).otherwise(0)).over(so_far).alias("in_mask"),
-        ((F.lead("y").over(upward) - F.col("y")) * (F.col("right") - F.col("left"))).alias("gap"),
+        ((F.coalesce(F.lead("y").over(upward), F.col("y1")) - F.col("y")) * (F.col("right") - F.col("left"))).alias("gap"),
     )
     return (
         covered.where("in_source > 0 and in_mask > 0 and gap > 0").groupBy("source_id", "id").agg(F.sum("gap").alias("overlap"))
@@ -219,7 +221,8 @@ def masked_area(pieces: DataFrame, edges: DataFrame, mask_edges: DataFrame, tile
 
 
 def _slabs(clipped: DataFrame, group: list[str]) -> DataFrame:
-    rise = (F.col("yb") - F.col("ya")) / (F.col("xb") - F.col("xa"))
+    # A vertical edge only says where to cut; it has no slope.
+    rise = F.when(F.col("xb") > F.col("xa"), (F.col("yb") - F.col("ya")) / (F.col("xb") - F.col("xa")))
     sloped = clipped.withColumn("m", rise)
 
     def leaves(level: str) -> Column:
@@ -227,7 +230,7 @@ def _slabs(clipped: DataFrame, group: list[str]) -> DataFrame:
         return F.when(inside, F.col("xa") + (F.col(level) - F.col("ya")) / F.col("m"))
 
     # An edge wholly above or below the piece only adds to the cover count, so
-    # its ends need no cut.
+    # its ends need no cut: a change inside the piece shows on the edge there.
     near = (F.greatest("ya", "yb") > F.col("y0")) & (F.least("ya", "yb") < F.col("y1"))
     own = [F.when(near, F.col(c)) for c in ("xa", "xb")]
     ends = sloped.select(*group, F.explode(F.array("sl", "sr", *own, leaves("y0"), leaves("y1"))).alias("x"))
@@ -235,7 +238,8 @@ def _slabs(clipped: DataFrame, group: list[str]) -> DataFrame:
     # within one strip, whose edge count the strip width holds down.
     band = sloped.where("greatest(ya, yb) > y0 and least(ya, yb) < y1").select(*group, "xa", "xb", "ya", "yb", "m")
     other = band.select(*group, *[F.col(c).alias(f"o_{c}") for c in ("xa", "xb", "ya", "yb", "m")])
-    x = F.col("xa") + ((F.col("o_ya") + F.col("o_m") * (F.col("xa") - F.col("o_xa"))) - F.col("ya")) / (F.col("m") - F.col("o_m"))
+    above = F.col("o_ya") + F.col("o_m") * (F.col("xa") - F.col("o_xa")) - F.col("ya")
+    x = F.col("xa") + F.try_divide(above, F.col("m") - F.col("o_m"))
     crossings = (
         band.join(other, group)
         .where("m > o_m and xa < o_xb and o_xa < xb")
