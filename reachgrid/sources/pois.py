@@ -14,14 +14,17 @@ from reachgrid.sources.lines import first_matching, read_lines
 BOX = (-3.5, -2.3, 42.9, 43.5)
 UNIFIED = ("poi", "nombre", "longitud", "latitud")
 PER_TYPE = ("name", "lon", "lat")
-MAX_COLUMNS = 64
 
 
 def csv_cells(line: Column) -> Column:
-    """Cells of one CSV line as an array; missing and empty cells are null."""
-    names = [f"c{i}" for i in range(MAX_COLUMNS)]
-    row = F.from_csv(line, ", ".join(f"{n} string" for n in names), {"quote": '"', "escape": '"'})
-    return F.array(*[row[n] for n in names])
+    """Cells of one CSV line; commas inside quotes do not split, doubled quotes become one."""
+    outside_quotes = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+
+    def plain(c: Column) -> Column:
+        inner = F.regexp_extract(c, r'(?s)^\s*"(.*)"\s*$', 1)
+        return F.when(c.rlike(r'(?s)^\s*".*"\s*$'), F.replace(inner, F.lit('""'), F.lit('"'))).otherwise(c)
+
+    return F.transform(F.split(line, outside_quotes), plain)
 
 
 def read_pois(ws, path: str) -> DataFrame:
@@ -108,13 +111,13 @@ def import_pois(
         good = good.join(last, ["code", "_file"], "left_semi")
     new = good.join(types.select(F.col("id").alias("type_id"), "code"), "code").select(
         F.lit(ws.tenant).alias("tenant_id"), "type_id", "name", "weight", F.lit("{}").alias("metadata"), "lon", "lat",
-        "_file", "_block", "_pos",
+        F.col("_file").alias("from_file"), F.col("_block").alias("from_block"), F.col("_pos").alias("from_pos"),
     )
     existing = ws.table("destinations", required=False).select(*columns("destinations"))
     if clear_existing:
         seen = rows.select("code").distinct().join(types.select(F.col("id").alias("type_id"), "code"), "code")
         existing = replace_types(existing, seen)
-    order = [F.col("_file"), F.col("_block"), F.col("_pos")]
+    order = [F.col("from_file"), F.col("from_block"), F.col("from_pos")]
     return append_with_ids(existing, new, order), types, rejected
 
 
