@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from reachgrid.catalog.registry import query
 from reachgrid.functions.scoring import concave, impedance
 from reachgrid.operators import scoring as op
-from reachgrid.params import DEFAULT_ALPHA, ScoreParams
+from reachgrid.params import ScoreParams
 from reachgrid.plans.jobs import score_frames
 from reachgrid.sources import od as od_source
 
@@ -59,10 +59,8 @@ def _(b):
     modes = b.raw("lineitem").select(F.when(F.col("l_returnflag") == "R", "TRANSIT").otherwise("OTHER").alias("mode")).distinct()
     purposes = b.workspace().table("destination_types").select(F.col("code").alias("purpose"))
     pairs = modes.select("mode", F.lit(1).alias("k")).join(purposes.select("purpose", F.lit(1).alias("k")), "k")
-    alphas = F.broadcast(PARAMS.alpha_frame(b.spark))
-    return pairs.join(alphas, ["mode", "purpose"], "left").select(
-        F.col("mode").alias("case_mode"), "purpose", F.coalesce("alpha", F.lit(DEFAULT_ALPHA)).alias("alpha")
-    )
+    alpha = PARAMS.alpha_of(F.col("mode"), F.col("purpose"))
+    return pairs.select(F.col("mode").alias("case_mode"), "purpose", alpha.alias("alpha"))
 
 
 @query(
@@ -159,13 +157,14 @@ def _(b):
     "combined_score combined_score_normalized",
 )
 def _(b):
-    scores = op.minmax(op.gravity(rows_of(b), PARAMS), "score", op.STRATUM, "score_normalized")
-    return op.combine(scores, PARAMS)
+    scores = op.gravity(rows_of(b), PARAMS)
+    strata = op.rescaled_weights(op.extremes(scores, "score", op.STRATUM), PARAMS)
+    return op.combine(op.normalised(scores, strata))
 
 
 @query("a04_nearest", "select * from near", "min_travel_time_minutes")
 def _(b):
-    return op.nearest(rows_of(b))
+    return op.nearest(rows_of(b), PARAMS.max_minutes)
 
 
 @query(
@@ -177,7 +176,7 @@ def _(b):
     "score score_normalized min_travel_time_minutes combined_score combined_score_normalized",
 )
 def _(b):
-    out = {k: v.drop("tenant_id", "weights") for k, v in score_frames(b.workspace(), PARAMS).items()}
+    out = {k: v.drop("tenant_id", "weights") for k, v in score_frames(b.workspace(), PARAMS, store=True).items()}
     return (
         out["connectivity_scores"]
         .join(out["min_travel_times"], op.GROUP)

@@ -6,6 +6,7 @@ oracle builds everything else by itself; Spark uses the library.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -93,6 +94,12 @@ FX: dict[str, str] = {
 }
 
 
+@cache
+def _read(spark: SparkSession, app: str, path: str) -> DataFrame:
+    """A table's scan; the schema is looked up once per application."""
+    return spark.read.parquet(path)
+
+
 class Bound:
     """The bindings over one folder of driver tables."""
 
@@ -100,7 +107,7 @@ class Bound:
         self.spark, self.folder = spark, folder
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return _read(self.spark, self.spark.sparkContext.applicationId, f"{self.folder}/{name}.parquet")
 
     def fx(self, name: str) -> DataFrame:
         """One binding; the statement's tables are passed in, no view is left behind."""
@@ -110,50 +117,72 @@ class Bound:
             text = text.replace(f"from {t}", f"from {{{t}}}").replace(f"join {t}", f"join {{{t}}}")
         return self.spark.sql(text, **used)
 
-    def inputs(self) -> dict[str, DataFrame]:
-        """Everything but the scores, lazily from the driver tables."""
-        tenant = F.lit(TENANT).alias("tenant_id")
-        lon, lat = pseudo_degrees()
+    def inputs(self) -> dict[str, Callable[[], DataFrame]]:
+        """Everything but the scores, made from the driver tables when asked for."""
+        made = (
+            self.grid_cells, self.destinations, self.destination_types, self.travel_times, self.municipalities, self.comarcas,
+            self.municipalities_edges, self.comarcas_edges, self.municipality_demographics, self.municipality_income,
+            self.municipality_car_ownership,
+        )
+        return {m.__name__: m for m in made}
+
+    def grid_cells(self) -> DataFrame:
         cells = self.fx("fx_grid_cells").withColumns({"x": F.col("x0") + 125, "y": F.col("y0") + 125})
-        munis = self.fx("fx_municipalities")
-        edges = self.fx("fx_area_edges").withColumn("code", F.col("area_id").cast("string"))
-        comarca = edges.join(munis.select(F.col("muni_key").alias("area_id"), "comarca_key"), "area_id")
-        code = F.col("muni_key").cast("string").alias("muni_code")
-        share = lambda c: (F.col(c) / F.col("pop_total") * 100.0).alias(c.replace("pop", "pct"))
+        return cells.select(
+            "id", tenant(), "cell_code", "x0", "y0", F.lit(250.0).alias("size"), *pseudo_degrees(), "population",
+            F.col("muni_key").cast("string").alias("muni_code"),
+        )
+
+    def destinations(self) -> DataFrame:
+        return self.fx("fx_destinations").select(
+            "id", tenant(), "type_id", "name", "weight", F.lit("{}").alias("metadata"), *pseudo_degrees(), "x", "y"
+        )
+
+    def destination_types(self) -> DataFrame:
+        kinds = self.raw("nation").select((F.col("n_nationkey") % 10).alias("k")).distinct()
+        return kinds.select(
+            (F.col("k") + 1).cast("int").alias("id"), purpose_code().alias("code"),
+            F.when(F.col("k") < 8, F.upper(purpose_code())).alias("label"), F.lit("").alias("description"),
+        )
+
+    def travel_times(self) -> DataFrame:
+        return self.fx("fx_travel_times").select(
+            tenant(), "origin_cell_id", "destination_id", "mode", "travel_time_minutes", "departure_time"
+        )
+
+    def municipalities(self) -> DataFrame:
+        return self.fx("fx_municipalities").select(F.col("muni_key").alias("id"), tenant(), muni_code(), "name")
+
+    def comarcas(self) -> DataFrame:
+        return self.raw("region").select(
+            F.col("r_regionkey").cast("bigint").alias("id"), tenant(),
+            F.col("r_regionkey").cast("string").alias("comarca_code"), F.col("r_name").alias("name"),
+        )
+
+    def municipalities_edges(self) -> DataFrame:
+        return self.fx("fx_area_edges").select(F.col("area_id").cast("string").alias("code"), "ax", "ay", "bx", "by")
+
+    def comarcas_edges(self) -> DataFrame:
+        owner = self.fx("fx_municipalities").select(F.col("muni_key").alias("area_id"), "comarca_key")
+        joined = self.fx("fx_area_edges").join(owner, "area_id")
+        return joined.select(F.col("comarca_key").cast("string").alias("code"), "ax", "ay", "bx", "by")
+
+    def municipality_demographics(self) -> DataFrame:
+        share = {c: (F.col(c) / F.col("pop_total") * 100.0).alias(c.replace("pop", "pct")) for c in ("pop_0_17", "pop_18_25", "pop_65_plus")}
+        rest = F.col("pop_total") - F.col("pop_0_17") - F.col("pop_18_25") - F.col("pop_65_plus")
+        return self.fx("fx_demographics").select(
+            muni_code(), "year", "pop_total", "pop_0_17", "pop_18_25", rest.alias("pop_26_64"), "pop_65_plus", *share.values()
+        )
+
+    def municipality_income(self) -> DataFrame:
         mean = F.col("renta_total").cast("double") / F.col("n")
-        return {
-            "grid_cells": cells.select(
-                "id", tenant, "cell_code", "x0", "y0", F.lit(250.0).alias("size"), lon, lat, "population",
-                F.col("muni_key").cast("string").alias("muni_code"),
-            ),
-            "destinations": self.fx("fx_destinations").select(
-                "id", tenant, "type_id", "name", "weight", F.lit("{}").alias("metadata"), lon, lat, "x", "y"
-            ),
-            "destination_types": self.raw("nation").groupBy((F.col("n_nationkey") % 10).alias("k")).agg(F.count("*")).select(
-                (F.col("k") + 1).cast("int").alias("id"), purpose_code().alias("code"),
-                F.when(F.col("k") < 8, F.upper(purpose_code())).alias("label"), F.lit("").alias("description"),
-            ),
-            "travel_times": self.fx("fx_travel_times").select(
-                tenant, "origin_cell_id", "destination_id", "mode", "travel_time_minutes", "departure_time"
-            ),
-            "municipalities": munis.select(F.col("muni_key").alias("id"), tenant, code, "name"),
-            "comarcas": self.raw("region").select(
-                F.col("r_regionkey").cast("bigint").alias("id"), tenant,
-                F.col("r_regionkey").cast("string").alias("comarca_code"), F.col("r_name").alias("name"),
-            ),
-            "municipalities_edges": edges.select("code", "ax", "ay", "bx", "by"),
-            "comarcas_edges": comarca.select(F.col("comarca_key").cast("string").alias("code"), "ax", "ay", "bx", "by"),
-            "municipality_demographics": self.fx("fx_demographics").select(
-                code, "year", "pop_total", "pop_0_17", "pop_18_25",
-                (F.col("pop_total") - F.col("pop_0_17") - F.col("pop_18_25") - F.col("pop_65_plus")).alias("pop_26_64"),
-                "pop_65_plus", share("pop_0_17"), share("pop_18_25"), share("pop_65_plus"),
-            ),
-            "municipality_income": self.fx("fx_income").select(
-                code, "year", mean.alias("renta_personal_media"), (mean * 0.5).alias("renta_disponible_media"),
-                (mean / 1000.0).alias("renta_index"),
-            ),
-            "municipality_car_ownership": self.fx("fx_cars").select(code, "year", "vehicles_per_inhab"),
-        }
+        return self.fx("fx_income").select(
+            muni_code(), "year", mean.alias("renta_personal_media"), (mean * 0.5).alias("renta_disponible_media"),
+            (mean / 1000.0).alias("renta_index"),
+        )
+
+    def municipality_car_ownership(self) -> DataFrame:
+        return self.fx("fx_cars").select(muni_code(), "year", "vehicles_per_inhab")
 
     def workspace(self) -> Workspace:
         """Inputs only: scores are not stored, nothing is read before the query runs."""
@@ -177,6 +206,14 @@ def _scored(spark: SparkSession, app: str, folder: str) -> Workspace:
     return Workspace(spark, None, TENANT, frames)
 
 
+def tenant():
+    return F.lit(TENANT).alias("tenant_id")
+
+
+def muni_code():
+    return F.col("muni_key").cast("string").alias("muni_code")
+
+
 def purpose_code():
     """Purpose code of type number k (0-9)."""
     names = F.array(*[F.lit(p) for p in PURPOSES])

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from reachgrid.operators.sizes import if_small
+
 TILE_M = 2000.0
 
 
@@ -60,7 +62,7 @@ def contains(points: DataFrame, edges: DataFrame, key: str = "area_id", tile: fl
         .select("*", tile_span(F.least("ay", "by"), F.greatest("ay", "by"), tile).alias("_ty"))
     )
     placed = points.select("id", "x", "y", tile_of(F.col("x"), tile).alias("_tx"), tile_of(F.col("y"), tile).alias("_ty"))
-    met = placed.join(filed, ["_tx", "_ty"]).where(F.col("x") >= F.col("_left"))
+    met = placed.join(if_small(filed), ["_tx", "_ty"]).where(F.col("x") >= F.col("_left"))
     tested = met.select("id", key, crosses().alias("cross"), on_edge().alias("on"))
     return (
         tested.where("cross or on")

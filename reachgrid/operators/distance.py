@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from reachgrid.functions.geo import haversine_km
+from reachgrid.operators.sizes import if_small
 
 # Speed, wait, reach and cut-off of the distance model, and the
 # time-of-day factors (hours from, to, speed factor, wait factor).
@@ -33,7 +34,7 @@ def near_pairs(cells: DataFrame, dests: DataFrame, reach: float, x: str = "x", y
         *[f"d_{c}" for c in dests.columns], (F.col("_cx") + F.col("_i")).alias("_tx"), (F.col("_cy") + F.col("_j")).alias("_ty")
     )
     apart = F.sqrt(F.pow(F.col(x) - F.col(f"d_{x}"), 2) + F.pow(F.col(y) - F.col(f"d_{y}"), 2))
-    return a.join(b, ["_tx", "_ty"]).withColumn("metres", apart).where(F.col("metres") <= reach).drop("_tx", "_ty")
+    return a.join(if_small(b), ["_tx", "_ty"]).withColumn("metres", apart).where(F.col("metres") <= reach).drop("_tx", "_ty")
 
 
 def _tile(x: str, y: str, side: float, tx: str, ty: str) -> list[Column]:

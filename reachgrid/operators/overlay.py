@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reachgrid.operators.contain import bounds_of, tile_of, tile_span
+from reachgrid.operators.sizes import if_small
 
 TILE_M = 1000.0
 STRIP_EDGES = 32
@@ -21,7 +22,7 @@ def shares(sources: DataFrame, edges: DataFrame, cells: DataFrame, tile: float =
     *cells* id, x0, y0, x1, y1.
     """
     pieces = _pieces(bounds_of(edges, "source_id"), cells, "source_id", tile)
-    met = pieces.join(_columns(edges, "source_id", tile), ["source_id", "_tx"])
+    met = pieces.join(if_small(_columns(edges, "source_id", tile)), ["source_id", "_tx"])
     xa, xb = F.greatest("xl", F.least("ax", "bx")), F.least("xr", F.greatest("ax", "bx"))
     met = met.select("source_id", "id", "y0", "y1", "ax", "ay", "bx", "by", xa.alias("xa"), xb.alias("xb")).where("xa < xb")
     sign = F.when(F.col("ax") > F.col("bx"), 1.0).otherwise(-1.0)
@@ -88,7 +89,7 @@ def _pieces(boxes: DataFrame, cells: DataFrame, key: str, tile: float) -> DataFr
     cut = cells.select("id", "x0", "y0", "x1", "y1", tile_span(F.col("x0"), F.col("x1"), tile).alias("_tx")).select(
         "*", tile_span(F.col("y0"), F.col("y1"), tile).alias("_ty")
     )
-    met = cut.join(filed, ["_tx", "_ty"]).where(
+    met = cut.join(if_small(filed), ["_tx", "_ty"]).where(
         (F.col("x0") < F.col("xmax"))
         & (F.col("x1") > F.col("xmin"))
         & (F.col("y0") < F.col("ymax"))

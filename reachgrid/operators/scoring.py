@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reachgrid.functions.scoring import concave, impedance, scaled
-from reachgrid.params import DEFAULT_ALPHA, ScoreParams
+from reachgrid.operators.sizes import if_small
+from reachgrid.params import ScoreParams
 
 GROUP = ["departure_time", "cell_id", "mode", "purpose"]
 STRATUM = ["departure_time", "mode", "purpose"]
@@ -17,17 +18,15 @@ STRATUM = ["departure_time", "mode", "purpose"]
 
 def typed_destinations(destinations: DataFrame, types: DataFrame, params: ScoreParams) -> DataFrame:
     """(destination_id, purpose, weight) of every destination whose type has a purpose."""
-    coded = destinations.join(types.select(F.col("id").alias("type_id"), F.col("code").alias("type_code")), "type_id")
-    purposes = F.broadcast(params.purpose_frame(destinations.sparkSession))
-    return coded.join(purposes, "type_code").select(
+    purposes = types.select(F.col("id").alias("type_id"), params.purpose_of(F.col("code")).alias("purpose"))
+    return destinations.join(purposes.where("purpose is not null"), "type_id").select(
         F.col("id").alias("destination_id"), "purpose", F.col("weight").cast("double")
     )
 
 
 def unmapped_types(od: DataFrame, destinations: DataFrame, types: DataFrame, params: ScoreParams) -> DataFrame:
     """Destination types without a purpose and the OD rows they drop."""
-    purposes = F.broadcast(params.purpose_frame(od.sparkSession))
-    loose = types.join(purposes, types.code == purposes.type_code, "left_anti")
+    loose = types.where(params.purpose_of(F.col("code")).isNull())
     ids = destinations.join(loose.select(F.col("id").alias("type_id"), "code"), "type_id")
     # Rows per destination first: the join then sees one row per destination.
     per_dest = within(od, params).groupBy("destination_id").agg(F.count("*").alias("n"))
@@ -61,16 +60,15 @@ def reached(
 ) -> DataFrame:
     """OD rows with purpose and contribution.
 
-    The destination side is joined without a hint: Catalyst broadcasts it when
-    its size allows, and otherwise AQE splits a destination that dominates.
+    The destinations are broadcast when they are few enough, so the travel
+    times are not shuffled before they are summed; otherwise AQE splits a
+    destination that dominates.
     """
-    spark = od.sparkSession
-    dest = typed_destinations(destinations, types, params)
-    alphas = F.broadcast(params.alpha_frame(spark))
+    dest = if_small(typed_destinations(destinations, types, params))
+    minutes, mode, purpose = F.col("travel_time_minutes"), F.col("mode"), F.col("purpose")
     return (
         within(od, params, slots, cells)
         .join(dest, "destination_id")
-        .join(alphas, ["mode", "purpose"], "left")
         .select(
             "departure_time",
             F.col("origin_cell_id").alias("cell_id"),
@@ -78,10 +76,7 @@ def reached(
             "purpose",
             "destination_id",
             "travel_time_minutes",
-            (
-                F.col("weight")
-                * impedance(F.col("travel_time_minutes"), F.coalesce(F.col("alpha"), F.lit(DEFAULT_ALPHA)))
-            ).alias("contribution"),
+            (F.col("weight") * impedance(minutes, params.alpha_of(mode, purpose))).alias("contribution"),
         )
     )
 
@@ -92,26 +87,40 @@ def gravity(rows: DataFrame, params: ScoreParams) -> DataFrame:
     return raw.withColumn("score", concave(F.col("raw_score"), params.beta))
 
 
-def nearest(rows: DataFrame) -> DataFrame:
+def nearest(rows: DataFrame, max_minutes: float) -> DataFrame:
     """Fewest minutes and the destination that gives them; ties go to the smallest id."""
-    best = F.min(F.struct("travel_time_minutes", "destination_id")).alias("best")
-    return rows.groupBy(*GROUP).agg(best).select(*GROUP, *_best())
+    out = rows.groupBy(*GROUP).agg(*_closest(max_minutes))
+    return out.select(*GROUP, *_unpacked())
 
 
 def gravity_and_nearest(rows: DataFrame, params: ScoreParams) -> DataFrame:
     """Both measures in one pass and one shuffle."""
-    out = rows.groupBy(*GROUP).agg(
-        F.sum("contribution").alias("raw_score"),
-        F.min(F.struct("travel_time_minutes", "destination_id")).alias("best"),
-    )
-    return out.select(*GROUP, "raw_score", concave(F.col("raw_score"), params.beta).alias("score"), *_best())
+    out = rows.groupBy(*GROUP).agg(F.sum("contribution").alias("raw_score"), *_closest(params.max_minutes))
+    return out.select(*GROUP, "raw_score", concave(F.col("raw_score"), params.beta).alias("score"), *_unpacked())
+
+
+ID_SPAN = "100000000000000000000"
+ID_SHIFT = "9223372036854775808"
+
+
+def _closest(max_minutes: float) -> list[Column]:
+    """Aggregates for the minimum and its smallest id, as plain numbers.
+
+    A minimum over a struct would make Spark sort all rows. One decimal that
+    holds minutes in front and the id behind keeps the hash aggregation; minutes
+    closer than 1e-15 (for a cut-off below 1000) count as a tie.
+    """
+    digits = 18 - len(str(int(max_minutes)))
+    front = (F.col("travel_time_minutes") * F.lit(float(10**digits))).cast("decimal(18,0)")
+    span, shift = (F.lit(v).cast(f"decimal({n},0)") for v, n in ((ID_SPAN, 21), (ID_SHIFT, 19)))
+    packed = front * span + (F.col("destination_id").cast("decimal(19,0)") + shift)
+    return [F.min("travel_time_minutes").alias("min_travel_time_minutes"), F.min(packed).alias("packed")]
 
 
-def _best() -> list:
-    return [
-        F.col("best.travel_time_minutes").alias("min_travel_time_minutes"),
-        F.col("best.destination_id").alias("nearest_destination_id"),
-    ]
+def _unpacked() -> list:
+    span, shift = (F.lit(v).cast(f"decimal({n},0)") for v, n in ((ID_SPAN, 21), (ID_SHIFT, 19)))
+    nearest_id = (F.col("packed") % span - shift).cast("bigint")
+    return ["min_travel_time_minutes", nearest_id.alias("nearest_destination_id")]
 
 
 def extremes(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
@@ -134,30 +143,30 @@ def minmax(df: DataFrame, value: str, keys: list[str], out: str) -> DataFrame:
 
 
 def rescaled_weights(strata: DataFrame, params: ScoreParams) -> DataFrame:
-    """Weights rescaled to sum to 1 per (slot, mode) over the purposes present.
+    """Weights ``w`` rescaled to sum to 1 per (slot, mode) over the purposes present.
 
-    *strata* has one row per (slot, mode, purpose); the window is over those
-    few rows. A mode whose weights sum to nothing is left out.
+    *strata* has one row per (slot, mode, purpose); the window is over those few
+    rows. Strata without a weight, or in a mode whose weights sum to nothing, get null.
     """
+    weighted = strata.withColumn("w", params.weight_of(F.col("mode"), F.col("purpose")))
     total = F.sum("w").over(Window.partitionBy("departure_time", "mode"))
-    return (
-        strata.select(*STRATUM)
-        .join(F.broadcast(params.weight_frame(strata.sparkSession)), ["mode", "purpose"])
-        .withColumn("total", total)
-        .where(F.col("total") > 0)
-        .select(*STRATUM, (F.col("w") / F.col("total")).alias("w"))
-    )
+    return weighted.withColumn("_total", total).withColumn("w", F.when(F.col("_total") > 0, F.col("w") / F.col("_total"))).drop("_total")
 
 
-def combine(scores: DataFrame, params: ScoreParams, present: DataFrame | None = None) -> DataFrame:
-    """Weighted sum per (slot, cell), then min-max within the slot.
+def normalised(scores: DataFrame, strata: DataFrame) -> DataFrame:
+    """Scores with ``score_normalized`` and weight ``w`` from one small broadcast.
 
-    *present* (one row per stratum) may be passed when it is already known.
+    *strata* comes from :func:`extremes` and :func:`rescaled_weights`.
     """
-    strata = present if present is not None else scores.select(*STRATUM).distinct()
-    weights = F.broadcast(rescaled_weights(strata, params))
+    return scores.join(F.broadcast(strata), STRATUM).withColumn(
+        "score_normalized", scaled(F.col("score"), F.col("low"), F.col("high"))
+    )
+
+
+def combine(weighted: DataFrame) -> DataFrame:
+    """Weighted sum per (slot, cell) of normalised rows, then min-max within the slot."""
     summed = (
-        scores.join(weights, STRATUM)
+        weighted.where("w is not null")
         .groupBy("departure_time", "cell_id")
         .agg(F.sum(F.col("w") * F.col("score_normalized")).alias("combined_score"))
     )

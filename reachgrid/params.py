@@ -9,7 +9,7 @@ from dataclasses import dataclass, field, replace
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, functions as F
 
 # Purpose codes, decay rate, exponent, cut-off and weights of the
 # default parameter set, and the rate used for an unlisted (mode, purpose).
@@ -68,21 +68,29 @@ class ScoreParams:
     def with_changes(self, **changes: Any) -> ScoreParams:
         return replace(self, **changes)
 
-    # The three frames below hold one row per configured entry, so their size
-    # is fixed by the parameter file and broadcasting them is safe.
-    def purpose_frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(list(self.purpose_map.items()), "type_code string, purpose string")
+    # Literal maps, as small as the parameter file: lookups need no join.
+    def purpose_of(self, code: Column) -> Column:
+        """Purpose of a destination type; null when it has none."""
+        return F.try_element_at(_literal(self.purpose_map), code)
 
-    def alpha_frame(self, spark: SparkSession) -> DataFrame:
-        return _pairs(spark, self.impedance, "alpha")
+    def alpha_of(self, mode: Column, purpose: Column) -> Column:
+        return F.coalesce(_lookup(self.impedance, mode, purpose), F.lit(DEFAULT_ALPHA))
 
-    def weight_frame(self, spark: SparkSession) -> DataFrame:
-        return _pairs(spark, self.weights, "w")
+    def weight_of(self, mode: Column, purpose: Column) -> Column:
+        """Configured weight; null for an unlisted pair."""
+        return _lookup(self.weights, mode, purpose)
 
 
-def _pairs(spark: SparkSession, nested: dict[str, dict[str, float]], value: str) -> DataFrame:
-    rows = [(m, p, float(v)) for m, inner in nested.items() for p, v in inner.items()]
-    return spark.createDataFrame(rows, f"mode string, purpose string, {value} double")
+def _literal(values: dict[str, Any]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+
+
+def _lookup(nested: dict[str, dict[str, float]], mode: Column, purpose: Column) -> Column:
+    found = F.lit(None).cast("double")
+    for name, inner in nested.items():
+        values = _literal({p: float(v) for p, v in inner.items()})
+        found = F.when(mode == name, F.try_element_at(values, purpose)).otherwise(found)
+    return found
 
 
 def load_params(source: str | Path | dict[str, Any] | None = None) -> ScoreParams:

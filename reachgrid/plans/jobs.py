@@ -7,7 +7,6 @@ from typing import Any
 from pyspark.sql import DataFrame, functions as F
 
 from reachgrid.functions.geo import CELL_SIZE
-from reachgrid.functions.scoring import scaled
 from reachgrid.operators.contain import polygon_edges
 from reachgrid.operators.distance import SLOTS, slot_od
 from reachgrid.operators.grid import covering_cells, grid_rows
@@ -17,7 +16,9 @@ from reachgrid.operators.scoring import (
     combine,
     extremes,
     gravity_and_nearest,
+    normalised,
     reached,
+    rescaled_weights,
     weights_json,
 )
 from reachgrid.params import ScoreParams, check_slot
@@ -50,15 +51,11 @@ def score_frames(
     grouped = gravity_and_nearest(rows, params)
     if store:
         grouped = written(grouped, "grouped", ["departure_time"])
-    strata = extremes(grouped, "score", STRATUM)
+    strata = rescaled_weights(extremes(grouped, "score", STRATUM), params)
     if store:
         strata = written(strata, "strata")
-    scored = (
-        grouped.join(F.broadcast(strata), STRATUM)
-        .withColumn("score_normalized", scaled(F.col("score"), F.col("low"), F.col("high")))
-        .withColumn("tenant_id", F.lit(ws.tenant))
-    )
-    combined = combine(scored, params, strata).withColumns({"tenant_id": F.lit(ws.tenant), "weights": weights_json(params)})
+    scored = normalised(grouped, strata).withColumn("tenant_id", F.lit(ws.tenant))
+    combined = combine(scored).withColumns({"tenant_id": F.lit(ws.tenant), "weights": weights_json(params)})
     return {
         "connectivity_scores": scored.select(*columns("connectivity_scores")),
         "combined_scores": combined.select(*columns("combined_scores")),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reachgrid.operators.contain import contains, polygon_edges
@@ -14,14 +16,17 @@ DEMO_TENANT = "00000000-0000-0000-0000-000000000001"
 
 
 class Workspace:
-    """Reads serving tables for one tenant, from files under *root* or from *frames*."""
+    """Reads serving tables for one tenant, from files under *root* or from *frames*.
+
+    A frame may be given as a function that makes it when it is needed.
+    """
 
     def __init__(
         self,
         spark: SparkSession,
         root: str | None = None,
         tenant: str = DEMO_TENANT,
-        frames: dict[str, DataFrame] | None = None,
+        frames: dict[str, DataFrame | Callable[[], DataFrame]] | None = None,
     ) -> None:
         self.spark, self.root, self.tenant = spark, root, tenant
         self.frames = dict(frames or {})
@@ -32,7 +37,7 @@ class Workspace:
     def table(self, name: str, required: bool = True) -> DataFrame:
         """Rows of this tenant; an optional table that is missing is empty."""
         if name in self.frames:
-            df = self.frames[name]
+            df = self._frame(name)
         elif self.root is not None and self.has(name):
             df = read_table(self.spark, self.root, name)
         elif required:
@@ -41,6 +46,10 @@ class Workspace:
             df = self.spark.createDataFrame([], SCHEMAS[name])
         return df.where(F.col("tenant_id") == self.tenant) if "tenant_id" in df.columns else df
 
+    def _frame(self, name: str) -> DataFrame:
+        frame = self.frames[name]
+        return frame if isinstance(frame, DataFrame) else frame()
+
     def at(self, name: str, slot: str, required: bool = True) -> DataFrame:
         """A slot table at one departure time (a partition filter)."""
         return self.table(name, required).where(F.col("departure_time") == slot)
@@ -48,7 +57,7 @@ class Workspace:
     def edges(self, layer: str) -> DataFrame:
         """Directed edges of a layer in metres, keyed by ``code``."""
         if f"{layer}_edges" in self.frames:
-            return self.frames[f"{layer}_edges"]
+            return self._frame(f"{layer}_edges")
         key = LAYERS.get(layer, "id")
         table = self.table(layer).select(F.col(key).cast("string").alias("code"), "rings_m")
         return polygon_edges(table, "code", "rings_m")
@@ -61,7 +70,7 @@ class Workspace:
         """(id, code) of cells whose centroid lies in or on an area."""
         stored = f"{layer}_cells"
         if stored in self.frames:
-            pairs = self.frames[stored]
+            pairs = self._frame(stored)
             return pairs if code is None else pairs.where(F.col("code") == code)
         edges = self.edges(layer)
         if code is not None:

@@ -170,23 +170,36 @@ def test_scoring_invariants(spark):
     double = op.gravity(op.reached(both, two, types, params), params).where("cell_id = 0").head().score
     assert single < double < 2 * single
     # Ties go to the smallest id.
-    assert {r.nearest_destination_id for r in op.nearest(op.reached(both, two, types, params)).collect()} == {1}
+    assert {r.nearest_destination_id for r in op.nearest(op.reached(both, two, types, params), 120.0).collect()} == {1}
     # Unmapped types only: empty, no error.
     zoo = spark.createDataFrame([(1, 8, 1.0)], "id bigint, type_id int, weight double")
     none = op.gravity(op.reached(od, zoo, types, params), params)
-    assert none.isEmpty() and op.combine(op.minmax(none, "score", op.STRATUM, "score_normalized"), params).isEmpty()
+    strata = op.rescaled_weights(op.extremes(none, "score", op.STRATUM), params)
+    assert none.isEmpty() and op.combine(op.normalised(none, strata)).isEmpty()
     negative = od.withColumn("travel_time_minutes", F.lit(-1.0))
     with pytest.raises(Exception, match="negative travel time"):
         op.gravity(op.reached(negative, dest, types, params), params).collect()
 
 
+def test_nearest_breaks_ties_exactly(spark):
+    rows = [(1, 10.1, 7), (1, 10.1, 2**62), (1, 10.1 + 2e-15, 1), (2, 0.0, 2**63 - 1), (2, 0.0, 3), (3, 119.99999999999999, 5), (3, 120.0, 1)]
+    df = spark.createDataFrame(rows, "cell_id bigint, travel_time_minutes double, destination_id bigint").select(
+        "*", F.lit("08:00").alias("departure_time"), F.lit("TRANSIT").alias("mode"), F.lit("p").alias("purpose")
+    )
+    out = op.nearest(df, 120.0)
+    got = {r.cell_id: (r.min_travel_time_minutes, r.nearest_destination_id) for r in out.collect()}
+    assert got == {1: (10.1, 7), 2: (0.0, 3), 3: (119.99999999999999, 5)}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
 def test_weights_follow_the_purposes_present(spark):
     params = ScoreParams().with_changes(weights={"TRANSIT": {"hospital": 0.6, "hacienda": 0.2, "residencia": 0.2}, "BIKE": {"hospital": 0.0}})
     strata = spark.createDataFrame(
         [("08:00", "TRANSIT", "hospital"), ("08:00", "TRANSIT", "hacienda"), ("08:30", "TRANSIT", "residencia"), ("08:00", "BIKE", "hospital")],
         "departure_time string, mode string, purpose string",
     )
-    got = {(r.departure_time, r.mode, r.purpose): r.w for r in op.rescaled_weights(strata, params).collect()}
+    got = {(r.departure_time, r.mode, r.purpose): r.w for r in op.rescaled_weights(strata, params).where("w is not null").collect()}
     assert got == pytest.approx({("08:00", "TRANSIT", "hospital"): 0.75, ("08:00", "TRANSIT", "hacienda"): 0.25, ("08:30", "TRANSIT", "residencia"): 1.0})
 
 
