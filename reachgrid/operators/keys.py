@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from reachgrid.operators.ordering import number_rows
+from reachgrid.operators.sizes import if_small
 
 
 def top_id(df: DataFrame) -> DataFrame:
@@ -47,7 +48,7 @@ def replace_types(existing: DataFrame, incoming: DataFrame, key: str = "type_id"
 def remap(df: DataFrame, column: str, mapping: DataFrame) -> DataFrame:
     """Replace *column* through (old_id, new_id); rows without a new id are dropped."""
     return (
-        df.join(mapping.select(F.col("old_id").alias(column), "new_id"), column)
+        df.join(if_small(mapping.select(F.col("old_id").alias(column), "new_id")), column)
         .withColumn(column, F.col("new_id"))
         .drop("new_id")
         .select(*df.columns)

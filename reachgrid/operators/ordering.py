@@ -94,8 +94,12 @@ def at_ranks(
     ranks: dict[str, Callable[[Column], Column]],
     quantile: float = 0.5,
     accuracy: int = 10_000,
+    few: bool = False,
 ) -> DataFrame:
-    """Exact values at given 0-based ranks near *quantile*, for a few groups.
+    """Exact values at given 0-based ranks near *quantile*.
+
+    Say *few* when the number of groups is bounded (modes, purposes): their
+    bounds are then broadcast. Without keys there is one row.
 
     A sketch brackets the wanted ranks; one pass counts what lies below the
     bracket and one counts the distinct values inside it (about 4/accuracy of
@@ -110,7 +114,8 @@ def at_ranks(
     cut = F.percentile_approx("_v", [max(quantile - margin, 0.0), min(quantile + margin, 1.0)], accuracy)
     bounds = keyed.groupBy(*by).agg(F.count("*").alias("_n"), cut.alias("_cut"))
     bounds = bounds.select(*by, "_n", F.col("_cut")[0].alias("_from"), F.col("_cut")[1].alias("_to"))
-    placed = keyed.join(F.broadcast(bounds), by)
+    near = F.broadcast if few or not keys else lambda df: df
+    placed = keyed.join(near(bounds), by)
     below = placed.groupBy(*by, "_n").agg(F.count(F.when(F.col("_v") < F.col("_from"), 1)).alias("_below"))
     inside = (
         placed.where((F.col("_v") >= F.col("_from")) & (F.col("_v") <= F.col("_to")))
@@ -118,7 +123,7 @@ def at_ranks(
         .agg(F.count("*").alias("_c"))
     )
     running = Window.partitionBy(*by).orderBy("_v")
-    spans = inside.join(F.broadcast(below), by).withColumn("_end", F.col("_below") + F.sum("_c").over(running))
+    spans = inside.join(near(below), by).withColumn("_end", F.col("_below") + F.sum("_c").over(running))
     picks, checks = [], []
     for name, rank in ranks.items():
         wanted = rank(F.col("_n")).cast("bigint")
@@ -131,9 +136,9 @@ def at_ranks(
     return found.select(*keys, F.col("_n").alias("group_size"), *checks)
 
 
-def median(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
-    """Exact interpolated median per group."""
+def median(df: DataFrame, keys: list[str], value: str, out: str, few: bool = False) -> DataFrame:
+    """Exact interpolated median per group; *few* as in :func:`at_ranks`."""
     ranks = {"_lo": lambda n: F.floor((n - 1) / 2), "_hi": lambda n: F.ceil((n - 1) / 2)}
-    return at_ranks(df, keys, value, ranks).select(
+    return at_ranks(df, keys, value, ranks, few=few).select(
         *keys, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * 0.5).alias(out)
     )

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reachgrid.operators.contain import bounds_of, tile_of, tile_span
 from reachgrid.operators.sizes import if_small
+from reachgrid.session import written
 
 TILE_M = 1000.0
 STRIP_EDGES = 32
@@ -146,29 +147,28 @@ def masked_area(pieces: DataFrame, edges: DataFrame, mask_edges: DataFrame, tile
     Pieces with many edges are first cut into strips to keep sweeps small.
     """
     piece = ["source_id", "id", "_tx"]
-    masks = bounds_of(mask_edges, "mask_id")
+    filed = bounds_of(mask_edges, "mask_id").select("*", tile_span(F.col("xmin"), F.col("xmax"), tile).alias("_tx")).select(
+        "*", tile_span(F.col("ymin"), F.col("ymax"), tile).alias("_ty")
+    )
     columns = pieces.select(*piece, "xl", "xr", "y0", "y1")
     mask_hits = (
         columns.select(*piece, "xl", "xr", "y0", "y1", tile_span(F.col("y0"), F.col("y1"), tile).alias("_ty"))
-        .join(
-            masks.select("*", tile_span(F.col("xmin"), F.col("xmax"), tile).alias("_tx")).select(
-                "*", tile_span(F.col("ymin"), F.col("ymax"), tile).alias("_ty")
-            ),
-            ["_tx", "_ty"],
-        )
+        .join(if_small(filed), ["_tx", "_ty"])
         .where("xl < xmax and xr > xmin and y0 < ymax and y1 > ymin")
         .where(F.col("_ty") == tile_of(F.greatest("y0", "ymin"), tile))
         .select(*piece, "mask_id", "xl", "xr", "y0", "y1")
     )
     segments = (
-        mask_hits.join(_columns(mask_edges, "mask_id", tile, True), ["mask_id", "_tx"])
+        mask_hits.join(if_small(_columns(mask_edges, "mask_id", tile, True)), ["mask_id", "_tx"])
         .withColumn("kind", F.lit(1))
         .drop("mask_id")
         .unionByName(
-            columns.join(_columns(edges, "source_id", tile, True), ["source_id", "_tx"]).withColumn("kind", F.lit(0))
+            columns.join(if_small(_columns(edges, "source_id", tile, True)), ["source_id", "_tx"]).withColumn("kind", F.lit(0))
         )
         .where("greatest(ax, bx) > xl and least(ax, bx) < xr and least(ay, by) < y1")
     )
+    # Read several times below: written once, so nothing is joined again.
+    segments = written(segments, "segments")
     in_band = F.greatest("ay", "by") > F.col("y0")
     strips = segments.groupBy(*piece, "xl", "xr").agg(
         F.ceil(F.count(F.when(in_band, 1)) / STRIP_EDGES).alias("k"), F.max("kind").alias("masked"), F.min("kind").alias("sourced")
@@ -180,30 +180,31 @@ def masked_area(pieces: DataFrame, edges: DataFrame, mask_edges: DataFrame, tile
     )
     width = (F.col("xr") - F.col("xl")) / F.col("k")
     strips = strips.select(
-        *piece, "strip", (F.col("xl") + width * F.col("strip")).alias("sl"), (F.col("xl") + width * (F.col("strip") + 1)).alias("sr")
+        *piece, "strip", "k", (F.col("xl") + width * F.col("strip")).alias("sl"), (F.col("xl") + width * (F.col("strip") + 1)).alias("sr")
     )
     group = [*piece, "strip"]
     clipped = (
         segments.drop("xl", "xr")
         .join(strips, piece)
         .select(
-            *group, "sl", "sr", "y0", "y1", "kind", "ax", "ay", "bx", "by",
+            *group, "k", "sl", "sr", "y0", "y1", "kind", "ax", "ay", "bx", "by",
             F.greatest("sl", F.least("ax", "bx")).alias("xa"),
             F.least("sr", F.greatest("ax", "bx")).alias("xb"),
         )
         .where("xa < xb or (ax = bx and xa = xb)")
         .select(
-            *group, "sl", "sr", "y0", "y1", "kind", "xa", "xb",
+            *group, "k", "sl", "sr", "y0", "y1", "kind", "xa", "xb",
             F.when(F.col("ax") == F.col("bx"), F.col("ay")).otherwise(_y_at(F.col("xa"))).alias("ya"),
             F.when(F.col("ax") == F.col("bx"), F.col("by")).otherwise(_y_at(F.col("xb"))).alias("yb"),
             F.when(F.col("ax") < F.col("bx"), 1).otherwise(-1).alias("dir"),
         )
     )
+    clipped = written(clipped, "clipped")
     slabs = _slabs(clipped, group)
     xm = (F.col("left") + F.col("right")) / 2
     y = F.col("ya") + F.try_divide((F.col("yb") - F.col("ya")) * (xm - F.col("xa")), F.col("xb") - F.col("xa"))
     swept = (
-        slabs.join(clipped.drop("sl", "sr"), group)
+        slabs.join(clipped.drop("sl", "sr", "k"), group)
         .where((F.col("xa") <= xm) & (F.col("xb") > xm))
         .select(*group, "left", "right", "y1", "kind", "dir", F.least(F.greatest(y, F.col("y0")), F.col("y1")).alias("y"))
     )
@@ -235,14 +236,25 @@ def _slabs(clipped: DataFrame, group: list[str]) -> DataFrame:
     near = (F.greatest("ya", "yb") > F.col("y0")) & (F.least("ya", "yb") < F.col("y1"))
     own = [F.when(near, F.col(c)) for c in ("xa", "xb")]
     ends = sloped.select(*group, F.explode(F.array("sl", "sr", *own, leaves("y0"), leaves("y1"))).alias("x"))
-    # Only edges inside the piece's band can change the order there. The join is
-    # within one strip, whose edge count the strip width holds down.
-    band = sloped.where("greatest(ya, yb) > y0 and least(ya, yb) < y1").select(*group, "xa", "xb", "ya", "yb", "m")
-    other = band.select(*group, *[F.col(c).alias(f"o_{c}") for c in ("xa", "xb", "ya", "yb", "m")])
+    # Only edges inside the piece's band can change the order there. Edges meet
+    # on a shared box: a strip has as many height steps as its piece has strips,
+    # so both sides of the box shrink where edges crowd. A crossing found in two
+    # boxes is one cut.
+    step = (F.col("y1") - F.col("y0")) / F.col("k")
+
+    def level_of(y: Column) -> Column:
+        held = F.least(F.greatest(y, F.col("y0")), F.col("y1")) - F.col("y0")
+        return F.floor(held / step).cast("int")
+
+    levels = F.explode(F.sequence(level_of(F.least("ya", "yb")), level_of(F.greatest("ya", "yb"))))
+    band = sloped.where("greatest(ya, yb) > y0 and least(ya, yb) < y1 and m is not null").select(
+        *group, "xa", "xb", "ya", "yb", "m", levels.alias("level")
+    )
+    other = band.select(*group, "level", *[F.col(c).alias(f"o_{c}") for c in ("xa", "xb", "ya", "yb", "m")])
     above = F.col("o_ya") + F.col("o_m") * (F.col("xa") - F.col("o_xa")) - F.col("ya")
     x = F.col("xa") + F.try_divide(above, F.col("m") - F.col("o_m"))
     crossings = (
-        band.join(other, group)
+        band.join(other, [*group, "level"])
         .where("m > o_m and xa < o_xb and o_xa < xb")
         .where("least(ya, yb) < greatest(o_ya, o_yb) and least(o_ya, o_yb) < greatest(ya, yb)")
         .select(*group, x.alias("x"), F.greatest("xa", "o_xa").alias("lo"), F.least("xb", "o_xb").alias("hi"))

@@ -46,7 +46,7 @@ def within(
         od = od.where(F.col("departure_time").isin(slots))
     if cells is not None:
         wanted = cells.select(F.col("id").alias("origin_cell_id"))
-        od = od.join(wanted, "origin_cell_id", "left_semi")
+        od = od.join(if_small(wanted), "origin_cell_id", "left_semi")
     return od
 
 

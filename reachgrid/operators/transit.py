@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from reachgrid.operators.sizes import if_small
+
 # Time windows as (label, first minute, end minute, hours).
 WINDOWS = (
     ("07:00-09:00", 420, 540, 2.0),
@@ -33,8 +35,8 @@ def active_services(calendar: DataFrame, dates: DataFrame) -> DataFrame:
 def running_stop_times(stop_times: DataFrame, trips: DataFrame, services: DataFrame) -> DataFrame:
     """Stop times on active services; all of an operator's when it has no known service.
 
-    The few operators with services decide by a flag, so the large table is
-    joined once to its trips and once to the services.
+    An operator may hold most of the rows, so services and operators are
+    broadcast when they are few; only trips need a shuffle.
     """
     trip = trips.groupBy("operator", "trip_id").agg(F.max_by("service_id", "row_no").alias("service_id"))
     known = services.select("operator").distinct().withColumn("restricted", F.lit(True))
@@ -42,8 +44,8 @@ def running_stop_times(stop_times: DataFrame, trips: DataFrame, services: DataFr
     return (
         stop_times.join(trip, ["operator", "trip_id"], "left")
         .withColumn("service_id", F.coalesce("service_id", F.lit("")))
-        .join(active, ["operator", "service_id"], "left")
-        .join(known, "operator", "left")
+        .join(if_small(active), ["operator", "service_id"], "left")
+        .join(if_small(known), "operator", "left")
         .where("active or restricted is null")
         .select("operator", "stop_id", "trip_id", "dep_min")
     )

@@ -33,7 +33,7 @@ def summary(ws: Workspace, slot: str) -> DataFrame:
         F.avg("score").alias("avg_score"),
         weighted_mean(F.col("score"), F.col("population")).alias("weighted_avg_score"),
     )
-    middle = median(ws.at("combined_scores", slot).join(ws.table("grid_cells").select(F.col("id").alias("cell_id")), "cell_id", "left_semi"), [], "combined_score_normalized", "median_score")
+    middle = median(cells, [], "score", "median_score")
     out = _beside(main, middle)
     for name, label in (
         ("destinations", "destination_count"),
@@ -128,7 +128,8 @@ def reached_population(limits: tuple[int, ...] = LIMITS) -> list[Column]:
 
 
 def coverage_of(facts: DataFrame, keys: list[str], ws: Workspace, limits: tuple[int, ...] = LIMITS) -> DataFrame:
-    middle = median(facts, keys, "min_travel_time_minutes", "median_travel_time")
+    # Modes and purposes are configured and few; areas may be many.
+    middle = median(facts, keys, "min_travel_time_minutes", "median_travel_time", few="code" not in keys)
     out = facts.groupBy(*keys).agg(*reached_population(limits)).join(middle, keys, "left")
     shares = {f"pct_pop_{m}min": pct(F.col(f"pop_{m}min"), F.col("total_population"), None) for m in limits}
     return labelled(out.withColumns(shares), ws)

@@ -48,6 +48,17 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def laid_out(df: DataFrame, partition_by: list[str] | None, sort_by: list[str] | None = None) -> DataFrame:
+    """Rows arranged for a partitioned write: files of a good size, each with few partition values.
+
+    Without this every task would write a small file per partition value; AQE
+    splits a value that dominates. Sorting lets readers skip row groups.
+    """
+    if not partition_by:
+        return df
+    return df.hint("rebalance", *partition_by).sortWithinPartitions(*partition_by, *(sort_by or []))
+
+
 def written(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write *df* to the shared folder once and continue from the files.
 
@@ -57,7 +68,7 @@ def written(df: DataFrame, label: str, partition_by: list[str] | None = None) ->
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/reachgrid/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    writer = df.write.mode("errorifexists")
+    writer = laid_out(df, partition_by).write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from reachgrid.functions.text import unquote
-from reachgrid.sources.lines import first_matching, read_lines
+from reachgrid.sources.lines import first_matching, join_by_file, read_lines
 
 # Province prefix, and the texts that stand for "no value".
 PREFIX = "48"
@@ -33,15 +33,15 @@ def read_indicator(ws, path: str, prefix: str = PREFIX) -> DataFrame:
     years = header.select("_file", F.posexplode(head_cells).alias("at", "label")).where(F.col("label").rlike(YEAR))
     after = (F.col("_block") > F.col("_hblock")) | ((F.col("_block") == F.col("_hblock")) & (F.col("_pos") > F.col("_hpos")))
     data = (
-        lines.join(header, "_file")
+        join_by_file(lines, header)
         .where(after)
         .select("_file", "_block", "_pos", cells.alias("c"))
         .where((F.size("c") >= 3) & F.col("c")[0].startswith(prefix) & (F.length(F.col("c")[0]) == CODE_LENGTH))
     )
     text = F.replace("text", F.lit(","), F.lit("."))
+    cells_of = data.select("_file", "_block", "_pos", F.col("c")[0].alias("muni_code"), F.posexplode("c").alias("at", "text"))
     values = (
-        data.select("_file", "_block", "_pos", F.col("c")[0].alias("muni_code"), F.posexplode("c").alias("at", "text"))
-        .join(years, ["_file", "at"])
+        join_by_file(cells_of, years, ["_file", "at"])
         .where(~F.col("text").isin(*NO_VALUE))
         .select("_file", "_block", "_pos", "muni_code", F.col("label").cast("int").alias("year"), text.try_cast("double").alias("value"))
         .where("value is not null")

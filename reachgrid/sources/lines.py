@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from reachgrid.functions.text import unquote
 
+FILES = 10_000
 BOM = "﻿"
 
 
@@ -23,6 +24,17 @@ def read_lines(spark: SparkSession, path: str | list[str], glob: str | None = No
     return lines.withColumn("value", F.when(F.col("_block") == 0, F.ltrim("value", F.lit(BOM))).otherwise(F.col("value")))
 
 
+def join_by_file(rows: DataFrame, per_file: DataFrame, keys: list[str] | str = "_file") -> DataFrame:
+    """Join a few rows per file to the rows of the files.
+
+    A file may hold most of all rows, so it must not become one join partition.
+    The number of files is known from their listing; up to a limit the small
+    side is broadcast.
+    """
+    files = len(per_file.inputFiles())
+    return rows.join(F.broadcast(per_file) if files <= FILES else per_file, keys)
+
+
 def skip_first(lines: DataFrame, n: int) -> DataFrame:
     """Drop the first *n* lines of every file; they lie in its first split.
 
@@ -30,7 +42,7 @@ def skip_first(lines: DataFrame, n: int) -> DataFrame:
     first position of each file.
     """
     first = lines.where("_block = 0").groupBy("_file").agg(F.min("_pos").alias("_first"))
-    return lines.join(first, "_file").where((F.col("_block") > 0) | (F.col("_pos") >= F.col("_first") + n)).drop("_first")
+    return join_by_file(lines, first).where((F.col("_block") > 0) | (F.col("_pos") >= F.col("_first") + n)).drop("_first")
 
 
 def cell(parts: Column, i: int) -> Column:

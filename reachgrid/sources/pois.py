@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from reachgrid.functions.text import label_from_code, slug
 from reachgrid.operators.keys import append_with_ids, get_or_create, replace_types
 from reachgrid.schemas import columns
-from reachgrid.sources.lines import first_matching, read_lines
+from reachgrid.sources.lines import first_matching, join_by_file, read_lines
 
 # The accepted box (west, east, south, north) and the columns
 # that tell the layouts apart.
@@ -44,7 +44,7 @@ def read_pois(ws, path: str) -> DataFrame:
     heads = heads.select("*", has(UNIFIED).alias("unified")).where(F.col("unified") | has(PER_TYPE))
     header_line = (F.col("_block") == F.col("_hblock")) & (F.col("_pos") == F.col("_hpos"))
     rows = (
-        lines.join(heads, "_file")
+        join_by_file(lines, heads)
         .where(~header_line & (F.length(F.trim("value")) > 0))
         .select("*", csv_cells(F.col("value")).alias("c"))
     )

@@ -6,6 +6,8 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from reachgrid.session import laid_out
+
 
 def filesystem(spark: SparkSession, path: str):
     jvm = spark._jvm
@@ -21,7 +23,7 @@ def publish(df: DataFrame, root: str, name: str, partition_by: list[str] | None
     """
     spark = df.sparkSession
     version = f"{name}@{uuid.uuid4().hex}"
-    writer = df.write.mode("errorifexists")
+    writer = laid_out(df, partition_by, _sorted_by(df)).write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(f"{root}/{version}")
@@ -40,6 +42,11 @@ def publish(df: DataFrame, root: str, name: str, partition_by: list[str] | None
     return f"{root}/{version}"
 
 
+def _sorted_by(df: DataFrame) -> list[str]:
+    """Cells are what single reports look up."""
+    return [c for c in ("cell_id", "origin_cell_id") if c in df.columns]
+
+
 def replace_partitions(df: DataFrame, root: str, name: str, partition_by: list[str]) -> str:
     """Overwrite only the partitions that *df* holds; all others stay as they are."""
     from reachgrid.sources.tables import table_path
@@ -47,7 +54,7 @@ def replace_partitions(df: DataFrame, root: str, name: str, partition_by: list[s
     path = table_path(df.sparkSession, root, name)
     if path is None:
         return publish(df, root, name, partition_by)
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
+    laid_out(df, partition_by, _sorted_by(df)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
     return path
 
 
