@@ -219,9 +219,8 @@ MATRIX_SQL = f"""
 
 def matrix(b):
     raw = b.spark.sql(MATRIX, lineitem=b.raw("lineitem"), orders=b.raw("orders"))
-    return raw.select(
-        "*", od_source.mode_of(F.col("file")).alias("mode"), od_source.slot_of(F.col("file")).alias("departure_time")
-    )
+    mode, slot = od_source.mode_of(F.col("file")).alias("mode"), od_source.slot_of(F.col("file")).alias("departure_time")
+    return od_source.typed(raw, "from_id", "to_id", "minutes", mode, slot)
 
 
 @query(
@@ -232,7 +231,7 @@ def matrix(b):
     "minutes",
 )
 def _(b):
-    kept = od_source.clean(matrix(b)).where("fate = 'kept'")
+    kept = od_source.judged(matrix(b)).where("fate = 'kept'")
     return kept.groupBy("departure_time").agg(
         F.count("*").alias("n"),
         F.sum("travel_time_minutes").alias("minutes"),
@@ -247,7 +246,7 @@ def _(b):
                 count(*) filter (where v is null) as minutes_bad from t""",
 )
 def _(b):
-    return od_source.clean(matrix(b)).agg(
+    return od_source.judged(matrix(b)).agg(
         F.count("*").alias("n"),
         F.count_if(F.col("origin_cell_id").isNull()).alias("origin_bad"),
         F.count_if(F.col("travel_time_minutes").isNull()).alias("minutes_bad"),
@@ -265,7 +264,7 @@ def _(b):
          from t group by departure_time""",
 )
 def _(b):
-    return od_source.report(od_source.clean(matrix(b)))
+    return od_source.report(od_source.judged(matrix(b)))
 
 
 @query(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 from reachgrid.functions.geo import cell_code
 from reachgrid.operators.keys import remap
@@ -45,56 +46,52 @@ def matrix_files(ws, path: str) -> list[str]:
 
 
 def read_matrices(ws, path: str) -> DataFrame:
-    """All accepted files as one frame with raw id and time columns as text.
+    """All accepted files as one frame of typed columns; unreadable values are null.
 
-    Files with the same columns are read together; only names and footers are
-    looked at on the driver.
+    Files of one layout are read together; only names and footers are looked at
+    on the driver.
     """
-    groups: dict[tuple[str, ...], list[str]] = {}
+    layouts: dict[str, list[str]] = {}
     for file in matrix_files(ws, path):
-        groups.setdefault(tuple(ws.spark.read.parquet(file).columns), []).append(file)
+        layouts.setdefault(ws.spark.read.parquet(file).schema.json(), []).append(file)
     parts = []
-    for names, files in groups.items():
-        value = value_column(list(names))
-        if value is None or not {"from_id", "to_id"} <= set(names):
+    for files in layouts.values():
+        found = ws.spark.read.parquet(*files)
+        value = value_column(found.columns)
+        if value is None or not {"from_id", "to_id"} <= set(found.columns):
             continue
         name = F.col("_metadata.file_name")
-        # Types may differ between files of one layout, so each type group is read by itself.
-        for same in _by_type(ws, files):
-            parts.append(
-                ws.spark.read.parquet(*same)
-                .select(
-                    name.alias("file"),
-                    F.col("from_id").cast("string").alias("from_id"),
-                    F.col("to_id").cast("string").alias("to_id"),
-                    F.col(value).cast("string").alias("minutes"),
-                )
-                .select("*", mode_of(F.col("file")).alias("mode"), slot_of(F.col("file")).alias("departure_time"))
-                .where("mode is not null")
-            )
+        named = typed(found, "from_id", "to_id", value, mode_of(name).alias("mode"), slot_of(name).alias("departure_time"))
+        parts.append(named.where("mode is not null"))
     if not parts:
-        return ws.spark.createDataFrame([], "file string, from_id string, to_id string, minutes string, mode string, departure_time string")
+        return ws.spark.createDataFrame(
+            [], "mode string, departure_time string, origin_cell_id bigint, destination_id bigint, travel_time_minutes double"
+        )
     return reduce(DataFrame.unionByName, parts)
 
 
-def _by_type(ws, files: list[str]) -> list[list[str]]:
-    kinds: dict[str, list[str]] = {}
-    for file in files:
-        kinds.setdefault(ws.spark.read.parquet(file).schema.simpleString(), []).append(file)
-    return list(kinds.values())
+def typed(df: DataFrame, origin: str, destination: str, minutes: str, *others: Column) -> DataFrame:
+    """Ids and minutes as numbers. Columns that are numbers already are not parsed."""
+    return df.select(
+        *others,
+        _as_id(df, origin).alias("origin_cell_id"),
+        _as_id(df, destination).alias("destination_id"),
+        F.col(minutes).try_cast("double").alias("travel_time_minutes"),
+    )
 
 
-def clean(raw: DataFrame, max_minutes: float = MAX_MINUTES) -> DataFrame:
-    """Add typed columns and a ``fate``: kept, not_numeric or out_of_range."""
-    typed = raw.select(
-        *[c for c in raw.columns if c not in ("from_id", "to_id", "minutes")],
-        F.col("from_id").try_cast("double").cast("bigint").alias("origin_cell_id"),
-        F.col("to_id").try_cast("double").cast("bigint").alias("destination_id"),
-        F.col("minutes").try_cast("double").alias("travel_time_minutes"),
-    )
+def _as_id(df: DataFrame, name: str) -> Column:
+    whole = F.col(name).try_cast("bigint")
+    if isinstance(df.schema[name].dataType, StringType):
+        return F.coalesce(whole, F.col(name).try_cast("double").try_cast("bigint"))
+    return whole
+
+
+def judged(matrices: DataFrame, max_minutes: float = MAX_MINUTES) -> DataFrame:
+    """Add a ``fate``: kept, not_numeric or out_of_range."""
     missing = F.col("origin_cell_id").isNull() | F.col("destination_id").isNull() | F.col("travel_time_minutes").isNull()
     inside = F.col("travel_time_minutes").between(0.0, max_minutes)
-    return typed.withColumn("fate", F.when(missing, "not_numeric").when(inside, "kept").otherwise("out_of_range"))
+    return matrices.withColumn("fate", F.when(missing, "not_numeric").when(inside, "kept").otherwise("out_of_range"))
 
 
 def report(cleaned: DataFrame) -> DataFrame:
@@ -127,7 +124,7 @@ def import_od(
     ws, path: str, max_minutes: float = MAX_MINUTES, origins: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(travel_times, report) from a folder of matrix files."""
-    cleaned = clean(read_matrices(ws, path), max_minutes)
+    cleaned = judged(read_matrices(ws, path), max_minutes)
     od = cleaned.where("fate = 'kept'").withColumn("tenant_id", F.lit(ws.tenant)).select(*columns("travel_times"))
     if origins is not None and ws.has("grid_cells"):
         od = remap_origins(od, origins, ws.table("grid_cells"))

@@ -90,7 +90,9 @@ def test_masked_denominator_reaches_beyond_the_cells(spark):
     assert got == pytest.approx({1: 900 * 50 / 200})
 
 
-def test_masked_against_point_count(spark):
+@pytest.mark.parametrize("strip_edges", [32, 1])
+def test_masked_against_point_count(spark, monkeypatch, strip_edges):
+    monkeypatch.setattr(overlay, "STRIP_EDGES", strip_edges)
     sources = {
         1: [ring([(10, 20), (300, 15), (340, 200), (180, 90), (160, 330), (20, 250)])],
         2: [ring([(200, 210), (350, 220), (330, 390), (210, 380)])],

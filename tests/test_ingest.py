@@ -244,6 +244,12 @@ def test_od_import(ws, tmp_path):
         od.import_od(ws, str(tmp_path / "none"))
 
 
+def test_matrix_numbers_keep_their_digits(spark):
+    df = spark.createDataFrame([("9007199254740993", "7.0", "1e1"), ("1e30", "7", "nan?")], "a string, b string, m string")
+    got = [tuple(r) for r in od.typed(df, "a", "b", "m").collect()]
+    assert got == [(9007199254740993, 7, 10.0), (None, 7, None)]
+
+
 def test_origin_remap_is_skipped_when_ids_are_known(spark):
     cells = spark.createDataFrame([(1, "E0_N0"), (2, "E250_N0")], "id bigint, cell_code string")
     rows = spark.createDataFrame([(1, 9), (2, 9)], "origin_cell_id bigint, destination_id bigint")

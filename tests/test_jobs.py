@@ -293,3 +293,24 @@ def test_features_and_endpoints(spark, ws, tmp_path):
     nucleos = listings.layer(ws, "nucleos", geometry=True)
     text = sinks.to_features(nucleos, sinks.polygon_geometry(F.col("rings")), ["id", "name"]).head().feature
     assert json.loads(text)["geometry"]["type"] == "MultiPolygon"
+
+
+def test_hotspots_find_profiles_by_code_or_name(spark):
+    from reachgrid.plans.social import hotspots
+
+    ranking = spark.createDataFrame(
+        [("A", "1", 9000.0, 10.0), ("B", "2", 8000.0, 20.0), ("C", "3", 100.0, 5.0), ("D", "4", 7000.0, 50.0), ("E", "5", 7000.0, 90.0), ("F", "6", 6000.0, None)],
+        "name string, code string, population double, weighted_avg_score double",
+    )
+    people = spark.createDataFrame(
+        [("1", "x", 1.0), ("9", "B", 2.0)], "muni_code string, name string, renta_index double"
+    ).withColumns({"vehicles_per_inhab": F.lit(0.5), "pct_65_plus": F.lit(20.0)})
+    rows = hotspots(ranking, people).collect()
+    # The upper median of 0, 5, 10, 20, 50, 90 is 20; an unscored area counts as 0.
+    assert [(r.code, r.gap, r.renta_index) for r in rows] == [("1", 10.0, 1.0), ("6", 20.0, None)]
+    wide = hotspots(ranking.withColumn("weighted_avg_score", F.col("weighted_avg_score") + F.when(F.col("code") == "4", -35.0).otherwise(0.0)), people)
+    assert {r.code for r in wide.collect()} == {"1", "6"}
+    low = hotspots(ranking.where("code <> '3'"), people, min_pop=1000, k=1).collect()
+    assert [(r.code, r.burden) for r in low] == [("1", 810000.0)]
+    named = hotspots(ranking.where("code in ('2', '4', '5')").unionByName(ranking.where("code = '1'")), people).collect()
+    assert [(r.code, r.renta_index) for r in named] == [("1", 1.0), ("2", 2.0)]
