@@ -101,9 +101,10 @@ def _(b):
 
 @query(
     "a38_socio_map",
-    """select m.muni_code, m.name, v.weighted_avg_score, v.pop_total, v.pct_0_17, v.pct_18_25, v.pct_65_plus, v.renta_index,
-              v.vehicles_per_inhab, v.vuln_score as vulnerability
-       from munis m left join vuln v on v.muni_code = m.muni_code""",
+    """select m.muni_code, m.name, v.weighted_avg_score, d.pop_total, d.pct_0_17, d.pct_18_25, d.pct_65_plus, i.renta_index,
+              c.vehicles_per_inhab, v.vuln_score as vulnerability
+       from munis m left join vuln v on v.muni_code = m.muni_code left join last_demo d on d.muni_code = m.muni_code
+       left join last_income i on i.muni_code = m.muni_code left join last_cars c on c.muni_code = m.muni_code""",
     "weighted_avg_score pct_0_17 pct_18_25 pct_65_plus renta_index vehicles_per_inhab vulnerability",
 )
 def _(b):
