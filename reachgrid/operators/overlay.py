@@ -25,7 +25,10 @@ def shares(sources: DataFrame, edges: DataFrame, cells: DataFrame, tile: float =
     pieces = _pieces(bounds_of(edges, "source_id"), cells, "source_id", tile)
     met = pieces.join(if_small(_columns(edges, "source_id", tile)), ["source_id", "_tx"])
     xa, xb = F.greatest("xl", F.least("ax", "bx")), F.least("xr", F.greatest("ax", "bx"))
-    met = met.select("source_id", "id", "y0", "y1", "ax", "ay", "bx", "by", xa.alias("xa"), xb.alias("xb")).where("xa < xb")
+    met = met.select("source_id", "id", "y0", "y1", "ax", "ay", "bx", "by", xa.alias("xa"), xb.alias("xb")).where(
+        # An edge below the cell adds nothing.
+        "xa < xb and greatest(ay, by) > y0"
+    )
     sign = F.when(F.col("ax") > F.col("bx"), 1.0).otherwise(-1.0)
     part = sign * _clamped_integral()
     return met.groupBy("source_id", "id").agg(F.sum(part).alias("overlap")).where("overlap > 0")
@@ -70,8 +73,9 @@ def _spread(sources: DataFrame, overlap: DataFrame, area: DataFrame, cells: Data
     density = sources.join(area.where("area > 0"), "source_id").select(
         "source_id", (F.col("population") / F.col("area")).alias("density")
     )
+    # A large source may meet a third of all cells: it is looked up, not shuffled to.
     share = (
-        overlap.join(density, "source_id")
+        overlap.join(if_small(written(density, "density")), "source_id")
         .groupBy("id")
         .agg(F.sum(F.col("density") * F.col("overlap")).alias("population"))
     )

@@ -60,19 +60,22 @@ def in_windows(rows: DataFrame, windows=WINDOWS) -> DataFrame:
 
 
 def stop_frequency(running: DataFrame, stops: DataFrame, windows=WINDOWS) -> DataFrame:
-    """Distinct trips per stop and window, with zero rows for the other windows of a seen stop."""
-    counted = (
-        in_windows(running, windows)
-        .groupBy("operator", "stop_id", "time_window")
-        .agg(F.count_distinct("trip_id").alias("n"))
-    )
-    # One short map per stop: at most one entry per window.
-    per_stop = counted.groupBy("operator", "stop_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("time_window", "n"))).alias("by_window")
-    )
+    """Distinct trips per stop and window, with zero rows for the other windows of a seen stop.
+
+    One flag per window says whether a trip serves the stop in it; summing the
+    flags counts distinct trips without a distinct per window.
+    """
+    flags = [
+        F.max(((F.col("dep_min") >= start) & (F.col("dep_min") < end)).cast("int")).alias(f"w{i}")
+        for i, (_, start, end, _) in enumerate(windows)
+    ]
+    per_trip = running.where("dep_min is not null").groupBy("operator", "stop_id", "trip_id").agg(*flags)
+    counts = F.array(*[F.sum(f"w{i}") for i in range(len(windows))])
+    per_stop = per_trip.groupBy("operator", "stop_id").agg(counts.alias("counts"))
+    seen = per_stop.where(F.array_max("counts") > 0)
     located = stops.where("lon is not null and lat is not null")
-    rows = per_stop.join(located, ["operator", "stop_id"]).select("*", F.explode(window_array(windows)).alias("w"))
-    departures = F.coalesce(F.try_element_at("by_window", F.col("w.label")), F.lit(0))
+    rows = seen.join(located, ["operator", "stop_id"]).select("*", F.posexplode(window_array(windows)).alias("i", "w"))
+    departures = F.get("counts", F.col("i"))
     rate = F.when(F.col("w.hours") > 0, departures / F.col("w.hours")).otherwise(F.lit(0.0))
     return rows.select(
         "operator",
