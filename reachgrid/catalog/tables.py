@@ -9,10 +9,12 @@ from reachgrid.catalog.registry import query
 from reachgrid.functions import text
 from reachgrid.functions.numbers import age_split
 from reachgrid.operators import keys
-from reachgrid.operators.ordering import fill_forward, number_rows, scan_order
+from reachgrid.operators.ordering import fill_forward, number_rows, number_scan, scan_order
 from reachgrid.plans import listings
 from reachgrid.sources.census import by_municipality, match_sections
 from reachgrid.sources.indicators import merge_indicators
+from reachgrid.sources.pois import judged
+from reachgrid.sources.sinks import endpoint_rows
 from reachgrid.workspace import Workspace
 
 
@@ -306,3 +308,49 @@ def _(b):
     )
     census = b.raw("customer").select(F.col("c_nationkey").cast("string").alias("source_code"), F.col("c_custkey").alias("population"))
     return match_sections(census, polygons, "polygon")[1].groupBy("source_code").agg(F.count("*").alias("n"))
+
+
+@query(
+    "s05_ids_in_file_order",
+    "select row_number() over (order by c_custkey) as id, c_custkey, c_name from customer",
+)
+def _(b):
+    return number_scan(scan_order(b.raw("customer")).select("c_custkey", "c_name", "_file", "_block", "_pos"), "id")
+
+
+@query(
+    "s18_endpoint_rows",
+    """select 'cell' as kind, id, printf('%.8f', lon) as lon, printf('%.8f', lat) as lat from cells
+       union all select 'destination', id, printf('%.8f', lon), printf('%.8f', lat) from dests""",
+)
+def _(b):
+    ws = b.workspace()
+    cells, places = (endpoint_rows(ws.table(t)) for t in ("grid_cells", "destinations"))
+    return cells.select(F.lit("cell").alias("kind"), "*").unionByName(places.select(F.lit("destination").alias("kind"), "*"))
+
+
+# Places with every kind of fault, from customers.
+PLACES = """
+    select c_custkey as id, c_nationkey > 2 as unified, concat('type ', cast(c_nationkey as string)) as code,
+           case when c_nationkey = 7 then '' else concat('type ', cast(c_nationkey as string)) end as label,
+           case when c_mktsegment = 'MACHINERY' and c_acctbal < 500 then '' else c_name end as name,
+           case when c_acctbal > 9500 then 'west' else cast(c_acctbal / cast(2000 as double) - cast(5 as double) as string) end as lon_text,
+           cast(cast(43 as double) + cast(c_nationkey as double) / cast(40 as double) as string) as lat_text,
+           case when c_nationkey % 4 = 0 then '' when c_nationkey % 4 = 1 then '0' when c_nationkey % 4 = 2 then '2.5' else 'heavy' end
+             as weight_text
+    from {customer}"""
+
+
+@query(
+    "p08_place_checks",
+    f"""with p as ({PLACES.replace("{customer}", "customer")}),
+        t as (select *, try_cast(lon_text as double) as lon, try_cast(lat_text as double) as lat,
+                     case when weight_text = '' then 1.0::double else try_cast(weight_text as double) end as weight from p)
+        select id, case when unified and label = '' then 'missing_type' when name = '' then 'missing_name'
+                        when lon is null or lat is null then 'invalid_coordinates'
+                        when not (lon between -3.5 and -2.3 and lat between 42.9 and 43.5) then 'outside_box'
+                        when weight is null or weight <= 0 then 'invalid_weight' end as reason, weight from t""",
+    "weight",
+)
+def _(b):
+    return judged(b.spark.sql(PLACES, customer=b.raw("customer"))).select("id", "reason", "weight")

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, functions as F
 BROADCAST_ROWS = 500_000
 
 
-def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+def if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Mark *df* for broadcast when it has at most *rows* rows, else leave it alone.
 
     Catalyst multiplies sizes across joins, so it shuffles a large table to meet
     a small one that is itself joined. A count that stops early settles it. A
     side that is too large is joined by shuffle, where AQE splits hot keys.
     """
+    rows = BROADCAST_ROWS if rows is None else rows
     found = df.select(F.lit(1)).limit(rows + 1).count()
     return F.broadcast(df) if found <= rows else df
