@@ -50,7 +50,7 @@ def score_frames(
     rows = reached(ws.table("travel_times"), ws.table("destinations"), ws.table("destination_types"), params, slots, cells)
     grouped = gravity_and_nearest(rows, params)
     if store:
-        grouped = written(grouped, "grouped", ["departure_time"])
+        grouped = written(grouped, "grouped")
     strata = rescaled_weights(extremes(grouped, "score", STRATUM), params)
     if store:
         strata = written(strata, "strata")
