@@ -28,4 +28,5 @@ def test_entry(spark):
     import __spark_entry__ as driver
 
     assert driver.entry(spark).columns == ["departure_time", "mode", "purpose", "cell_id", "score", "score_normalized"]
-    assert driver.queries().keys() == driver.oracle_sql().keys()
+    assert set(driver.oracle_sql()) <= set(driver.queries())
+    assert set(load()[0]) <= set(driver.queries())
