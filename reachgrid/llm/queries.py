@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reachgrid.llm import ngram_join
+from reachgrid.llm import decontaminate, line_dedup, ngram_join, quality
 from reachgrid.llm.registry import ORACLE, QUERIES, query
 from reachgrid.llm.texts import read
 
@@ -35,3 +35,43 @@ WHITE_WORDS = f"regexp_extract_all({FOLD}, '[^\\x20\\x09-\\x0D]+')"
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     linked = ngram_join.link(read(spark, folder, "documents"), k=4, num=85, den=100)
     return linked.select("doc_id", "n_shingles", "component_id")
+
+
+@query("op4_line_dedup")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.dedup_lines(read(spark, folder, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
+ALNUM_WORDS = f"regexp_extract_all({FOLD}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+@query(
+    "op9_benchmark_decontamination",
+    f"""
+    with w as materialized (select doc_id, {ALNUM_WORDS} as ws from documents),
+    b as (select item_id, {ALNUM_WORDS} as ws from benchmark),
+    win as materialized (
+      select distinct item_id, unnest(case when len(ws) = 0 then [] when len(ws) < 10 then [array_to_string(ws, ' ')]
+        else list_transform(range(1, len(ws) - 8), lambda i: array_to_string(ws[i:i+9], ' ')) end) as t,
+        least(len(ws), 10) as m from b),
+    sizes as (select distinct m from win),
+    runs as (select doc_id, m, unnest(range(1, len(ws) - m + 2)) as i, ws from w, sizes where len(ws) >= m),
+    hits as materialized (
+      select r.doc_id, r.i, r.m, win.item_id from (select doc_id, m, i, array_to_string(ws[i:i+m-1], ' ') as t from runs) r
+      join win on win.t = r.t and win.m = r.m),
+    covered as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + m)) as p from hits) group by doc_id),
+    named as (select doc_id, list_sort(list(distinct cast(item_id as varchar))) as items from hits group by doc_id)
+    select w.doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit,
+           cast(coalesce(len(items), 0) as bigint) as n_items, sha256(coalesce(array_to_string(items, ','), '')) as items_sha256,
+           n_hit is not null as contaminated
+    from w left join covered using (doc_id) left join named using (doc_id)""",
+)
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.contamination(read(spark, folder, "documents"), read(spark, folder, "benchmark"), width=10)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+@query("op5_quality_rules")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    judged = quality.judge(read(spark, folder, "documents"), read(spark, folder, "labels"))
+    return judged.select("doc_id", *[F.col(f"{quality.Q}.{c}").alias(c) for c in quality.COUNTS], "base_failed", "kept")

@@ -45,7 +45,7 @@ def code_in(keys: np.ndarray) -> np.ndarray:
 
 
 def frequencies(texts: DataFrame, tokens: Callable[[pa.Array], Iterator[np.ndarray]], bits: int) -> np.ndarray:
-    """Codes of all counters over the string column ``text`` of *texts*.
+    """Codes of all counters over the only column of *texts*.
 
     *tokens* yields hash arrays of a batch. Each task adds up its counters and
     sends them in segments; segments are added in two levels, so that no task
@@ -82,7 +82,7 @@ def frequencies(texts: DataFrame, tokens: Callable[[pa.Array], Iterator[np.ndarr
         )
 
     schema = "segment int, salt int, counts binary, width int"
-    parts = texts.select("text").mapInArrow(count, schema)
+    parts = texts.mapInArrow(count, schema)
     once = parts.groupBy("segment", "salt").applyInArrow(added, schema)
     whole = once.groupBy("segment").applyInArrow(added, schema).select("segment", "counts")
     counts = np.zeros(size, dtype=np.uint64)
