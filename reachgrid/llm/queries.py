@@ -2,17 +2,55 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reachgrid.llm import decontaminate, line_dedup, ngram_join, quality
+from reachgrid.llm import decontaminate, fixity, html_text, licences, line_dedup, ngram_join, packing, quality, sharding, token_store
 from reachgrid.llm.registry import ORACLE, QUERIES, query
 from reachgrid.llm.texts import read
+from reachgrid.session import shared_dir
 
 __all__ = ["ORACLE", "QUERIES"]
 
 FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WHITE_WORDS = f"regexp_extract_all({FOLD}, '[^\\x20\\x09-\\x0D]+')"
 
+TOKENIZER = "word_bpe_49k.json"
+
+
+def fresh_folder(spark: SparkSession, label: str) -> str:
+    return f"{shared_dir(spark)}/reachgrid/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+@query(
+    "op1_warc_fixity_audit",
+    f"""
+    with r as (
+      select page_id, 'WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:' || page_id || '>\r\nWARC-Target-URI: ' || url
+        || '\r\nContent-Type: text/html\r\nContent-Length: ' || strlen(html) || '\r\n\r\n' || html || '\r\n\r\n' as rec from pages),
+    l as (select page_id, strlen(rec) as length, sha256(rec) as digest,
+                 coalesce(sum(strlen(rec)) over (order by page_id rows between unbounded preceding and 1 preceding), 0) as pos from r),
+    f as (select *, pos // {fixity.FILE_BYTES} as file from l)
+    select page_id, cast(file as bigint) as file, cast(row_number() over (partition by file order by page_id) - 1 as bigint) as record,
+           cast(pos - min(pos) over (partition by file) as bigint) as "offset", cast(length as bigint) as length, digest,
+           page_id % 97 <> 13 as intact
+    from f""".replace("'WARC", "E'WARC").replace("'\r", "E'\r").replace("'>\r", "E'>\r"),
+)
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    """The table against an archive of it in which one byte of some records was changed."""
+    pages = read(spark, folder, "pages")
+    places = fixity.layout(pages)
+    rows = fixity.records(pages, places)
+    hurt = F.expr("concat(left(value, length(value) - 1), case when right(value, 1) = '~' then '!' else '~' end)")
+    archive = fresh_folder(spark, "warc")
+    marked = fixity.records(pages, places, ("page_id",)).withColumn("value", F.when(F.col("page_id") % 97 == 13, hurt).otherwise(F.col("value")))
+    fixity.write_archive(marked, archive)
+    table_tree = fixity.tree_of_records(rows, label="table-tree")
+    archive_tree = fixity.tree_of_archive(spark, archive, places, label="archive-tree")
+    bad, _ = fixity.audit(table_tree, archive_tree)
+    return fixity.verdicts(places, table_tree, bad)
+
 
 @query(
     "op2_ngram_jaccard_join",
@@ -75,3 +113,53 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality.judge(read(spark, folder, "documents"), read(spark, folder, "labels"))
     return judged.select("doc_id", *[F.col(f"{quality.Q}.{c}").alias(c) for c in quality.COUNTS], "base_failed", "kept")
+
+
+@query("op3_token_orc")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    path = fresh_folder(spark, "tokens")
+    token_store.write_tokens(read(spark, folder, "documents"), path, public_tokenizers.path(TOKENIZER), end_id=1)
+    stored = token_store.read_tokens(spark, path)
+    return stored.select("doc_id", "start", "n_tokens", token_store.ids_crc32(F.col("ids")).alias("ids_crc32"))
+
+
+def _licence_sql() -> str:
+    known = ", ".join(f"'{v}': '{k}'" for k, v in licences.SENTENCES.items())
+    steps = [f"""
+    s as (select doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \t\r\f]+', E'\\1\n', 'g'), E'\n') as ss from documents),
+    n as (select doc_id, list_transform(ss, lambda x: trim(regexp_replace(translate(x, '{licences.UPPER}', '{licences.LOWER}'),
+            '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'))) as ns from s),
+    i as (select doc_id, list_filter(list_transform(ns, lambda x: element_at(map {{{known}}}, x)[1]), lambda x: x is not null) as ids from n),
+    r0 as (select doc_id, ids, array_to_string(list_transform(ids, lambda x: ';' || x || ';'), '') as l, [] :: varchar[] as names from i)"""]
+    for k, (name, sequence) in enumerate(licences.RULES):
+        w = licences.spelt(sequence)
+        steps.append(f"""
+    r{k + 1} as (select doc_id, ids, replace(l, '{w}', '|') as l,
+                 case when contains(l, '{w}') then list_append(names, '{name}') else names end as names from r{k})""")
+    return "with " + ",".join(steps) + f"""
+    select doc_id, coalesce(array_to_string(ids, ','), '') as sentence_ids, coalesce(array_to_string(names, ','), '') as licences
+    from r{len(licences.RULES)}"""
+
+
+@query("op6_license_scan", _licence_sql())
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    found = licences.scan(read(spark, folder, "documents"))
+    return found.select("doc_id", F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licences", ",").alias("licences"))
+
+
+@query("op7_html_extraction")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(read(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@query("op8_rendezvous_sharding")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.slots(read(spark, folder, "documents"), [1.0] * 24, grown=1.0)
+
+
+@query("op10_best_fit_packing")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    return packing.pack(docs, packing.byte_length(F.col("text")), packing.exact_cluster(F.col("text")))

@@ -92,8 +92,11 @@ def slices(bounds: np.ndarray, size: int = SLICE) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
-def words_of(raw: np.ndarray, bounds: np.ndarray, separator: np.ndarray, fold: np.ndarray) -> Words:
-    """Words of consecutive rows; *bounds* are the rows' byte bounds in *raw*."""
+def words_of(raw: np.ndarray, bounds: np.ndarray, separator: np.ndarray, fold: np.ndarray, kinds: np.ndarray | None = None) -> Words:
+    """Words of consecutive rows; *bounds* are the rows' byte bounds in *raw*.
+
+    With *kinds* a word also ends between a byte of kind 1 and one of kind 2.
+    """
     base = int(bounds[0])
     raw, bounds = raw[base : int(bounds[-1])], bounds - base
     n = len(raw)
@@ -101,6 +104,11 @@ def words_of(raw: np.ndarray, bounds: np.ndarray, separator: np.ndarray, fold: n
     opens, closes = inside.copy(), inside.copy()
     opens[1:] &= ~inside[:-1]
     closes[:-1] &= ~inside[1:]
+    if kinds is not None and n > 1:
+        kind = kinds[raw]
+        between = kind[:-1] * kind[1:] == 2
+        closes[:-1] |= between
+        opens[1:] |= between
     cuts = bounds[(bounds > 0) & (bounds < n)]
     opens[cuts] = inside[cuts]
     closes[cuts - 1] = inside[cuts - 1]
