@@ -13,8 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from reachgrid.llm.rarity import frequencies
-from reachgrid.llm.texts import text_key, written
+from reachgrid.llm.rarity import flags_of
+from reachgrid.llm.texts import text_key, without, written
 from reachgrid.llm.words import LOWER, NOT_ALNUM, U, Words, grams, longs, read_words, text_grams
 
 #: Words of a shingle; a shorter window is one shingle.
@@ -61,15 +61,6 @@ def _hits(hashes: np.ndarray, present: np.ndarray) -> np.ndarray:
     return np.flatnonzero(present[(hashes >> U(64 - FILTER_BITS)).astype(np.int64)])
 
 
-def _filter(table: DataFrame, column: str) -> np.ndarray:
-    """Flags of the hashes in a long column."""
-
-    def tokens(values):
-        yield values.to_numpy(zero_copy_only=False).astype(np.int64).view(U)
-
-    return frequencies(table.select(column), tokens, FILTER_BITS) > 0
-
-
 def _runs(words: Words, sizes: list[int]):
     """For each shingle size: (hashes of the texts long enough, first word of each)."""
     count = np.diff(words.first)
@@ -142,7 +133,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> Dat
     shingles = windows.select("window", "m", F.posexplode("shingles").alias("offset", "shingle"))
     # At most SHINGLE values.
     sizes = sorted(int(r["s"]) for r in windows.select(F.least("m", F.lit(SHINGLE)).alias("s")).distinct().collect())
-    present = spark.sparkContext.broadcast(_filter(shingles, "shingle"))
+    present = spark.sparkContext.broadcast(flags_of(shingles, "shingle", FILTER_BITS))
     counts = written(_counts(docs, present, sizes), "shingle-counts")
     # A window with a shingle that no document has cannot occur.
     best = F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "shingle", "offset")).alias("rarest")
@@ -150,7 +141,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> Dat
     prefixes = written(
         prefixes.join(windows.select("window", "items"), "window").select("window", "m", "items", "rarest.shingle", "rarest.offset"), "prefixes"
     )
-    wanted = spark.sparkContext.broadcast(_filter(prefixes, "shingle"))
+    wanted = spark.sparkContext.broadcast(flags_of(prefixes, "shingle", FILTER_BITS))
     table = _candidates(docs, wanted, sizes, width)
 
     places = table.where(F.size("found") > 0).select("rid", "n_words", F.explode("found").alias("f"))
@@ -187,6 +178,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> Dat
 def clean_of(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
     """Rows of *docs* whose text holds no window of the benchmark; all columns are kept."""
     bad = contamination(docs, benchmark, width).where("contaminated").select("k1", "k2").distinct()
-    keyed = docs.withColumns(dict(zip(("_k1", "_k2"), text_key(F.col("text")))))
-    bad = written(bad, "contaminated").select(F.col("k1").alias("_b1"), F.col("k2").alias("_b2"))
-    return keyed.join(bad, (F.col("_k1") == F.col("_b1")) & (F.col("_k2") == F.col("_b2")), "left_anti").drop("_k1", "_k2")
+    return without(docs, written(bad, "contaminated"))

@@ -25,6 +25,10 @@ SEGMENT = 1 << 16
 KEY_BITS = 56
 #: What one task reports of a counter at most; sums over tasks go on rising.
 TASK_MOST = 255
+#: Where sums stop.
+MOST = (1 << 32) - 1
+#: Tasks whose counters are added in one step.
+JOINED = 32
 
 
 def code_of(counts: np.ndarray) -> np.ndarray:
@@ -40,16 +44,12 @@ def keys_of(hashes: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return (codes[(hashes >> shift).astype(np.int64)].astype(U) << U(KEY_BITS)) | (hashes >> U(64 - KEY_BITS))
 
 
-def code_in(keys: np.ndarray) -> np.ndarray:
-    return (keys >> U(KEY_BITS)).astype(np.uint8)
-
-
 def frequencies(texts: DataFrame, tokens: Callable[[pa.Array], Iterator[np.ndarray]], bits: int) -> np.ndarray:
     """Codes of all counters over the only column of *texts*.
 
     *tokens* yields hash arrays of a batch. Each task adds up its counters and
-    sends them in segments; segments are added in two levels, so that no task
-    meets more than a share of the tasks before it.
+    sends them in segments, a byte each; segments of 32 tasks are added, then
+    those of 32 such sums, then the rest.
     """
     size = 1 << bits
 
@@ -66,27 +66,42 @@ def frequencies(texts: DataFrame, tokens: Callable[[pa.Array], Iterator[np.ndarr
                     np.add.at(total, at, 1)
         part = TaskContext.get().partitionId()
         if total.any():
-            parts = np.minimum(total, TASK_MOST).astype(np.uint32).reshape(-1, min(SEGMENT, size))
+            parts = np.minimum(total, TASK_MOST).astype(np.uint8).reshape(-1, min(SEGMENT, size))
             for i, values in enumerate(parts):
                 if values.any():
-                    yield pa.RecordBatch.from_pydict(
-                        {"segment": pa.array([i], pa.int32()), "salt": pa.array([part % 64], pa.int32()), "counts": pa.array([values.astype(np.uint8).tobytes()], pa.binary()), "width": pa.array([1], pa.int32())}
-                    )
+                    yield row(i, part, values)
+
+    def row(segment: int, part: int, values: np.ndarray) -> pa.RecordBatch:
+        columns = [pa.array([segment], pa.int32()), pa.array([part], pa.int32()), pa.array([values.tobytes()], pa.binary()), pa.array([values.itemsize], pa.int32())]
+        return pa.RecordBatch.from_arrays(columns, names=["segment", "part", "counts", "width"])
+
+    def total_of(table) -> np.ndarray:
+        total = np.zeros(min(SEGMENT, size), dtype=np.uint64)
+        for blob, width in zip(table.column("counts"), table.column("width").to_pylist()):
+            total += np.frombuffer(blob.as_py(), dtype=np.uint8 if width == 1 else np.uint32)
+        return np.minimum(total, MOST)
 
     def added(key, table):
-        total = np.uint64(0)
-        for blob, width in zip(table.column("counts").to_pylist(), table.column("width").to_pylist()):
-            total = total + np.frombuffer(blob, dtype=np.uint8 if width == 1 else np.uint64).astype(np.uint64)
-        return pa.Table.from_pydict(
-            {"segment": pa.array([key[0].as_py()], pa.int32()), "salt": pa.array([0], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary()), "width": pa.array([8], pa.int32())}
-        )
-
-    schema = "segment int, salt int, counts binary, width int"
-    parts = texts.mapInArrow(count, schema)
-    once = parts.groupBy("segment", "salt").applyInArrow(added, schema)
-    whole = once.groupBy("segment").applyInArrow(added, schema).select("segment", "counts")
-    counts = np.zeros(size, dtype=np.uint64)
-    for row in whole.collect():
-        width = min(SEGMENT, size)
-        counts[row["segment"] * width : (row["segment"] + 1) * width] = np.frombuffer(row["counts"], dtype=np.uint64)
-    return code_of(counts)
+        return pa.Table.from_batches([row(key[0].as_py(), key[1].as_py(), total_of(table).astype(np.uint32))])
+
+    def coded(key, table):
+        return pa.Table.from_batches([row(key[0].as_py(), 0, code_of(total_of(table)))])
+
+    schema = "segment int, part int, counts binary, width int"
+    sums = texts.mapInArrow(count, schema)
+    for _ in range(2):
+        sums = sums.groupBy("segment", F.floor(F.col("part") / JOINED).cast("int").alias("_group")).applyInArrow(added, schema)
+    codes = np.zeros(size, dtype=np.uint8)
+    width = min(SEGMENT, size)
+    for found in sums.groupBy("segment").applyInArrow(coded, schema).select("segment", "counts").toLocalIterator():
+        codes[found["segment"] * width : (found["segment"] + 1) * width] = np.frombuffer(found["counts"], dtype=np.uint8)
+    return codes
+
+
+def flags_of(table: DataFrame, column: str, bits: int) -> np.ndarray:
+    """Which of ``2 ** bits`` places the hashes in a long column of *table* fall on: a filter of fixed size."""
+
+    def tokens(values):
+        yield values.to_numpy(zero_copy_only=False).astype(np.int64).view(U)
+
+    return frequencies(table.select(column), tokens, bits) > 0

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from reachgrid.session import written
 
-__all__ = ["columns", "read", "text_key", "written", "ordered_sums"]
+__all__ = ["free", "ordered_sums", "read", "text_key", "without", "written"]
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -21,8 +21,23 @@ def text_key(text: Column) -> list[Column]:
     return [F.xxhash64(whole).alias("_k1"), F.xxhash64(F.lit("second"), whole).alias("_k2")]
 
 
-def columns(batch: pa.RecordBatch, names: list[str]) -> dict[str, pa.Array]:
-    return {name: batch.column(batch.schema.get_field_index(name)) for name in names}
+def free(df: DataFrame, name: str) -> str:
+    """*name*, with signs behind it until no column of *df* is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of *docs* whose text, and doc_id where *gone* has one, is not in *gone* (k1, k2[, doc]); all columns stay."""
+    keys = [free(docs, n) for n in ("_own_k1", "_own_k2")]
+    theirs = {c: free(docs, f"_gone_{c}") for c in gone.columns}
+    keyed = docs.withColumns(dict(zip(keys, text_key(F.col("text")))))
+    same = (F.col(keys[0]) == F.col(theirs["k1"])) & (F.col(keys[1]) == F.col(theirs["k2"]))
+    if "doc" in theirs:
+        same = same & F.col("doc_id").cast("long").eqNullSafe(F.col(theirs["doc"]))
+    return keyed.join(gone.withColumnsRenamed(theirs), same, "left_anti").drop(*keys)
 
 
 def ordered_sums(df: DataFrame, order: list[str], amounts: dict[str, str], label: str, by: str | None = None) -> DataFrame:

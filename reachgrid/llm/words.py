@@ -160,8 +160,11 @@ def text_grams(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     at = np.ones(len(out), dtype=bool)
     at[bounds[:-1][short]] = False
     out[at] = whole[np.flatnonzero(keep[: len(whole)])] if len(whole) else whole
-    for r in short:
-        out[bounds[r]] = grams(words.hash[words.first[r] : words.first[r + 1]], k)[0]
+    for c in range(1, k):
+        rows = short[count[short] == c]
+        if len(rows):
+            total = sum((words.hash[words.first[rows] + j] * FACTORS[j] for j in range(1, c)), words.hash[words.first[rows]] * FACTORS[0])
+            out[bounds[rows]] = mix(total + U(c))
     return out, bounds
 
 
