@@ -1,8 +1,8 @@
 """Line dedup by an exact set-similarity join.
 
-A line is the set of its words. Words are ordered by rarity over the whole
-corpus; a line is indexed under its prefix, the rarest words of which any match
-shares one. Length and positional filters leave few candidates, whose whole
+A line is the set of its tokens, which are runs of five words. Tokens are
+ordered by rarity over the whole corpus; a line is indexed under its prefix,
+the rarest tokens of which any match shares one. Length and positional filters leave few candidates, whose whole
 sets are compared. Of lines that match, all but the earliest go.
 
 Only whether an earlier match exists matters, so large buckets cost no square:
@@ -16,16 +16,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from reachgrid.llm.rarity import frequencies
-from reachgrid.llm.setjoin import may_match, prefix_length, verified
-from reachgrid.llm.texts import text_key, written
-from reachgrid.llm.words import LOWER, U, WHITE, bytes_of, longs, mix, slices, words_of
+from reachgrid.llm.rarity import frequencies, keys_of
+from reachgrid.llm.setjoin import may_match, prefix_length, shared_entries, verified
+from reachgrid.llm.texts import free, ordered_sums, text_key, written
+from reachgrid.llm.words import LOWER, U, WHITE, bytes_of, longs, mix, read_words, slices, text_grams, words_of
 from reachgrid.operators.sizes import if_small
 
-RARITY_BITS = 24
-LINES = (1 << 12) - 1
-LOW = U((1 << 52) - 1)
-
+RARITY_BITS = 22
+#: A line's place in order is its document's rank times this, plus its number.
+LINE_BITS = 24
 
 def _line_bounds(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(byte bounds of all lines, row of each line, number of each line in its row)."""
@@ -38,26 +37,23 @@ def _line_bounds(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.append(starts, bounds[-1]), rows, np.arange(len(rows)) - first[rows]
 
 
-def _line_sets(raw: np.ndarray, lines: np.ndarray):
-    """(first line, line after the last, distinct word hashes of 52 bits, bounds by line) by slices of lines."""
-    for i, j in slices(lines, 1 << 17):
-        for a in range(i, j, LINES):
-            b = min(a + LINES, j)
-            words = words_of(raw, lines[a : b + 1], WHITE, LOWER)
-            found = np.unique((words.row.astype(U) << U(52)) | (words.hash >> U(12)))
-            yield a, b, found & LOW, np.searchsorted(found >> U(52), np.arange(b - a + 1, dtype=U))
+def _line_sets(raw: np.ndarray, lines: np.ndarray, k: int):
+    """(first line, line after the last, distinct token hashes, bounds by line) by slices of lines."""
+    for a, b in slices(lines, 1 << 17):
+        tokens, at = text_grams(words_of(raw, lines[a : b + 1], WHITE, LOWER), k)
+        line = np.repeat(np.arange(b - a), np.diff(at))
+        turn = np.lexsort((tokens, line))
+        tokens, line = tokens[turn], line[turn]
+        new = np.ones(len(tokens), dtype=bool)
+        new[1:] = (tokens[1:] != tokens[:-1]) | (line[1:] != line[:-1])
+        yield a, b, tokens[new], np.searchsorted(line[new], np.arange(b - a + 1))
 
 
-def _by_rarity(hashes: np.ndarray, bounds: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, their codes), rising inside each line."""
-    code = codes[(hashes >> U(52 - (len(codes).bit_length() - 1))).astype(np.int64)]
-    line = np.repeat(np.arange(len(bounds) - 1, dtype=U), np.diff(bounds))
-    coarse = (line << U(51)) | (code.astype(U) << U(44)) | (hashes >> U(8))
-    turn = np.argsort(coarse)
-    if len(turn) > 1 and (np.diff(coarse[turn]) == 0).any():
-        turn = np.lexsort((hashes, code, line))
-    code = code[turn]
-    return (code.astype(U) << U(56)) | hashes[turn], code
+def _by_rarity(hashes: np.ndarray, bounds: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Keys, rising inside each line."""
+    keys = keys_of(hashes, codes)
+    line = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    return keys[np.lexsort((keys, line))]
 
 
 def _segment_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -65,158 +61,144 @@ def _segment_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
-def _index(docs: DataFrame, codes, num: int, den: int, least: int) -> DataFrame:
-    """A row for each line with words: its place, size, fingerprint and prefix keys."""
+def _index(docs: DataFrame, ranks: DataFrame, codes, k: int, num: int, den: int, least: int) -> DataFrame:
+    """A row for each line with tokens: its place, size, fingerprint (id) and prefix keys."""
 
     def lines_of(batches):
         for batch in batches:
             raw, bounds = bytes_of(batch.column(0))
             ends, rows, numbers = _line_bounds(raw, bounds)
-            for a, b, hashes, at in _line_sets(raw, ends):
+            for a, b, hashes, at in _line_sets(raw, ends, k):
                 n = np.diff(at)
-                keys, code = _by_rarity(hashes, at, codes.value)
-                # Words that occur once in all texts cannot be shared; rare ones come first.
-                once = _segment_sums((code <= 1).astype(U), at).astype(np.int64)
-                some = np.flatnonzero((n > 0) & (n >= least))
-                prefix = prefix_length(n, num, den)
-                begin, stop = at[:-1] + np.minimum(once, prefix), at[:-1] + prefix
-                size = (stop - begin)[some]
-                bounds_out = np.concatenate([[0], np.cumsum(size)])
-                flat = keys[np.repeat(begin[some] - bounds_out[:-1], size) + np.arange(bounds_out[-1])]
-                row = pa.array(rows[a:b][some])
+                keys = _by_rarity(hashes, at, codes.value)
+                some = np.flatnonzero(n >= max(least, 1))
+                size = prefix_length(n[some], num, den)
+                cuts = np.concatenate([[0], np.cumsum(size)])
+                flat = keys[np.repeat(at[some] - cuts[:-1], size) + np.arange(cuts[-1])]
+                prints = mix(_segment_sums(mix(hashes), at) ^ mix(n.astype(U)))[some]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        *[c.take(row) for c in batch.columns[1:]],
-                        pa.array(numbers[a:b][some]),
-                        pa.array(n[some]),
-                        pa.array(_segment_sums(mix(hashes), at)[some].astype(np.int64)),
-                        pa.array(_segment_sums(mix(hashes ^ U(0x5BD1E995)), at)[some].astype(np.int64)),
-                        pa.array((begin - at[:-1])[some]),
-                        longs(flat, bounds_out),
-                    ],
-                    names=["doc", "k1", "k2", "line", "n", "fp1", "fp2", "skipped", "keys"],
+                    [*[c.take(pa.array(rows[a:b][some])) for c in batch.columns[1:]], pa.array(numbers[a:b][some]), pa.array(n[some]), pa.array(prints.astype(np.int64)), longs(flat, cuts)],
+                    names=["doc", "k1", "k2", "line", "n", "id", "keys"],
                 )
 
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").cast("long").alias("doc"), *text_key(F.col("text")))
-    schema = "doc long, k1 long, k2 long, line long, n long, fp1 long, fp2 long, skipped long, keys array<long>"
-    return written(texts.mapInArrow(lines_of, schema).withColumn("rid", F.monotonically_increasing_id()), "lines")
-
+    lines = texts.mapInArrow(lines_of, "doc long, k1 long, k2 long, line long, n long, id long, keys array<long>").alias("l")
+    r = if_small(ranks).alias("r")
+    same = F.col("l.doc").eqNullSafe(F.col("r.doc")) & (F.col("l.k1") == F.col("r.k1")) & (F.col("l.k2") == F.col("r.k2"))
+    place = F.shiftleft(F.col("r.doc_rank"), LINE_BITS) + F.col("l.line")
+    return written(lines.join(r, same).select(place.alias("place"), "l.id", "l.n", "l.keys"), "lines")
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, repeats: bool) -> DataFrame:
-    """(id, keys) of the wanted lines (id, doc, k1, k2, line).
 
-    With *repeats* some rows give doc_id and text again, and so their sets.
-    """
+def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(id, keys) of the wanted lines (id, doc, k1, k2, line)."""
 
     def sets(batches):
         for batch in batches:
-            for text, ids, numbers in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for text, picks in zip(batch.column(0), batch.column(1).to_pylist()):
                 raw, bounds = bytes_of(pa.array([text.as_py()], pa.string()))
                 ends, _, _ = _line_bounds(raw, bounds)
-                turn = np.argsort(numbers)
-                ids, numbers = np.array(ids)[turn], np.array(numbers)[turn]
-                for a, b, hashes, at in _line_sets(raw, ends):
+                picks = sorted((p["line"], p["id"]) for p in picks)
+                numbers, ids = np.array([p[0] for p in picks]), np.array([p[1] for p in picks])
+                for a, b, hashes, at in _line_sets(raw, ends, k):
                     here = slice(*np.searchsorted(numbers, [a, b]))
-                    picks = numbers[here] - a
-                    parts = [hashes[at[p] : at[p + 1]] for p in picks]
+                    parts = [hashes[at[p] : at[p + 1]] for p in numbers[here] - a]
                     if parts:
                         cuts = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
                         yield pa.RecordBatch.from_arrays([pa.array(ids[here]), longs(np.concatenate(parts), cuts)], names=["id", "keys"])
 
     texts = docs.select("text", F.col("doc_id").cast("long").alias("_doc"), *text_key(F.col("text")))
-    w = if_small(wanted.groupBy("doc", "k1", "k2").agg(F.collect_list(F.struct("id", "line")).alias("lines"))).alias("w")
+    w = if_small(wanted.groupBy("doc", "k1", "k2").agg(F.collect_set(F.struct("id", "line")).alias("lines"))).alias("w")
     same = (F.col("_k1") == F.col("w.k1")) & (F.col("_k2") == F.col("w.k2")) & F.col("_doc").eqNullSafe(F.col("w.doc"))
-    found = texts.join(w, same).select("text", F.col("lines.id").alias("id"), F.col("lines.line").alias("line"))
-    found = found.mapInArrow(sets, "id long, keys array<long>")
-    if repeats:
-        found = found.groupBy("id").agg(F.first("keys").alias("keys"))
-    return written(found, "line-sets")
+    found = texts.join(w, same).select("text", "lines").mapInArrow(sets, "id long, keys array<long>")
+    # Rows that repeat a document give its sets again.
+    return written(found.groupBy("id").agg(F.first("keys").alias("keys")), "line-sets")
 
 
-def _matching(docs: DataFrame, index: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """Ids (b) of the pairs that match."""
-    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    wanted = index.select(F.col("rid").alias("id"), "doc", "k1", "k2", "line").join(ends, "id")
-    repeats = not index.groupBy("doc", "k1", "k2", "line").count().where("count > 1").isEmpty()
-    return verified(pairs, _sets_of(docs, wanted, repeats), num, den).select("b").distinct()
+def _rank() -> Column:
+    return F.shiftright(F.col("place"), LINE_BITS)
 
 
-def _place() -> Column:
-    return F.struct(F.col("doc").isNull().alias("none"), "doc", "k1", "k2", "line")
+def _line() -> Column:
+    return F.col("place").bitwiseAND((1 << LINE_BITS) - 1)
 
 
-def repeated_lines(docs: DataFrame, num: int = 80, den: int = 100, least: int = 1, rarity_bits: int = RARITY_BITS) -> DataFrame:
+def repeated_lines(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, least: int = 1, rarity_bits: int = RARITY_BITS) -> DataFrame:
     """(doc, k1, k2, lines): numbers of the lines, from 0, that an earlier line of any document matches.
 
     Lines are parts of a text between line feeds; their words are runs of
-    non-white bytes, A-Z lower-cased. Lines match when the Jaccard similarity
-    of their sets of words is at least num / den. Lines without words, or with
-    fewer than *least* distinct ones, neither match nor go. Order is by doc_id
-    (nulls last), then by hashes of the text (k1, k2), then by line. An earlier
-    line counts whether or not it goes itself. Rows that repeat doc_id and text
-    are one document. Documents without such lines have no row.
+    non-white bytes, A-Z lower-cased, and their tokens the distinct runs of *k*
+    words, or all words of a shorter line. Lines match when the Jaccard
+    similarity of their sets of tokens is at least num / den. Tokens and sets
+    are known by 64-bit hashes. Lines without words, or with fewer than *least*
+    tokens, neither match nor go. Order is by doc_id (nulls last), then by
+    hashes of the text (k1, k2), then by line. An earlier line counts whether or
+    not it goes itself. Rows that repeat doc_id and text are one document.
+    Documents without such lines have no row. A text has at most 2 ** 24 lines.
     """
     docs = docs.select("doc_id", "text")
     spark = docs.sparkSession
 
     def occurrences(column):
-        raw, bounds = bytes_of(column)
-        for i, j in slices(bounds):
-            yield words_of(raw, bounds[i : j + 1], WHITE, LOWER).hash
+        for _, _, words in read_words(column, WHITE, LOWER):
+            yield text_grams(words, k)[0]
 
     codes = spark.sparkContext.broadcast(frequencies(docs.select("text"), occurrences, rarity_bits))
-    index = _index(docs, codes, num, den, least)
-    classes = written(
-        index.groupBy("n", "fp1", "fp2").agg(F.min(_place()).alias("place"), F.min("rid").alias("cls")), "line-classes"
-    )
-    keyed = index.where(F.size("keys") > 0).join(classes.select(F.col("cls").alias("rid")), "rid")
-    tokens = keyed.select(
-        F.col("rid").alias("cls"), F.col("n").cast("int").alias("n"), F.col("skipped").cast("int").alias("skipped"), F.posexplode("keys").alias("at", "key")
-    ).select("cls", "n", "key", (F.col("skipped") + F.col("at")).alias("pos"))
-    # Most keys are in one line alone; they go before anything else moves with them.
-    shared = tokens.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
-    hits = tokens.join(shared, "key").join(classes.select("cls", "place"), "cls")
-    hits = written(hits.select("key", "cls", F.col("n").cast("long").alias("n"), "pos", "place"), "line-hits")
-    pivots = hits.groupBy("key").agg(F.min(F.struct("place", "cls", "n", "pos")).alias("pivot"))
-    h, v = hits.alias("h"), pivots.alias("v")
-    near = may_match(F.col("h.n"), F.col("h.pos"), F.col("v.pivot.n"), F.col("v.pivot.pos"), num, den)
-    star = h.join(v, (F.col("h.key") == F.col("v.key")) & (F.col("h.cls") != F.col("v.pivot.cls")) & near)
-    first = written(star.select(F.col("v.pivot.cls").alias("a"), F.col("h.cls").alias("b")).distinct(), "line-pairs")
-    gone = written(_matching(docs, index, first, num, den), "line-matches")
-
-    x = hits.alias("x")
-    y = hits.join(gone, F.col("cls") == F.col("b"), "left_anti").alias("y")
+    known = docs.select(F.col("doc_id").cast("long").alias("doc"), *text_key(F.col("text"))).toDF("doc", "k1", "k2").distinct()
+    ranks = written(ordered_sums(known.withColumn("_one", F.lit(1)), ["doc", "k1", "k2"], {"doc_rank": "_one"}, "doc-order"), "doc-ranks")
+    index = _index(docs, ranks, codes, k, num, den, least)
+    classes = written(index.groupBy("id").agg(F.min("place").alias("place")), "line-classes")
+
+    entries = shared_entries(index.select("id", "n", F.col("place").alias("rank"), F.lit(0).cast("long").alias("skipped"), "keys"))
+    # Equal lines are one entry.
+    entries = written(entries.groupBy("key", "id", "n", "pos").agg(F.min("rank").alias("place")), "line-entries")
+    leads = entries.groupBy("key").agg(F.count("*").alias("size"), F.min("place").alias("lead")).where("size > 1").select("key", "lead")
+    hits = written(entries.join(leads, "key"), "line-hits")
+    h, v = hits.alias("h"), hits.where("place = lead").alias("v")
+    near = may_match(F.col("h.n"), F.col("h.pos"), F.col("v.n"), F.col("v.pos"), num, den)
+    star = h.join(v, (F.col("h.key") == F.col("v.key")) & (F.col("h.place") != F.col("v.place")) & near)
+    first = written(star.select(F.col("v.id").alias("a"), F.col("h.id").alias("b")).distinct(), "line-pairs")
+
+    def matching(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        firsts = ends.join(classes, "id").select("id", _rank().alias("doc_rank"), _line().alias("line"))
+        wanted = firsts.join(ranks, "doc_rank").select("id", "doc", "k1", "k2", "line")
+        return verified(pairs, _sets_of(docs, wanted, k), num, den).select("b").distinct()
+
+    gone = written(matching(first), "line-matches")
+    x, y = hits.alias("x"), hits.join(gone, F.col("id") == F.col("b"), "left_anti").alias("y")
     bound = may_match(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), num, den)
     rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.place") < F.col("y.place")) & bound).select(
-        F.col("x.cls").alias("a"), F.col("y.cls").alias("b")
+        F.col("x.id").alias("a"), F.col("y.id").alias("b")
     )
     rest = written(rest.distinct().join(first, ["a", "b"], "left_anti"), "line-rest")
     if not rest.isEmpty():
-        gone = written(gone.unionByName(_matching(docs, index, rest, num, den)).distinct(), "line-matches")
+        gone = written(gone.unionByName(matching(rest)).distinct(), "line-matches")
 
-    judged = classes.join(gone, F.col("cls") == F.col("b"), "left").select("n", "fp1", "fp2", "place", F.col("b").isNotNull().alias("gone"))
-    later = index.select("doc", "k1", "k2", "line", "n", "fp1", "fp2").join(judged, ["n", "fp1", "fp2"])
-    later = later.where(F.col("gone") | (_place() != F.col("place")))
-    return later.groupBy("doc", "k1", "k2").agg(F.collect_set("line").alias("lines"))
+    judged = classes.join(gone, F.col("id") == F.col("b"), "left").select("id", F.col("place").alias("first"), F.col("b").isNotNull().alias("gone"))
+    later = index.select("id", "place").join(judged, "id").where(F.col("gone") | (F.col("place") != F.col("first")))
+    lines = later.groupBy(_rank().alias("doc_rank")).agg(F.collect_set(_line()).alias("lines"))
+    return lines.join(ranks, "doc_rank").select("doc", "k1", "k2", "lines")
 
 
-def dedup_lines(docs: DataFrame, num: int = 80, den: int = 100, least: int = 1, rarity_bits: int = RARITY_BITS) -> DataFrame:
+def dedup_lines(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, least: int = 1, rarity_bits: int = RARITY_BITS) -> DataFrame:
     """*docs* without its repeated lines (see :func:`repeated_lines`), with n_lines and n_removed.
 
     Other lines keep their order and bytes. A null text stays null and has no
     lines; an empty one has one line and stays. All columns and rows are kept;
     columns named n_lines or n_removed are replaced.
     """
-    lines = written(repeated_lines(docs, num, den, least, rarity_bits), "repeated-lines").alias("r")
-    keyed = docs.withColumns(dict(zip(("_k1", "_k2"), text_key(F.col("text")))))
-    same = (F.col("_k1") == F.col("r.k1")) & (F.col("_k2") == F.col("r.k2")) & F.col("doc_id").cast("long").eqNullSafe(F.col("r.doc"))
-    joined = keyed.join(lines, same, "left").select(*[keyed[c] for c in docs.columns], F.col("r.lines").alias("_lines"))
+    found = written(repeated_lines(docs, k, num, den, least, rarity_bits), "repeated-lines")
+    k1, k2, mark = (free(docs, n) for n in ("_own_k1", "_own_k2", "_lines"))
+    found = found.withColumnsRenamed({c: free(docs, f"_cut_{c}") for c in ("doc", "k1", "k2")} | {"lines": mark})
+    doc, c1, c2 = found.columns[:3]
+    keyed = docs.withColumns(dict(zip((k1, k2), text_key(F.col("text")))))
+    same = (F.col(k1) == F.col(c1)) & (F.col(k2) == F.col(c2)) & F.col("doc_id").cast("long").eqNullSafe(F.col(doc))
+    joined = keyed.join(found, same, "left").drop(k1, k2, doc, c1, c2)
     n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.length("text") - F.length(F.translate("text", "\n", "")) + 1)
-    counted = joined.withColumn("n_lines", n_lines.cast("long")).withColumn(
-        "n_removed", F.when(F.col("_lines").isNull(), 0).otherwise(F.size("_lines")).cast("long")
-    )
-    schema = counted.drop("_lines").schema
-    text_at, lines_at = counted.columns.index("text"), counted.columns.index("_lines")
+    n_removed = F.when(F.col(mark).isNull(), 0).otherwise(F.size(mark))
+    counted = joined.withColumns({"n_lines": n_lines.cast("long"), "n_removed": n_removed.cast("long")})
+    schema = counted.drop(mark).schema
+    text_at, lines_at = counted.columns.index("text"), counted.columns.index(mark)
     keep = [i for i in range(len(counted.columns)) if i != lines_at]
 
     def cut(batches):

@@ -6,8 +6,15 @@ A threshold is a fraction num / den; all tests are on whole numbers.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from reachgrid.llm.rarity import flags_of
+from reachgrid.llm.words import U, mix
+
+#: Bits of the filter in front of the join of index entries.
+FILTER_BITS = 24
+
 
 def prefix_length(n: int | np.ndarray, num: int, den: int):
     """So many of the rarest keys of a set of *n* that any match shares one of them."""
@@ -40,3 +47,46 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     both = pairs.join(right, "b").join(left, "a")
     overlap = F.size(F.array_intersect("_left", "_right")).cast("long")
     return both.where(enough(overlap, F.size("_left"), F.size("_right"), num, den)).select("a", "b")
+
+
+def _short(keys: np.ndarray) -> np.ndarray:
+    """32-bit hashes of keys, as signed numbers."""
+    return (mix(keys) >> U(32)).astype(np.uint32).view(np.int32)
+
+
+def shared_entries(index: DataFrame) -> DataFrame:
+    """(id, n, rank, pos, key): the index entries whose key some other row may have too.
+
+    *index* has (id, n, rank, skipped, keys): keys in order, of which the first
+    stands at place *skipped*. Most keys occur once. A count of their 32-bit
+    hashes tells them apart without moving whole entries; the hashes that occur
+    again pass a filter of fixed size. What passes is every key that occurs in
+    two rows, and some that do not.
+    """
+    spark = index.sparkSession
+
+    def hashes(batches):
+        for batch in batches:
+            keys = batch.column(0)
+            values = keys.values.to_numpy(zero_copy_only=False)[keys.offsets[0].as_py() : keys.offsets[-1].as_py()]
+            yield pa.RecordBatch.from_arrays([pa.array(_short(values.view(U)))], names=["short"])
+
+    counts = index.select("keys").mapInArrow(hashes, "short int").groupBy("short").agg(F.count("*").alias("size"))
+    # The hash fills the upper bits, which place it in the filter.
+    again = counts.where("size > 1").select(F.shiftleft(F.col("short").cast("long"), 32).alias("place"))
+    flags = spark.sparkContext.broadcast(flags_of(again, "place", FILTER_BITS))
+
+    def passing(batches):
+        for batch in batches:
+            keys = batch.column(4)
+            ends = keys.offsets.to_numpy().astype(np.int64)
+            values = keys.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]]
+            place = _short(values.view(U)).view(np.uint32) >> np.uint32(32 - FILTER_BITS)
+            at = np.flatnonzero(flags.value[place])
+            row = np.searchsorted(ends - ends[0], at, side="right") - 1
+            skipped = batch.column(3).to_numpy(zero_copy_only=False)
+            pos = skipped[row] + at - (ends[row] - ends[0])
+            taken = [batch.column(i).take(pa.array(row)) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*taken, pa.array(pos.astype(np.int64)), pa.array(values[at])], names=["id", "n", "rank", "pos", "key"])
+
+    return index.select("id", "n", "rank", "skipped", "keys").mapInArrow(passing, "id long, n long, rank long, pos long, key long")
