@@ -27,6 +27,8 @@ DRAWN = {
     ],
 }
 POINTS = DRAWN["coordinates"][0]
+# The same polygon by the linear degrees of the bound grid.
+DRAWN_DEGREES = {"type": "Polygon", "coordinates": [[[(x - 500000) / 80000 - 3, (y - 4790000) / 110000 + 43] for x, y in POINTS]]}
 DRAWN_EDGES = 'select * from (values {}) t(ax, ay, bx, "by")'.format(
     ", ".join(f"({a[0]}, {a[1]}, {b[0]}, {b[1]})" for a, b in zip(POINTS, POINTS[1:]))
 )
@@ -108,12 +110,17 @@ STATS = "population avg_combined_score weighted_avg_combined_score"
 
 @query("a14_area_stats", _stats("and s.departure_time = '08:00'"), STATS)
 def _(b):
-    return areas.area_stats(b.scored(), DRAWN, SLOT)
+    return areas.area_stats(b.scored(), DRAWN, SLOT, crs="metres")
+
+
+@query("a14_area_stats_degrees", _stats("and s.departure_time = '08:00'"), STATS)
+def _(b):
+    return areas.area_stats(b.scored(), DRAWN_DEGREES, SLOT)
 
 
 @query("a14_area_stats_all_slots", _stats(""), STATS)
 def _(b):
-    return areas.area_stats(b.scored(), DRAWN)
+    return areas.area_stats(b.scored(), DRAWN, crs="metres")
 
 
 @query(

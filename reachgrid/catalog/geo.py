@@ -159,15 +159,17 @@ def places(b):
 
 @query(
     "j09_distance_od",
-    """select c.id as origin_cell_id, d.id as destination_id, 'TRANSIT' as mode,
-              sqrt(power(c.x - d.x, 2) + power(c.y - d.y, 2)) / 1000 / 15 * 60 + 5 as travel_time_minutes
-       from cells c join dests d on sqrt(power(c.x - d.x, 2) + power(c.y - d.y, 2)) <= 4000
-       where sqrt(power(c.x - d.x, 2) + power(c.y - d.y, 2)) / 1000 / 15 * 60 + 5 <= 20""",
-    "travel_time_minutes",
+    """select c.id as origin_cell_id, count(*) as n, sum(sqrt(power(c.x - d.x, 2) + power(c.y - d.y, 2)) / 1000 / 15 * 60 + 5) as minutes,
+              min(d.id) as first_destination, max(d.id) as last_destination
+       from cells c join dests d on sqrt(power(c.x - d.x, 2) + power(c.y - d.y, 2)) <= 13750
+       where sqrt(power(c.x - d.x, 2) + power(c.y - d.y, 2)) / 1000 / 15 * 60 + 5 <= 60 group by c.id""",
+    "minutes",
 )
 def _(b):
     cells, dests = places(b)
-    return distance.distance_od(cells, dests, reach_m=4000, max_min=20)
+    return distance.distance_od(cells, dests).groupBy("origin_cell_id").agg(
+        F.count("*").alias("n"), F.sum("travel_time_minutes").alias("minutes"), F.min("destination_id").alias("first_destination"), F.max("destination_id").alias("last_destination")
+    )
 
 
 @query(

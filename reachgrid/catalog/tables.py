@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from reachgrid.catalog.bindings import SLOT
 from reachgrid.catalog.registry import query
@@ -148,13 +150,13 @@ def _(b):
 @query(
     "u03_replace_by_type",
     """select s_suppkey as id, s_nationkey as type_id from supplier where s_nationkey not in
-         (select c_nationkey from customer where c_mktsegment = 'BUILDING' and c_acctbal > 9800)
+         (select c_nationkey from customer where c_nationkey >= 12)
        union all
-       select c_custkey, c_nationkey from customer where c_mktsegment = 'BUILDING' and c_acctbal > 9800""",
+       select c_custkey, c_nationkey from customer where c_nationkey >= 12""",
 )
 def _(b):
     existing = b.raw("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("type_id"))
-    incoming = b.raw("customer").where("c_mktsegment = 'BUILDING' and c_acctbal > 9800").select(
+    incoming = b.raw("customer").where("c_nationkey >= 12").select(
         F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("type_id")
     )
     return keys.replace_types(existing, incoming).unionByName(incoming)
@@ -177,11 +179,12 @@ def _(b):
     return keys.get_or_create(types, wanted)
 
 
-@query("u01_concatenate_slots", "select departure_time, cell_id, combined_score from comb where departure_time in ('07:00', '07:30')", "combined_score")
+@query("u01_concatenate_slots", "select departure_time, cell_id, combined_score from comb", "combined_score")
 def _(b):
     ws = b.scored()
     shown = ["departure_time", "cell_id", "combined_score"]
-    return ws.at("combined_scores", "07:00").select(*shown).unionByName(ws.at("combined_scores", "07:30").select(*shown))
+    slots = ("07:00", "07:30", "08:00", "08:30", "09:00", "09:30", "10:00")
+    return reduce(DataFrame.unionByName, [ws.at("combined_scores", s).select(*shown) for s in slots])
 
 
 @query(
@@ -267,8 +270,8 @@ def _(b):
 
 @query(
     "j13_merged_indicators",
-    """with i as (select muni_code, year, renta_index from income where year < 1997),
-       c as (select muni_code, year, vehicles_per_inhab as cars from cars where year > 1993)
+    """with i as (select muni_code, year, renta_index from income),
+       c as (select muni_code, year, vehicles_per_inhab as cars from cars)
        select coalesce(i.muni_code, c.muni_code) as muni_code, coalesce(i.year, c.year) as year, renta_index, cars
        from i full join c on c.muni_code = i.muni_code and c.year = i.year
        where renta_index is not null or cars is not null""",
@@ -276,8 +279,8 @@ def _(b):
 )
 def _(b):
     ws = b.workspace()
-    income = ws.table("municipality_income").where("year < 1997").select("muni_code", "year", F.col("renta_index").alias("value"))
-    cars = ws.table("municipality_car_ownership").where("year > 1993").select(
+    income = ws.table("municipality_income").select("muni_code", "year", F.col("renta_index").alias("value"))
+    cars = ws.table("municipality_car_ownership").select(
         "muni_code", "year", F.col("vehicles_per_inhab").alias("value")
     )
     return merge_indicators({"renta_index": income, "cars": cars})
@@ -300,10 +303,10 @@ def _(b):
 @query(
     "j14_sections_unmatched",
     """select cast(c_nationkey as varchar) as source_code, count(*) as n from customer
-       where c_nationkey not in (select s_nationkey from supplier where s_acctbal > 9000) group by c_nationkey""",
+       where c_nationkey not in (select s_nationkey from supplier where s_nationkey % 5 <> 0) group by c_nationkey""",
 )
 def _(b):
-    polygons = b.raw("supplier").where("s_acctbal > 9000").select(
+    polygons = b.raw("supplier").where("s_nationkey % 5 <> 0").select(
         F.col("s_nationkey").cast("string").alias("join_key"), F.col("s_suppkey").alias("polygon")
     )
     census = b.raw("customer").select(F.col("c_nationkey").cast("string").alias("source_code"), F.col("c_custkey").alias("population"))

@@ -160,10 +160,10 @@ def _(b):
                    else coalesce(case route_type when 0 then '#e11d48' when 1 then '#dc2626' when 2 then '#7c3aed'
                         when 3 then '#2563eb' when 4 then '#0891b2' when 5 then '#6b7280' when 6 then '#6b7280'
                         when 7 then '#a855f7' end, '#2563eb') end as color
-       from feed_routes where has_line order by id limit 150""",
+       from feed_routes where has_line""",
 )
 def _(b):
-    return plan.transit_routes(workspace(b), n=150).drop("lines")
+    return plan.transit_routes(workspace(b)).drop("lines")
 
 
 @query(

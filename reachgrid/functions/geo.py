@@ -38,13 +38,14 @@ def cell_xy(code: Column) -> tuple[Column, Column]:
 
 
 def signed_area(points: Column) -> Column:
-    """Shoelace area of one ring (array of x,y structs); positive if counter-clockwise."""
-    return F.aggregate(
+    """Shoelace area of one ring (array of x,y structs); positive if counter-clockwise, 0 if it has no inside."""
+    area = F.aggregate(
         F.sequence(F.lit(1), F.size(points)),
         F.lit(0.0),
         lambda acc, i: acc + _cross(points, i),
         lambda acc: acc / 2,
     )
+    return F.when(F.size(points) > 2, area).otherwise(F.lit(0.0))
 
 
 def ring_moments(points: Column) -> Column:

@@ -22,11 +22,12 @@ def polygon_edges(layer: DataFrame, key: str, rings: str = "rings") -> DataFrame
     from reachgrid.functions.geo import signed_area
 
     flat = layer.select(key, F.explode(rings).alias("r")).select(key, "r.part", "r.ring", F.col("r.pts").alias("pts"))
+    flat = flat.where(F.size("pts") > 2)
     is_shell = F.col("ring") == 0
     wrong = is_shell != (signed_area(F.col("pts")) > 0)
     oriented = flat.withColumn("pts", F.when(wrong, F.reverse("pts")).otherwise(F.col("pts")))
     points = oriented.select(key, "part", "ring", F.posexplode("pts").alias("i", "p"), "pts")
-    nxt = F.element_at("pts", (F.col("i") + 1) % F.size("pts") + 1)
+    nxt = F.try_element_at("pts", (F.col("i") + 1) % F.size("pts") + 1)
     return points.select(
         key,
         F.concat_ws("/", "part", "ring", "i").alias("edge"),

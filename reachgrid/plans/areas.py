@@ -96,12 +96,14 @@ def geojson_edges(ws: Workspace, geometry: str | dict[str, Any]) -> DataFrame:
     return polygon_edges(row, "code")
 
 
-def area_stats(ws: Workspace, geometry: str | dict[str, Any], slot: str | None = None, degrees: bool = False) -> DataFrame:
-    """Figures for cells whose centroid lies in a drawn polygon.
+def area_stats(ws: Workspace, geometry: str | dict[str, Any], slot: str | None = None, crs: str = "degrees") -> DataFrame:
+    """Figures for cells whose centroid lies in a drawn polygon of lon/lat, or of projected metres.
 
     Without a slot every scored slot of a cell counts as its own row.
     """
-    if degrees:
+    if crs not in ("degrees", "metres"):
+        raise ValueError("crs must be degrees or metres")
+    if crs == "degrees":
         points = ws.table("grid_cells").select("id", F.col("lon").alias("x"), F.col("lat").alias("y"))
         inside = contains(points, geojson_edges(ws, geometry), "code", tile=0.05)
     else:

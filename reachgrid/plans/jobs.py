@@ -70,7 +70,7 @@ def score(ws: Workspace, params: ScoreParams | None = None, slots: list[str] | N
     frames = score_frames(ws, params, slots, store=True)
     if slots is None:
         return {name: ws.publish(name, df, ["departure_time"]) for name, df in frames.items()}
-    return {name: ws.replace_slots(name, df) for name, df in frames.items()}
+    return {name: ws.replace_slots(name, df, slots) for name, df in frames.items()}
 
 
 def build_grid(ws: Workspace, size: int = CELL_SIZE) -> DataFrame:

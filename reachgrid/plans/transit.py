@@ -7,7 +7,6 @@ import re
 from pyspark.sql import Column, DataFrame, functions as F
 
 from reachgrid.functions.bands import frequency_band
-from reachgrid.params import check_limit
 from reachgrid.workspace import Workspace
 
 # Colour per GTFS route type, and the default.
@@ -31,18 +30,16 @@ def route_colour(own: Column, route_type: Column) -> Column:
     )
 
 
-def transit_stops(ws: Workspace, operator: str | None = None, n: int = 5000) -> DataFrame:
-    """The first *n* stops by id, optionally of one operator."""
-    check_limit(n, 10_000)
+def transit_stops(ws: Workspace, operator: str | None = None, n: int | None = None) -> DataFrame:
+    """All stops by id, or the first *n*, optionally of one operator."""
     stops = ws.table("gtfs_stops", required=False)
     if operator:
         stops = stops.where(F.col("operator") == operator)
-    return stops.select("id", "operator", "stop_id", "stop_name", "lon", "lat").orderBy("id").limit(n)
+    return _first(stops.select("id", "operator", "stop_id", "stop_name", "lon", "lat").orderBy("id"), n)
 
 
-def transit_routes(ws: Workspace, operator: str | None = None, n: int = 2000) -> DataFrame:
-    """The first *n* routes with geometry by id, with their display colour."""
-    check_limit(n, 5_000)
+def transit_routes(ws: Workspace, operator: str | None = None, n: int | None = None) -> DataFrame:
+    """All routes with geometry by id, or the first *n*, with their display colour."""
     routes = ws.table("gtfs_routes", required=False).where(F.col("lines").isNotNull())
     if operator:
         routes = routes.where(F.col("operator") == operator)
@@ -55,7 +52,15 @@ def transit_routes(ws: Workspace, operator: str | None = None, n: int = 2000) ->
         route_colour(F.col("route_color"), F.col("route_type")).alias("color"),
         "lines",
     )
-    return shown.orderBy("id").limit(n)
+    return _first(shown.orderBy("id"), n)
+
+
+def _first(rows: DataFrame, n: int | None) -> DataFrame:
+    if n is None:
+        return rows
+    if n < 1:
+        raise ValueError("a limit must be positive")
+    return rows.limit(n)
 
 
 def operators(ws: Workspace) -> DataFrame:

@@ -1,7 +1,9 @@
 """Timetable feeds: zip files to tables.
 
-Only unzipping and CSV splitting run in Python, member by member and in
-batches; a damaged feed gives no rows and the others go on.
+Only unzipping and CSV splitting run in Python, in batches. A feed counts as a
+whole: its wanted members are first read to their ends, which checks their
+sums, and a feed with any damage gives no rows but a line with the reason. The
+others go on.
 """
 
 from __future__ import annotations
@@ -12,68 +14,103 @@ from reachgrid.functions.text import clock_minutes
 from reachgrid.operators.ordering import number_rows
 from reachgrid.operators.transit import WINDOWS, active_services, route_lines, running_stop_times, stop_frequency
 from reachgrid.schemas import columns
+from reachgrid.session import written
 from reachgrid.sources.sinks import filesystem
 
 SUFFIX = ".gtfs.zip"
 BATCH = 20_000
 
 
-def read_gtfs(spark: SparkSession, path: str, member: str, wanted: list[str]) -> DataFrame:
-    """Rows of one member of every feed: operator, row_no and the *wanted* columns as text.
+#: Members that are read, and their columns.
+WANTED = {
+    "stops.txt": ["stop_id", "stop_name", "stop_lon", "stop_lat"],
+    "trips.txt": ["trip_id", "route_id", "service_id", "shape_id"],
+    "routes.txt": ["route_id", "route_long_name", "route_short_name", "route_type", "route_color"],
+    "shapes.txt": ["shape_id", "shape_pt_lon", "shape_pt_lat", "shape_pt_sequence"],
+    "stop_times.txt": ["trip_id", "stop_id", "departure_time"],
+    "calendar.txt": ["service_id", "monday"],
+    "calendar_dates.txt": ["service_id", "exception_type"],
+}
+#: Member name of the line that says whether a feed could be read.
+STATUS = "status"
+
+
+def unpack(spark: SparkSession, path: str, wanted: dict[str, list[str]] | None = None) -> DataFrame:
+    """Rows of the wanted members of every feed: operator, member, row_no, cells.
 
-    Columns a feed lacks are null. The operator is the file name without its suffix.
+    One pass over the zip files, written by member. Columns a feed lacks are
+    null. The operator is the file name without its suffix. Each feed also has a
+    row of member ``status`` whose only cell is null, or says what is wrong.
     """
     fs, folder = filesystem(spark, path)
     names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
     if not any(n.endswith(SUFFIX) for n in names):
         raise FileNotFoundError(f"no {SUFFIX} files in {path}")
-    feeds = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", f"*{SUFFIX}")
-        .load(path)
-        .select(F.regexp_extract("path", r"([^/]+)\.gtfs\.zip$", 1).alias("operator"), "content")
-    )
-    return feeds.mapInPandas(_unzip(member, wanted, BATCH), f"operator string, row_no bigint, {', '.join(f'{c} string' for c in wanted)}")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", f"*{SUFFIX}").load(path)
+    zips = found.select(F.regexp_extract("path", r"([^/]+)\.gtfs\.zip$", 1).alias("operator"), "content")
+    rows = zips.mapInPandas(_unzip(wanted or WANTED, BATCH), "operator string, row_no bigint, cells array<string>, member string")
+    return written(rows, "feeds", ["member"])
 
 
-def _unzip(member: str, wanted: list[str], batch: int):
-    def rows(frames):
+def rows_of(unpacked: DataFrame, member: str, columns_of_member: list[str] | None = None) -> DataFrame:
+    """operator, row_no and the columns of one member as text."""
+    names = columns_of_member or WANTED[member]
+    rows = unpacked.where(F.col("member") == member)
+    return rows.select("operator", "row_no", *[F.col("cells")[i].alias(c) for i, c in enumerate(names)])
+
+
+def read_gtfs(spark: SparkSession, path: str, member: str, wanted: list[str]) -> DataFrame:
+    """Rows of one member of every sound feed; see :func:`unpack`."""
+    return rows_of(unpack(spark, path, {member: wanted}), member, wanted)
+
+
+def _unzip(wanted: dict[str, list[str]], batch: int):
+    def lines(archive, member):
         import csv
         import io
+
+        with archive.open(member) as raw:
+            yield from csv.reader(io.TextIOWrapper(raw, encoding="utf-8-sig", newline=""))
+
+    def rows(frames):
+        import io
         import itertools
         import zipfile
 
         import pandas as pd
 
+        def frame_of(operator, member, start, cells):
+            return pd.DataFrame({"operator": operator, "row_no": range(start, start + len(cells)), "cells": cells, "member": member})
+
         for frame in frames:
             for operator, content in zip(frame["operator"], frame["content"]):
+                fault = None
                 try:
                     archive = zipfile.ZipFile(io.BytesIO(content))
-                    if member not in archive.namelist():
-                        continue
-                    with archive.open(member) as raw:
-                        reader = csv.reader(io.TextIOWrapper(raw, encoding="utf-8-sig", newline=""))
-                        header = next(reader, [])
-                        at = [header.index(c) if c in header else None for c in wanted]
-                        start = 1
-                        while lines := list(itertools.islice(reader, batch)):
-                            cells = [
-                                [line[i] if i is not None and i < len(line) else None for i in at] for line in lines if line
-                            ]
-                            out = pd.DataFrame(cells, columns=wanted, dtype=object)
-                            out.insert(0, "row_no", range(start, start + len(out)))
-                            out.insert(0, "operator", operator)
-                            start += len(out)
-                            yield out
-                except (zipfile.BadZipFile, UnicodeDecodeError, csv.Error, OSError, EOFError):
-                    continue
+                    members = [m for m in wanted if m in archive.namelist()]
+                    for member in members:
+                        for _ in lines(archive, member):
+                            pass
+                except Exception as error:  # noqa: BLE001 - whatever is wrong with a feed, the others go on
+                    fault = f"{type(error).__name__}: {error}"
+                yield frame_of(operator, STATUS, 1, [[fault]])
+                for member in () if fault else members:
+                    reader = lines(archive, member)
+                    header = next(reader, [])
+                    at = [header.index(c) if c in header else None for c in wanted[member]]
+                    start = 1
+                    while part := list(itertools.islice(reader, batch)):
+                        cells = [[line[i] if i is not None and i < len(line) else None for i in at] for line in part if line]
+                        if cells:
+                            yield frame_of(operator, member, start, cells)
+                        start += len(cells)
 
     return rows
 
 
-def stops(spark: SparkSession, path: str) -> DataFrame:
+def stops(unpacked: DataFrame) -> DataFrame:
     """Stops with readable coordinates; of repeated ids all rows are kept."""
-    raw = read_gtfs(spark, path, "stops.txt", ["stop_id", "stop_name", "stop_lon", "stop_lat"])
+    raw = rows_of(unpacked, "stops.txt")
     return raw.select(
         "operator",
         "row_no",
@@ -84,14 +121,12 @@ def stops(spark: SparkSession, path: str) -> DataFrame:
     ).where("lon is not null and lat is not null")
 
 
-def trips(spark: SparkSession, path: str) -> DataFrame:
-    return read_gtfs(spark, path, "trips.txt", ["trip_id", "route_id", "service_id", "shape_id"])
+def trips(unpacked: DataFrame) -> DataFrame:
+    return rows_of(unpacked, "trips.txt")
 
 
-def routes(spark: SparkSession, path: str) -> DataFrame:
-    raw = read_gtfs(
-        spark, path, "routes.txt", ["route_id", "route_long_name", "route_short_name", "route_type", "route_color"]
-    )
+def routes(unpacked: DataFrame) -> DataFrame:
+    raw = rows_of(unpacked, "routes.txt")
     long_name = F.when(F.length("route_long_name") > 0, F.col("route_long_name"))
     return raw.select(
         "operator", "row_no", "route_id",
@@ -99,10 +134,8 @@ def routes(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def shapes(spark: SparkSession, path: str) -> DataFrame:
-    raw = read_gtfs(
-        spark, path, "shapes.txt", ["shape_id", "shape_pt_lon", "shape_pt_lat", "shape_pt_sequence"]
-    )
+def shapes(unpacked: DataFrame) -> DataFrame:
+    raw = rows_of(unpacked, "shapes.txt")
     return raw.select(
         "operator", "row_no", "shape_id",
         F.coalesce("shape_pt_sequence", F.lit("0")).try_cast("double").alias("seq"),
@@ -111,52 +144,54 @@ def shapes(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def stop_times(spark: SparkSession, path: str) -> DataFrame:
-    raw = read_gtfs(spark, path, "stop_times.txt", ["trip_id", "stop_id", "departure_time"])
+def stop_times(unpacked: DataFrame) -> DataFrame:
+    raw = rows_of(unpacked, "stop_times.txt")
     return raw.select(
         "operator", "row_no", F.coalesce("trip_id", F.lit("")).alias("trip_id"),
         F.coalesce("stop_id", F.lit("")).alias("stop_id"), clock_minutes(F.col("departure_time")).alias("dep_min"),
     )
 
 
-def import_routes(spark: SparkSession, path: str) -> DataFrame:
-    """The gtfs_routes table of all feeds in a folder."""
-    lines = route_lines(shapes(spark, path), trips(spark, path), routes(spark, path))
+def import_routes(spark: SparkSession, path: str, unpacked: DataFrame | None = None) -> DataFrame:
+    """The gtfs_routes table of all feeds in a folder, or of feeds unpacked already."""
+    unpacked = unpacked or unpack(spark, path)
+    lines = route_lines(shapes(unpacked), trips(unpacked), routes(unpacked))
     return number_rows(lines, [F.col("operator"), F.col("route_id")], "id").select(*columns("gtfs_routes"))
 
 
-def import_stops(spark: SparkSession, path: str) -> DataFrame:
-    """The gtfs_stops table of all feeds in a folder."""
+def import_stops(spark: SparkSession, path: str, unpacked: DataFrame | None = None) -> DataFrame:
+    """The gtfs_stops table of all feeds in a folder, or of feeds unpacked already."""
+    unpacked = unpacked or unpack(spark, path)
     order = [F.col("operator"), F.col("row_no")]
-    return number_rows(stops(spark, path), order, "id").select(*columns("gtfs_stops"))
+    return number_rows(stops(unpacked), order, "id").select(*columns("gtfs_stops"))
 
 
-def import_frequency(spark: SparkSession, path: str, windows=WINDOWS) -> DataFrame:
-    """The stop_frequency table of all feeds in a folder."""
-    calendar = read_gtfs(spark, path, "calendar.txt", ["service_id", "monday"])
-    dates = read_gtfs(spark, path, "calendar_dates.txt", ["service_id", "exception_type"])
-    running = running_stop_times(stop_times(spark, path), trips(spark, path), active_services(calendar, dates))
+def import_frequency(spark: SparkSession, path: str, windows=WINDOWS, unpacked: DataFrame | None = None) -> DataFrame:
+    """The stop_frequency table of all feeds in a folder, or of feeds unpacked already."""
+    unpacked = unpacked or unpack(spark, path)
+    calendar, dates = rows_of(unpacked, "calendar.txt"), rows_of(unpacked, "calendar_dates.txt")
+    running = running_stop_times(stop_times(unpacked), trips(unpacked), active_services(calendar, dates))
     # A feed without trips cannot be counted.
-    with_trips = trips(spark, path).select("operator").distinct()
+    with_trips = trips(unpacked).select("operator").distinct()
     place = F.max_by(F.struct("stop_name", "lon", "lat"), "row_no").alias("p")
-    located = stops(spark, path).groupBy("operator", "stop_id").agg(place).select("operator", "stop_id", "p.*")
+    located = stops(unpacked).groupBy("operator", "stop_id").agg(place).select("operator", "stop_id", "p.*")
     counted = stop_frequency(running.join(with_trips, "operator", "left_semi"), located, windows)
     order = [F.col("operator"), F.col("stop_id"), F.col("time_window")]
     return number_rows(counted, order, "id").select(*columns("stop_frequency"))
 
 
 def import_report(stops_table: DataFrame, routes_table: DataFrame, feeds: DataFrame) -> DataFrame:
-    """Stops and routes per operator; a feed that could not be read shows zeros."""
+    """Stops and routes per operator, and the fault of a feed that could not be read, which shows zeros."""
     counts = [
         t.groupBy("operator").agg(F.count("*").alias(n)) for t, n in ((stops_table, "stops"), (routes_table, "routes"))
     ]
-    out = feeds.select("operator").distinct()
+    fault = F.max("fault") if "fault" in feeds.columns else F.lit(None).cast("string")
+    out = feeds.groupBy("operator").agg(fault.alias("fault"))
     for c in counts:
         out = out.join(c, "operator", "left")
-    return out.select("operator", F.coalesce("routes", F.lit(0)).alias("routes"), F.coalesce("stops", F.lit(0)).alias("stops"))
+    return out.select("operator", F.coalesce("routes", F.lit(0)).alias("routes"), F.coalesce("stops", F.lit(0)).alias("stops"), "fault")
 
 
-def feeds(spark: SparkSession, path: str) -> DataFrame:
-    """Operators that have a feed file in the folder, readable or not."""
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", f"*{SUFFIX}").load(path)
-    return listed.select(F.regexp_extract("path", r"([^/]+)\.gtfs\.zip$", 1).alias("operator"))
+def feeds(spark: SparkSession, path: str, unpacked: DataFrame | None = None) -> DataFrame:
+    """(operator, fault) of the feed files in a folder; the fault of a readable one is null."""
+    return rows_of(unpacked or unpack(spark, path), STATUS, ["fault"]).select("operator", "fault")

@@ -70,7 +70,7 @@ def rings_of(geometry: Column) -> Column:
     all_parts = F.when(F.get_json_object(geometry, "$.type") == "GeometryCollection", collected).otherwise(parts(geometry))
 
     def points(ring: Column) -> Column:
-        closed = F.element_at(ring, 1) == F.element_at(ring, -1)
+        closed = F.try_element_at(ring, F.lit(1)) == F.try_element_at(ring, F.lit(-1))
         open_ring = F.when(closed, F.slice(ring, 1, F.size(ring) - 1)).otherwise(ring)
         return F.transform(open_ring, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -36,6 +37,22 @@ def value_column(names: list[str]) -> str | None:
     return next((c for c in sorted(names) if c.startswith("travel_time_p")), "travel_time" if "travel_time" in names else None)
 
 
+def skipped_files(ws, path: str) -> DataFrame:
+    """(file, reason) of the matrix files whose name, mode or columns are not accepted."""
+    rows = []
+    for file in matrix_files(ws, path):
+        name = file.rsplit("/", 1)[-1]
+        named = re.match(FILE_NAME, name)
+        found = ws.spark.read.parquet(file).columns
+        if named is None:
+            rows.append((name, "name"))
+        elif named[1].upper() not in MODES:
+            rows.append((name, "mode"))
+        elif value_column(found) is None or not {"from_id", "to_id"} <= set(found):
+            rows.append((name, "columns"))
+    return ws.spark.createDataFrame(rows, "file string, reason string")
+
+
 def matrix_files(ws, path: str) -> list[str]:
     fs, folder = filesystem(ws.spark, path)
     names = sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
@@ -88,7 +105,9 @@ def _as_id(df: DataFrame, name: str) -> Column:
 
 
 def judged(matrices: DataFrame, max_minutes: float = MAX_MINUTES) -> DataFrame:
-    """Add a ``fate``: kept, not_numeric or out_of_range."""
+    """Add a ``fate``: kept, not_numeric (null or NaN) or out_of_range."""
+    minutes = F.col("travel_time_minutes")
+    matrices = matrices.withColumn("travel_time_minutes", F.when(~F.isnan(minutes), minutes))
     missing = F.col("origin_cell_id").isNull() | F.col("destination_id").isNull() | F.col("travel_time_minutes").isNull()
     inside = F.col("travel_time_minutes").between(0.0, max_minutes)
     return matrices.withColumn("fate", F.when(missing, "not_numeric").when(inside, "kept").otherwise("out_of_range"))

@@ -47,15 +47,24 @@ def _sorted_by(df: DataFrame) -> list[str]:
     return [c for c in ("cell_id", "origin_cell_id") if c in df.columns]
 
 
-def replace_partitions(df: DataFrame, root: str, name: str, partition_by: list[str]) -> str:
-    """Overwrite only the partitions that *df* holds; all others stay as they are."""
+def replace_partitions(df: DataFrame, root: str, name: str, column: str, values: list | None = None) -> str:
+    """Publish a version in which *df* stands for the rows of some values of *column*; all others stay.
+
+    *values* are the ones replaced, with or without rows in *df*; by default
+    those that occur in it, which must be few. Readers see the old version or
+    the new one. The rows that stay are copied, so this is meant for results,
+    which are far smaller than the travel times they come from.
+    """
     from reachgrid.sources.tables import table_path
 
     path = table_path(df.sparkSession, root, name)
     if path is None:
-        return publish(df, root, name, partition_by)
-    laid_out(df, partition_by, _sorted_by(df)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
-    return path
+        return publish(df, root, name, [column])
+    if values is None:
+        values = [r[0] for r in df.select(column).distinct().collect()]
+    old = df.sparkSession.read.schema(df.schema).parquet(path)
+    stays = old if not values else old.where(F.col(column).isNull() | ~F.col(column).isin(values))
+    return publish(stays.unionByName(df.where(F.col(column).isin(values)) if values else df.limit(0)), root, name, [column])
 
 
 def point_geometry(lon: Column, lat: Column) -> Column:

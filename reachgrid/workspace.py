@@ -85,10 +85,10 @@ class Workspace:
         self.frames.pop(name, None)
         return read_table(self.spark, self.root, name)
 
-    def replace_slots(self, name: str, df: DataFrame) -> DataFrame:
-        """Replace only the departure slots that occur in *df*."""
+    def replace_slots(self, name: str, df: DataFrame, slots: list[str] | None = None) -> DataFrame:
+        """Replace the named departure slots, or those that occur in *df*; a named one without rows becomes empty."""
         if self.root is None:
             raise ValueError("this workspace has no root to publish to")
-        replace_partitions(df, self.root, name, ["departure_time"])
+        replace_partitions(df, self.root, name, "departure_time", slots)
         self.frames.pop(name, None)
         return read_table(self.spark, self.root, name)

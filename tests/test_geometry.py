@@ -247,3 +247,17 @@ def test_slot_times_with_jitter_and_sample(spark):
     assert sorted(map(tuple, rows)) == sorted(map(tuple, slot_od(c, d).collect()))
     part = slot_od(c, d, fraction=0.5).select("origin_cell_id").distinct().count()
     assert 0 < part < 40
+
+
+def test_rings_without_an_inside_are_left_out(spark):
+    from reachgrid.functions.geo import signed_area
+    from reachgrid.operators.contain import polygon_edges
+    from pyspark.sql import functions as F
+
+    shape = "key string, rings array<struct<part: int, ring: int, pts: array<struct<x: double, y: double>>>>"
+    square = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)]
+    df = spark.createDataFrame([("a", [(0, 0, square), (0, 1, []), (0, 2, [(0.5, 0.5)])]), ("b", [(0, 0, [])])], shape)
+    edges = polygon_edges(df, "key").collect()
+    assert {r.key for r in edges} == {"a"} and len(edges) == 4
+    areas = df.select(F.transform("rings", lambda r: signed_area(r["pts"])).alias("a")).collect()
+    assert [list(r.a) for r in areas] == [[1.0, 0.0, 0.0], [0.0]]

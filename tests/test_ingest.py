@@ -1,5 +1,6 @@
 import json
 import struct
+import random
 import zipfile
 
 import pytest
@@ -194,12 +195,33 @@ def test_gtfs_routes_and_stops(spark, tmp_path):
     assert (routes["r1"].route_name, routes["r1"].route_type, routes["r1"].route_color) == ("1", 3, "ff0000")
     assert (routes["lone"].route_name, routes["lone"].route_type) == ("", 3)
     report = gtfs.import_report(stops, gtfs.import_routes(spark, path), gtfs.feeds(spark, path))
-    assert {r.operator: (r.routes, r.stops) for r in report.collect()} == {
-        "Alpha": (2, 2), "Dates": (0, 2), "Plain": (0, 2), "Broken": (0, 0)}
+    assert {r.operator: (r.routes, r.stops, r.fault is None) for r in report.collect()} == {
+        "Alpha": (2, 2, True), "Dates": (0, 2, True), "Plain": (0, 2, True), "Broken": (0, 0, False)}
     with pytest.raises(FileNotFoundError):
         gtfs.read_gtfs(spark, str(tmp_path), "stops.txt", ["stop_id"])
 
 
+def test_damaged_feeds_give_no_rows(spark, tmp_path):
+    """Twenty copies with a few bytes changed inside their stops: none keeps a part of its rows."""
+    rng = random.Random(2)
+    folder = tmp_path / "gtfs"
+    folder.mkdir()
+    text = "stop_id,stop_name,stop_lat,stop_lon\n" + "".join(f"s{i},name {i * 7919 % 1000},43.{i % 97},-2.{i % 89}\n" for i in range(20_000))
+    with zipfile.ZipFile(folder / "Good.gtfs.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("stops.txt", text)
+    whole = (folder / "Good.gtfs.zip").read_bytes()
+    for i in range(20):
+        hurt = bytearray(whole)
+        for _ in range(8):
+            hurt[rng.randrange(200, len(hurt) - 400)] ^= 0x55
+        (folder / f"Bad{i}.gtfs.zip").write_bytes(bytes(hurt))
+    unpacked = gtfs.unpack(spark, str(folder))
+    counts = {r["operator"]: r["count"] for r in gtfs.stops(unpacked).groupBy("operator").count().collect()}
+    assert counts == {"Good": 20_000}
+    faults = {r.operator: r.fault for r in gtfs.feeds(spark, str(folder), unpacked).collect()}
+    assert len(faults) == 21 and all((f is None) == (o == "Good") for o, f in faults.items())
+
+
 @pytest.mark.parametrize(
     "name, mode, slot",
     [
@@ -238,6 +260,7 @@ def test_od_import(ws, tmp_path):
     table, report = od.import_od(ws, str(folder))
     got = sorted((r.departure_time, r.origin_cell_id, r.destination_id, r.travel_time_minutes) for r in table.collect())
     assert got == [("08:00", 1, 5, 10.5), ("08:30", 1, 6, 0.0), ("08:30", 1, 7, 90.0), ("08:30", 2, 5, 120.0)]
+    assert {(x.file, x.reason) for x in od.skipped_files(ws, str(folder)).collect()} == {("ttm_walk_0830.parquet", "mode"), ("ttm_transit_0900.parquet", "columns")}
     r = {x.departure_time: x for x in report.collect()}
     assert (r["08:30"].rows_kept, r["08:30"].rows_not_numeric, r["08:30"].rows_out_of_range) == (3, 1, 2)
     with pytest.raises(FileNotFoundError):
@@ -250,6 +273,11 @@ def test_matrix_numbers_keep_their_digits(spark):
     assert got == [(9007199254740993, 7, 10.0), (None, 7, None)]
 
 
+def test_nan_is_not_a_number(spark):
+    df = spark.createDataFrame([(1, 2, float("nan")), (1, 2, 5.0), (1, 2, 500.0), (None, 2, 5.0)], "origin_cell_id bigint, destination_id bigint, travel_time_minutes double")
+    assert [r.fate for r in od.judged(df).collect()] == ["not_numeric", "kept", "out_of_range", "not_numeric"]
+
+
 def test_origin_remap_is_skipped_when_ids_are_known(spark):
     cells = spark.createDataFrame([(1, "E0_N0"), (2, "E250_N0")], "id bigint, cell_code string")
     rows = spark.createDataFrame([(1, 9), (2, 9)], "origin_cell_id bigint, destination_id bigint")

@@ -124,6 +124,14 @@ def test_full_run(ws, tmp_path):
     assert sorted(map(tuple, ws.at("combined_scores", "08:30").collect())) == before
     assert sorted(map(tuple, ws.at("connectivity_scores", "08:00").collect())) != was
 
+    # A slot whose travel times are gone is empty afterwards, and no other slot changes.
+    times = ws.table("travel_times")
+    ws.frames["travel_times"] = times.where("departure_time <> '08:00'")
+    jobs.score(ws, slots=["08:00"])
+    assert ws.at("combined_scores", "08:00").isEmpty() and ws.at("connectivity_scores", "08:00").isEmpty()
+    assert sorted(map(tuple, ws.at("combined_scores", "08:30").collect())) == before
+    del ws.frames["travel_times"]
+
     # Restricting the cells gives the same raw scores for those cells.
     some = grid.where("id <= 10")
     part = jobs.score_frames(ws, slots=["08:30"], cells=some)["connectivity_scores"]
