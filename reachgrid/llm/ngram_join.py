@@ -21,8 +21,9 @@ from pyspark.sql import DataFrame, functions as F
 from reachgrid.llm.components import components
 from reachgrid.llm.rarity import frequencies, keys_of
 from reachgrid.llm.setjoin import may_match, prefix_length, verified
-from reachgrid.llm.texts import columns, text_key, written
+from reachgrid.llm.texts import text_key, without, written
 from reachgrid.llm.words import LOWER, U, WHITE, longs, mix, read_words, text_grams
+from reachgrid.operators.sizes import if_small
 
 #: Hashed counters of shingles, one byte each in every task.
 RARITY_BITS = 22
@@ -60,8 +61,11 @@ def _signatures(docs: DataFrame, codes, k: int, num: int, den: int) -> DataFrame
     return written(signed.withColumn("rid", F.monotonically_increasing_id()), "signatures")
 
 
-def _whole_sets(docs: DataFrame, wanted: DataFrame, codes, k: int) -> DataFrame:
-    """(id, keys) of the wanted classes (id, doc, k1, k2), from the texts of their first documents."""
+def _whole_sets(docs: DataFrame, wanted: DataFrame, codes, k: int, repeats: bool) -> DataFrame:
+    """(id, keys) of the wanted classes (id, doc, k1, k2), from the texts of their first documents.
+
+    With *repeats* some rows give doc_id and text again, and so their set.
+    """
 
     def sets(batches):
         for batch in batches:
@@ -72,11 +76,12 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, codes, k: int) -> DataFrame:
             )
 
     texts = docs.select("text", F.col("doc_id").cast("long").alias("_doc"), *text_key(F.col("text")))
-    w = wanted.alias("w")
+    w = if_small(wanted).alias("w")
     same = (F.col("_k1") == F.col("w.k1")) & (F.col("_k2") == F.col("w.k2")) & F.col("_doc").eqNullSafe(F.col("w.doc"))
     found = texts.join(w, same).select("text", F.col("w.id").alias("id")).mapInArrow(sets, "id long, keys array<long>")
-    # Rows that repeat a document give its set again.
-    return written(found.groupBy("id").agg(F.first("keys").alias("keys")), "sets")
+    if repeats:
+        found = found.groupBy("id").agg(F.first("keys").alias("keys"))
+    return written(found, "sets")
 
 
 def link(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, rarity_bits: int = RARITY_BITS) -> DataFrame:
@@ -101,7 +106,7 @@ def link(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, rarity_bits
         for _, _, words in read_words(column, WHITE, LOWER):
             yield text_grams(words, k)[0]
 
-    codes = spark.sparkContext.broadcast(frequencies(docs, occurrences, rarity_bits))
+    codes = spark.sparkContext.broadcast(frequencies(docs.select("text"), occurrences, rarity_bits))
     signed = _signatures(docs, codes, k, num, den)
     return _linked(docs, signed, codes, k, num, den)
 
@@ -116,18 +121,24 @@ def _linked(docs: DataFrame, signed: DataFrame, codes, k: int, num: int, den: in
     members = written(classes.join(groups, ["n", "head"]).select("cls", "gid", "weight", "n"), "members")
 
     leads = members.where("cls = gid").select("gid", "weight")
-    tokens = (
-        some.select(F.col("rid").alias("gid"), "n", "keys")
-        .join(leads, "gid")
-        .select("gid", "n", "weight", F.posexplode("keys").alias("pos", "key"))
+    # Nearly all rows lead a group, so the few that do not are taken out.
+    others = if_small(written(some.select("rid").join(leads.select(F.col("gid").alias("rid")), "rid", "left_anti"), "not-leads"))
+    heavy = if_small(leads.where("weight > 1").withColumnRenamed("gid", "rid"))
+    lead_keys = some.select("rid", "n", "keys").join(others, "rid", "left_anti").join(heavy, "rid", "left")
+    tokens = lead_keys.select(
+        F.col("rid").alias("gid"), F.col("n").cast("int").alias("n"), F.coalesce("weight", F.lit(1)).cast("long").alias("weight"), F.posexplode("keys").alias("pos", "key")
     )
+    # Most keys are in one group alone; they go before anything else moves with them.
+    shared = tokens.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
+    hits = written(tokens.join(shared, "key").select("key", "gid", F.col("n").cast("long").alias("n"), "pos", "weight"), "hits")
     # The pivot of a bucket is the group with most copies: near copies are likely near the copied text.
-    buckets = tokens.groupBy("key").agg(
-        F.count("*").alias("size"), F.max(F.struct("weight", (-F.col("gid")).alias("_no"), "gid", "n", "pos")).alias("pivot")
+    best = F.max(F.struct("weight", (-F.col("gid")).alias("_no"), "n", "pos")).alias("pivot")
+    pivots = hits.groupBy("key").agg(best).select("key", (-F.col("pivot._no")).alias("lead"), "pivot.n", "pivot.pos")
+    h, v = hits.alias("h"), pivots.alias("v")
+    near = may_match(F.col("h.n"), F.col("h.pos"), F.col("v.n"), F.col("v.pos"), num, den)
+    star = h.join(v, (F.col("h.key") == F.col("v.key")) & (F.col("h.gid") != F.col("v.lead")) & near).select(
+        F.col("v.lead").alias("a"), F.col("h.gid").alias("b")
     )
-    hits = written(tokens.join(buckets.where("size > 1").select("key", "pivot"), "key").select("key", "gid", "n", "pos", "pivot"), "hits")
-    near = may_match(F.col("n"), F.col("pos"), F.col("pivot.n"), F.col("pivot.pos"), num, den)
-    star = hits.where(F.col("gid") != F.col("pivot.gid")).where(near).select(F.col("pivot.gid").alias("a"), F.col("gid").alias("b"))
     inside = members.where("cls != gid").select(F.col("gid").alias("a"), F.col("cls").alias("b"))
     first = written(star.unionByName(inside).distinct(), "star-pairs")
     edges = _checked(docs, signed, first, codes, k, num, den)
@@ -181,7 +192,8 @@ def _linked(docs: DataFrame, signed: DataFrame, codes, k: int, num: int, den: in
 def _checked(docs: DataFrame, signed: DataFrame, pairs: DataFrame, codes, k: int, num: int, den: int) -> DataFrame:
     ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     wanted = signed.select(F.col("rid").alias("id"), "doc", "k1", "k2").join(ends, "id")
-    sets = _whole_sets(docs, wanted, codes, k)
+    repeats = not signed.groupBy("doc", "k1", "k2").count().where("count > 1").isEmpty()
+    sets = _whole_sets(docs, wanted, codes, k, repeats)
     return written(verified(pairs, sets, num, den), "links")
 
 
@@ -194,7 +206,5 @@ def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> D
     linked = link(docs, k, num, den).where("n_shingles > 0")
     me = F.struct(F.col("doc_id").isNull().alias("_none"), F.col("doc_id").alias("_id"), "k1", "k2")
     best = linked.groupBy("component_rid").agg(F.min(me).alias("best"), F.max(me).alias("worst")).where("best != worst")
-    gone = linked.join(best, "component_rid").where(me != F.col("best")).select(F.col("doc_id").alias("_gone"), "k1", "k2").distinct()
-    keyed = docs.withColumns(dict(zip(("_k1", "_k2"), text_key(F.col("text")))))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")) & (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2"))
-    return keyed.join(gone, same, "left_anti").drop("_k1", "_k2")
+    gone = linked.join(best, "component_rid").where(me != F.col("best")).select(F.col("doc_id").alias("doc"), "k1", "k2").distinct()
+    return without(docs, gone)
