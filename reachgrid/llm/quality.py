@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from reachgrid.llm.texts import text_key, written
+from reachgrid.llm.texts import free, text_key, written
 from reachgrid.llm.words import SAME, U, WHITE, Words, bytes_of, grams, slices, text_grams, words_of
 
 SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
@@ -156,16 +156,21 @@ def upper_bound(k: int, n: int, level: float) -> float:
     return high
 
 
-def fit_cutoffs(docs: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.05) -> dict[tuple[str, str], float]:
-    """{(stratum, rule): cutoff} from all rows of *labels* (doc_id, quality) that *docs* has.
+def table_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, lang, text hashes, counts) of every row, written once; no text moves."""
+    return written(measured(docs).select("doc_id", "lang", *text_key(F.col("text")), Q), "measures")
+
+
+def fit_cutoffs(table: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.05) -> dict[tuple[str, str], float]:
+    """{(stratum, rule): cutoff} from all rows of *labels* (doc_id, quality) that *table* (:func:`table_of`) has.
 
     A doc_id whose labels differ counts as good. Equal texts are one draw.
     Texts that fail the base rules are not at stake and are left out. Rules
     without a proven cutoff in a stratum are missing there and reject nothing.
     """
     good = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("_doc")).agg(F.max("quality").alias("_good")).where("_good = 1")
-    held = docs.select(F.col("doc_id").cast("long").alias("_doc"), "text", "lang").join(good, "_doc").select("text", "lang", *text_key(F.col("text")))
-    values = measured(held).where(~base_failed()).select("_k1", "_k2", stratum().alias("stratum"), *[v.alias(n) for n, v in rule_values().items()])
+    held = table.withColumn("_doc", F.col("doc_id").cast("long")).join(good, "_doc").where(~base_failed())
+    values = held.select("_k1", "_k2", stratum().alias("stratum"), *[v.alias(n) for n, v in rule_values().items()])
     values = values.groupBy("_k1", "_k2", "stratum").agg(*[F.max(r).alias(r) for r in GRIDS])
     above = [F.count(F.when(F.col(r) > c, 1)).alias(f"{r}_{i}") for r, grid in GRIDS.items() for i, c in enumerate(grid)]
     # At most one row for each stratum.
@@ -181,9 +186,9 @@ def fit_cutoffs(docs: DataFrame, labels: DataFrame, risk: float = 0.02, delta: f
     return out
 
 
-def rejected(cutoffs: dict[tuple[str, str], float]) -> Column:
+def rejected(cutoffs: dict[tuple[str, str], float], q: str = Q) -> Column:
     """Whether a rule's value is above its cutoff in the row's stratum."""
-    values = rule_values()
+    values = rule_values(q)
     tests = [(stratum() == s) & (values[rule] > F.lit(c)) for (s, rule), c in sorted(cutoffs.items())]
     out = F.lit(False)
     for test in tests:
@@ -191,18 +196,18 @@ def rejected(cutoffs: dict[tuple[str, str], float]) -> Column:
     return out
 
 
-def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.05) -> DataFrame:
-    """*docs* (doc_id, text, lang, ...) with counts in ``_quality_counts``, base_failed and kept.
+def judge(docs: DataFrame, cutoffs: dict[tuple[str, str], float]) -> DataFrame:
+    """*docs* with measures (:func:`measured` or :func:`table_of`), and base_failed and kept.
 
     Null texts count as empty and fail the base rules; a null or unknown lang is
-    the stratum "other". Repeated rows are judged alike. Empty *docs* or
-    *labels* are allowed: without labels only the base rules reject.
+    the stratum "other". Repeated rows are judged alike. Empty tables are
+    allowed: without labels there are no cutoffs and only the base rules reject.
     """
-    cutoffs = fit_cutoffs(docs, labels, risk, delta)
-    return measured(docs).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~rejected(cutoffs))
+    return docs.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~rejected(cutoffs))
 
 
 def kept_of(docs: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.05) -> DataFrame:
     """The rows that the rules keep, with the columns of *docs*."""
-    cutoffs = fit_cutoffs(docs, labels, risk, delta)
-    return measured(docs).where(~base_failed() & ~rejected(cutoffs)).select(*docs.columns)
+    cutoffs = fit_cutoffs(table_of(docs), labels, risk, delta)
+    q = free(docs, Q)
+    return measured(docs, q).where(~base_failed(q) & ~rejected(cutoffs, q)).drop(q)

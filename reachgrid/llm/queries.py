@@ -111,7 +111,8 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op5_quality_rules")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
-    judged = quality.judge(read(spark, folder, "documents"), read(spark, folder, "labels"))
+    table = quality.table_of(read(spark, folder, "documents"))
+    judged = quality.judge(table, quality.fit_cutoffs(table, read(spark, folder, "labels")))
     return judged.select("doc_id", *[F.col(f"{quality.Q}.{c}").alias(c) for c in quality.COUNTS], "base_failed", "kept")
 
 
