@@ -12,6 +12,8 @@ from itertools import chain
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from reachgrid.llm.texts import free
+
 #: Licence sentences, normalised (A-Z lower-cased, runs of other ASCII
 #: than letters and digits made one space), with their identifiers.
 SENTENCES = {
@@ -114,8 +116,10 @@ def scan(docs: DataFrame, known: dict[str, str] = SENTENCES, rules: list[tuple[s
 
     # The identifiers stand in an array of one, so that they are found once and used twice.
     both = F.transform(F.array(identifiers(F.coalesce("text", F.lit("")), known)), matched)[0]
-    others = [docs[c] for c in docs.columns if c not in ("sentence_ids", "licences")]
-    return docs.select(*others, both.alias("_scan")).select(*[c for c in docs.columns if c not in ("sentence_ids", "licences")], F.col("_scan.ids").alias("sentence_ids"), F.col("_scan.licences").alias("licences"))
+    scan_name = free(docs, "_scan")
+    others = [c for c in docs.columns if c not in ("sentence_ids", "licences")]
+    found = docs.withColumn(scan_name, both)
+    return found.select(*others, F.col(f"{scan_name}.ids").alias("sentence_ids"), F.col(f"{scan_name}.licences").alias("licences"))
 
 
 def spelt(sequence: list[str]) -> str:
