@@ -77,14 +77,14 @@ def blocks_of(page: str) -> tuple[list[Block], str]:
     links: list[str] = []
     stack: list[tuple[str, bool, bool, bool]] = []  # element, apart, inside main, heading
     lang, in_link, breaks = "", False, 0
-    apart = inside = heading = False
+    apart = inside = heading = alone = False
 
     def end() -> None:
         nonlocal in_link, breaks
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
             linked = len(" ".join(html.unescape("".join(links)).split()))
-            blocks.append(Block(text, linked, apart, inside, heading))
+            blocks.append(Block(text, linked, apart or alone, inside, heading))
         parts.clear()
         links.clear()
         in_link, breaks = False, 0
@@ -128,6 +128,8 @@ def blocks_of(page: str) -> tuple[list[Block], str]:
                 end()
         elif name in BLOCK_TAGS:
             end()
+            # A paragraph may stand apart by its own name; it ends with the next block.
+            alone = name == "p" and not closing and bool(APART_NAME.search(" ".join(_attributes(rest).values())))
             if name in CONTAINERS and name not in VOID:
                 if closing:
                     for i in range(len(stack) - 1, -1, -1):

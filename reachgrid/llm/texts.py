@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from reachgrid.operators.sizes import if_small
 from reachgrid.session import written
 
 __all__ = ["free", "ordered_sums", "read", "text_key", "without", "written"]
@@ -37,7 +38,7 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     same = (F.col(keys[0]) == F.col(theirs["k1"])) & (F.col(keys[1]) == F.col(theirs["k2"]))
     if "doc" in theirs:
         same = same & F.col("doc_id").cast("long").eqNullSafe(F.col(theirs["doc"]))
-    return keyed.join(gone.withColumnsRenamed(theirs), same, "left_anti").drop(*keys)
+    return keyed.join(if_small(gone.withColumnsRenamed(theirs)), same, "left_anti").drop(*keys)
 
 
 def ordered_sums(df: DataFrame, order: list[str], amounts: dict[str, str], label: str, by: str | None = None) -> DataFrame:
