@@ -24,7 +24,7 @@ from reachgrid.operators.scoring import (
 from reachgrid.params import ScoreParams, check_slot
 from reachgrid.plans.listings import settled
 from reachgrid.schemas import columns
-from reachgrid.session import written
+from reachgrid.session import scratch, written
 from reachgrid.sources.od import import_od
 from reachgrid.workspace import Workspace
 
@@ -67,10 +67,11 @@ def score(ws: Workspace, params: ScoreParams | None = None, slots: list[str] | N
     """Score and publish; a run over some slots leaves the other slots in place."""
     if slots is None and ws.table("travel_times").isEmpty():
         raise ValueError("no departure slots: import travel times before scoring")
-    frames = score_frames(ws, params, slots, store=True)
-    if slots is None:
-        return {name: ws.publish(name, df, ["departure_time"]) for name, df in frames.items()}
-    return {name: ws.replace_slots(name, df, slots) for name, df in frames.items()}
+    with scratch(ws.spark):
+        frames = score_frames(ws, params, slots, store=True)
+        if slots is None:
+            return {name: ws.publish(name, df, ["departure_time"]) for name, df in frames.items()}
+        return {name: ws.replace_slots(name, df, slots) for name, df in frames.items()}
 
 
 def build_grid(ws: Workspace, size: int = CELL_SIZE) -> DataFrame:

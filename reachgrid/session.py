@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,6 +51,30 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+#: Folder of the current run, where there is one.
+_RUN: ContextVar[str | None] = ContextVar("run", default=None)
+
+
+def _run_dir(spark: SparkSession) -> str:
+    return _RUN.get() or f"{shared_dir(spark)}/reachgrid/{spark.sparkContext.applicationId}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """A run whose intermediates are deleted at its end.
+
+    Frames built inside must be used up (written, published, counted) before.
+    """
+    path = f"{_run_dir(spark)}/run-{uuid.uuid4().hex}"
+    token = _RUN.set(path)
+    try:
+        yield
+    finally:
+        _RUN.reset(token)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def laid_out(df: DataFrame, partition_by: list[str] | None, sort_by: list[str] | None = None) -> DataFrame:
     """Rows arranged for a partitioned write: files of a good size, each with few partition values.
 
@@ -67,7 +94,7 @@ def written(df: DataFrame, label: str, partition_by: list[str] | None = None) ->
     and Catalyst knows its true size when it chooses a join.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/reachgrid/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    path = f"{_run_dir(spark)}/{label}-{uuid.uuid4().hex}"
     writer = laid_out(df, partition_by).write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)

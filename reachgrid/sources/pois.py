@@ -27,13 +27,13 @@ def csv_cells(line: Column) -> Column:
     return F.transform(F.split(line, outside_quotes), plain)
 
 
-def read_pois(ws, path: str) -> DataFrame:
+def read_pois(ws, path: str, glob: str = "*.csv") -> DataFrame:
     """Rows of all CSV files with type code, label, raw texts and their place.
 
     The header decides a file's layout; a file with neither set of columns is
     left out. Without a type column the file name is the type.
     """
-    lines = read_lines(ws.spark, path, "*.csv")
+    lines = read_lines(ws.spark, path, glob)
     top = first_matching(lines, F.lit(False)).select("_file", "header", "_hpos", "_hblock")
     names = F.transform(csv_cells(F.col("header")), lambda c: F.lower(F.trim(c)))
     heads = top.select("_file", "_hpos", "_hblock", names.alias("names"))

@@ -273,6 +273,20 @@ def test_matrix_numbers_keep_their_digits(spark):
     assert got == [(9007199254740993, 7, 10.0), (None, 7, None)]
 
 
+def test_malformed_blobs_are_null(spark):
+    good = struct.pack("<BIII8d", 1, 3, 1, 4, 0, 0, 1, 0, 1, 1, 0, 0)
+    line = struct.pack("<BII4d", 1, 2, 2, 0, 0, 1, 1)
+    point = struct.pack("<BI2d", 1, 1, 3, 4)
+    rows = [(i, bytearray(b) if b is not None else None) for i, b in enumerate([good, good[:-9], b"", b"\x01", line, line[:-1], point, None])]
+    df = spark.createDataFrame(rows, "i int, b binary").select("i", decode_rings("b").alias("r"), decode_lines("b").alias("l"), decode_points("b").alias("p"))
+    got = {r.i: r for r in df.where("i in (0, 1, 2, 3, 7)").select("i", "r").collect()}
+    assert len(got[0].r) == 1 and got[7].r == [] and all(got[i].r is None for i in (1, 2, 3))
+    lines = {r.i: r.l for r in df.where("i in (4, 5)").select("i", "l").collect()}
+    assert len(lines[4]) == 1 and lines[5] is None
+    points = {r.i: r.p for r in df.where("i in (3, 6)").select("i", "p").collect()}
+    assert (points[6].x, points[6].y, points[3].x) == (3, 4, None)
+
+
 def test_nan_is_not_a_number(spark):
     df = spark.createDataFrame([(1, 2, float("nan")), (1, 2, 5.0), (1, 2, 500.0), (None, 2, 5.0)], "origin_cell_id bigint, destination_id bigint, travel_time_minutes double")
     assert [r.fate for r in od.judged(df).collect()] == ["not_numeric", "kept", "out_of_range", "not_numeric"]

@@ -322,3 +322,15 @@ def test_hotspots_find_profiles_by_code_or_name(spark):
     assert [(r.code, r.burden) for r in low] == [("1", 810000.0)]
     named = hotspots(ranking.where("code in ('2', '4', '5')").unionByName(ranking.where("code = '1'")), people).collect()
     assert [(r.code, r.renta_index) for r in named] == [("1", 1.0), ("2", 2.0)]
+
+
+def test_a_run_leaves_nothing_behind(spark, tmp_path):
+    import glob
+
+    from reachgrid.session import scratch, shared_dir, written
+
+    kept = written(spark.range(5), "kept")
+    with scratch(spark):
+        assert written(spark.range(3), "passing").count() == 3
+        assert glob.glob(f"{shared_dir(spark)}/reachgrid/*/run-*/passing-*")
+    assert not glob.glob(f"{shared_dir(spark)}/reachgrid/*/run-*") and kept.count() == 5
