@@ -25,6 +25,8 @@ from reachgrid.operators.sizes import if_small
 RARITY_BITS = 22
 #: A line's place in order is its document's rank times this, plus its number.
 LINE_BITS = 24
+#: Numbers in lists of lines that are broadcast, some 20 MB; longer lists are joined by shuffle.
+BROADCAST_LINES = 2_500_000
 
 def _line_bounds(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(byte bounds of all lines, row of each line, number of each line in its row)."""
@@ -37,23 +39,29 @@ def _line_bounds(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.append(starts, bounds[-1]), rows, np.arange(len(rows)) - first[rows]
 
 
-def _line_sets(raw: np.ndarray, lines: np.ndarray, k: int):
-    """(first line, line after the last, distinct token hashes, bounds by line) by slices of lines."""
+def _sorted_sets(hashes: np.ndarray, bounds: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of each row, rising, and their bounds."""
+    keys = keys_of(hashes, codes)
+    row = np.repeat(np.arange(len(bounds) - 1, dtype=U), np.diff(bounds))
+    if len(bounds) <= 1 << 12:
+        near = (row << U(52)) | (keys >> U(11))
+        turn = np.argsort(near)
+        near, moved = near[turn], keys[turn]
+        if ((near[1:] == near[:-1]) & (moved[1:] != moved[:-1])).any():
+            turn = np.lexsort((keys, row))
+    else:
+        turn = np.lexsort((keys, row))
+    keys, row = keys[turn], row[turn]
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (row[1:] != row[:-1])
+    return keys[new], np.searchsorted(row[new], np.arange(len(bounds), dtype=U))
+
+
+def _line_sets(raw: np.ndarray, lines: np.ndarray, k: int, codes: np.ndarray):
+    """(first line, line after the last, distinct keys, bounds by line) by slices of lines."""
     for a, b in slices(lines, 1 << 17):
         tokens, at = text_grams(words_of(raw, lines[a : b + 1], WHITE, LOWER), k)
-        line = np.repeat(np.arange(b - a), np.diff(at))
-        turn = np.lexsort((tokens, line))
-        tokens, line = tokens[turn], line[turn]
-        new = np.ones(len(tokens), dtype=bool)
-        new[1:] = (tokens[1:] != tokens[:-1]) | (line[1:] != line[:-1])
-        yield a, b, tokens[new], np.searchsorted(line[new], np.arange(b - a + 1))
-
-
-def _by_rarity(hashes: np.ndarray, bounds: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """Keys, rising inside each line."""
-    keys = keys_of(hashes, codes)
-    line = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    return keys[np.lexsort((keys, line))]
+        yield a, b, *_sorted_sets(tokens, at, codes)
 
 
 def _segment_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -68,14 +76,13 @@ def _index(docs: DataFrame, ranks: DataFrame, codes, k: int, num: int, den: int,
         for batch in batches:
             raw, bounds = bytes_of(batch.column(0))
             ends, rows, numbers = _line_bounds(raw, bounds)
-            for a, b, hashes, at in _line_sets(raw, ends, k):
+            for a, b, keys, at in _line_sets(raw, ends, k, codes.value):
                 n = np.diff(at)
-                keys = _by_rarity(hashes, at, codes.value)
                 some = np.flatnonzero(n >= max(least, 1))
                 size = prefix_length(n[some], num, den)
                 cuts = np.concatenate([[0], np.cumsum(size)])
                 flat = keys[np.repeat(at[some] - cuts[:-1], size) + np.arange(cuts[-1])]
-                prints = mix(_segment_sums(mix(hashes), at) ^ mix(n.astype(U)))[some]
+                prints = mix(_segment_sums(mix(keys), at) ^ mix(n.astype(U)))[some]
                 yield pa.RecordBatch.from_arrays(
                     [*[c.take(pa.array(rows[a:b][some])) for c in batch.columns[1:]], pa.array(numbers[a:b][some]), pa.array(n[some]), pa.array(prints.astype(np.int64)), longs(flat, cuts)],
                     names=["doc", "k1", "k2", "line", "n", "id", "keys"],
@@ -89,22 +96,19 @@ def _index(docs: DataFrame, ranks: DataFrame, codes, k: int, num: int, den: int,
     return written(lines.join(r, same).select(place.alias("place"), "l.id", "l.n", "l.keys"), "lines")
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+def _sets_of(docs: DataFrame, wanted: DataFrame, codes, k: int) -> DataFrame:
     """(id, keys) of the wanted lines (id, doc, k1, k2, line)."""
 
     def sets(batches):
         for batch in batches:
-            for text, picks in zip(batch.column(0), batch.column(1).to_pylist()):
-                raw, bounds = bytes_of(pa.array([text.as_py()], pa.string()))
-                ends, _, _ = _line_bounds(raw, bounds)
-                picks = sorted((p["line"], p["id"]) for p in picks)
-                numbers, ids = np.array([p[0] for p in picks]), np.array([p[1] for p in picks])
-                for a, b, hashes, at in _line_sets(raw, ends, k):
-                    here = slice(*np.searchsorted(numbers, [a, b]))
-                    parts = [hashes[at[p] : at[p + 1]] for p in numbers[here] - a]
-                    if parts:
-                        cuts = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[here]), longs(np.concatenate(parts), cuts)], names=["id", "keys"])
+            ids, lines = [], []
+            for text, picks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = text.split("\n")
+                ids += [p["id"] for p in picks]
+                lines += [own[p["line"]] for p in picks]
+            raw, bounds = bytes_of(pa.array(lines, pa.large_string()))
+            for a, b, keys, at in _line_sets(raw, bounds, k, codes.value):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b], pa.int64()), longs(keys, at)], names=["id", "keys"])
 
     texts = docs.select("text", F.col("doc_id").cast("long").alias("_doc"), *text_key(F.col("text")))
     w = if_small(wanted.groupBy("doc", "k1", "k2").agg(F.collect_set(F.struct("id", "line")).alias("lines"))).alias("w")
@@ -162,7 +166,7 @@ def repeated_lines(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, l
         ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
         firsts = ends.join(classes, "id").select("id", _rank().alias("doc_rank"), _line().alias("line"))
         wanted = firsts.join(ranks, "doc_rank").select("id", "doc", "k1", "k2", "line")
-        return verified(pairs, _sets_of(docs, wanted, k), num, den).select("b").distinct()
+        return verified(pairs, _sets_of(docs, wanted, codes, k), num, den).select("b").distinct()
 
     gone = written(matching(first), "line-matches")
     x, y = hits.alias("x"), hits.join(gone, F.col("id") == F.col("b"), "left_anti").alias("y")
@@ -191,28 +195,29 @@ def dedup_lines(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, leas
     k1, k2, mark = (free(docs, n) for n in ("_own_k1", "_own_k2", "_lines"))
     found = found.withColumnsRenamed({c: free(docs, f"_cut_{c}") for c in ("doc", "k1", "k2")} | {"lines": mark})
     doc, c1, c2 = found.columns[:3]
+    # The lists count as what they hold.
+    small = not found.isEmpty() and found.agg(F.sum(F.size(mark) + 4)).first()[0] <= BROADCAST_LINES
     keyed = docs.withColumns(dict(zip((k1, k2), text_key(F.col("text")))))
     same = (F.col(k1) == F.col(c1)) & (F.col(k2) == F.col(c2)) & F.col("doc_id").cast("long").eqNullSafe(F.col(doc))
-    joined = keyed.join(found, same, "left").drop(k1, k2, doc, c1, c2)
-    n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.length("text") - F.length(F.translate("text", "\n", "")) + 1)
-    n_removed = F.when(F.col(mark).isNull(), 0).otherwise(F.size(mark))
-    counted = joined.withColumns({"n_lines": n_lines.cast("long"), "n_removed": n_removed.cast("long")})
+    joined = keyed.join(F.broadcast(found) if small else found, same, "left").drop(k1, k2, doc, c1, c2)
+    counted = joined.withColumns({"n_lines": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long")})
     schema = counted.drop(mark).schema
-    text_at, lines_at = counted.columns.index("text"), counted.columns.index(mark)
-    keep = [i for i in range(len(counted.columns)) if i != lines_at]
+    at = {c: i for i, c in enumerate(counted.columns)}
 
     def cut(batches):
         for batch in batches:
-            gone = batch.column(lines_at).to_pylist()
-            texts = batch.column(text_at)
-            if any(g for g in gone):
-                out = []
-                for text, g in zip(texts.to_pylist(), gone):
+            texts, gone = batch.column(at["text"]), batch.column(at[mark]).to_pylist()
+            raw, bounds = bytes_of(texts)
+            breaks = np.searchsorted(np.flatnonzero(raw == 10), bounds)
+            n_lines = np.where(texts.is_null().to_numpy(zero_copy_only=False), 0, np.diff(breaks) + 1)
+            if any(gone):
+                out = texts.to_pylist()
+                for i, g in enumerate(gone):
                     if g:
                         g = set(g)
-                        text = "\n".join(line for i, line in enumerate(text.split("\n")) if i not in g)
-                    out.append(text)
-                texts = pa.array(out, batch.column(text_at).type)
-            yield pa.RecordBatch.from_arrays([texts if i == text_at else batch.column(i) for i in keep], names=schema.names)
+                        out[i] = "\n".join(line for k, line in enumerate(out[i].split("\n")) if k not in g)
+                texts = pa.array(out, texts.type)
+            made = {"text": texts, "n_lines": pa.array(n_lines, pa.int64()), "n_removed": pa.array([len(g or ()) for g in gone], pa.int64())}
+            yield pa.RecordBatch.from_arrays([made.get(c, batch.column(i)) for c, i in at.items() if c != mark], names=schema.names)
 
     return counted.mapInArrow(cut, schema)

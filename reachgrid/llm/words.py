@@ -101,6 +101,7 @@ def words_of(raw: np.ndarray, bounds: np.ndarray, separator: np.ndarray, fold: n
     raw, bounds = raw[base : int(bounds[-1])], bounds - base
     n = len(raw)
     inside = ~separator[raw]
+    table = BYTE[fold]
     opens, closes = inside.copy(), inside.copy()
     opens[1:] &= ~inside[:-1]
     closes[:-1] &= ~inside[1:]
@@ -121,7 +122,7 @@ def words_of(raw: np.ndarray, bounds: np.ndarray, separator: np.ndarray, fold: n
         low, high = int(start[done]), int(end[upto - 1])
         up, down = _tables(high - low + 1)
         total = np.zeros(high - low + 1, dtype=U)
-        np.cumsum(BYTE[fold[raw[low:high]]] * up[: high - low], out=total[1:])
+        np.cumsum(table[raw[low:high]] * up[: high - low], out=total[1:])
         s, e = start[done:upto] - low, end[done:upto] - low
         hashes[done:upto] = mix((total[e] - total[s]) * down[s] + (e - s).astype(U) * U(STEP))
         done = upto
