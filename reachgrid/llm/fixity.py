@@ -10,6 +10,9 @@ next level looked at, down to the records.
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from reachgrid.llm.texts import ordered_sums, written
@@ -130,13 +133,21 @@ def tree_of_archive(spark: SparkSession, path: str, places: DataFrame, fanout: i
     """
     content = spark.read.schema("value string, file long").text(path, wholetext=True).select("file", F.col("value").cast("binary").alias("content"))
     ranges = places.groupBy("file").agg(F.sort_array(F.collect_set(F.struct("record", "offset", "length"))).alias("ranges"))
-    met = ranges.join(content, "file", "left").withColumn("content", F.coalesce("content", F.lit(b"")))
-
-    def leaf(r: Column) -> Column:
-        part = F.substring(F.col("content"), (r["offset"] + 1).cast("int"), r["length"].cast("int"))
-        return F.struct(r["offset"].alias("offset"), (r["offset"] + r["length"]).alias("end"), F.sha2(part, 256).alias("hash"))
-
-    return _nodes(met.select("file", F.transform("ranges", leaf).alias("leaves")), label, fanout)
+    node = pa.list_(pa.struct([("offset", pa.int64()), ("end", pa.int64()), ("hash", pa.string())]))
+
+    def hashed(batches):
+        for batch in batches:
+            files = []
+            for content, laid in zip(batch.column(1), batch.column(2).to_pylist()):
+                whole = memoryview(content.as_buffer() if content.is_valid else b"")
+                ends = [(r["offset"], r["offset"] + r["length"]) for r in laid]
+                files.append([{"offset": a, "end": b, "hash": hashlib.sha256(whole[a:b]).hexdigest()} for a, b in ends])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(files, node)], names=["file", "leaves"])
+
+    # A column expression would copy the whole file for each of its ranges.
+    met = ranges.join(content, "file", "left").select("file", "content", "ranges")
+    leaves = met.mapInArrow(hashed, "file long, leaves array<struct<offset: long, end: long, hash: string>>")
+    return _nodes(leaves, label, fanout)
 
 
 def audit(one: DataFrame, other: DataFrame, fanout: int = FANOUT) -> tuple[DataFrame, list[int]]:
