@@ -54,8 +54,10 @@ def workspace(b) -> Workspace:
 
 
 PREAMBLE = ("Population by section", "x", "x", "x", "x", "code;name;district;section;total")
-PEOPLE = F.floor(F.abs("c_acctbal")).cast("int")
-DOTTED = F.replace(F.format_number(PEOPLE, 0), F.lit(","), F.lit("."))
+
+
+def dotted_people() -> Column:
+    return F.replace(F.format_number(F.floor(F.abs("c_acctbal")).cast("int"), 0), F.lit(","), F.lit("."))
 
 
 @query(
@@ -65,7 +67,7 @@ DOTTED = F.replace(F.format_number(PEOPLE, 0), F.lit(","), F.lit("."))
        from customer""",
 )
 def _(b):
-    line = quoted(padded(F.col("c_nationkey"), 3), F.lit("x"), padded(F.col("c_custkey") % 7, 2), padded(F.col("c_custkey"), 7), DOTTED)
+    line = quoted(padded(F.col("c_nationkey"), 3), F.lit("x"), padded(F.col("c_custkey") % 7, 2), padded(F.col("c_custkey"), 7), dotted_people())
     path = stored(b.raw("customer").select(line), "census", PREAMBLE)
     return census.read_census(workspace(b), path)
 
@@ -80,7 +82,7 @@ def _(b):
     young, old = F.col("c_custkey") % 40, 39 - F.col("c_custkey") % 40
     share = [F.concat(young.cast("string"), F.lit(",5")), F.lit("60,0"), F.concat(old.cast("string"), F.lit(",5"))]
     blank = F.lit("")
-    line = quoted(padded(F.col("c_nationkey"), 3), F.lit("x"), F.lit("01"), padded(F.col("c_custkey"), 7), DOTTED, blank, blank, blank, *share)
+    line = quoted(padded(F.col("c_nationkey"), 3), F.lit("x"), F.lit("01"), padded(F.col("c_custkey"), 7), dotted_people(), blank, blank, blank, *share)
     path = stored(b.raw("customer").select(line), "ages", PREAMBLE)
     return census.read_ages(workspace(b), path)
 
