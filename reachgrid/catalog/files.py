@@ -34,7 +34,7 @@ def stored(lines: DataFrame, label: str, head: tuple[str, ...] = ()) -> str:
             if batch.num_rows and not begun:
                 begun = True
                 yield pa.RecordBatch.from_arrays([pa.array(head, pa.string())], names=["value"])
-            yield batch
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string())], names=["value"])
 
     column = lines.toDF("value")
     (column.mapInArrow(headed, "value string") if head else column).write.mode("errorifexists").text(path)
