@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reachgrid.llm import decontaminate, fixity, html_text, licences, line_dedup, ngram_join, packing, quality, sharding, token_store
+from reachgrid.llm import conversations, decontaminate, fixity, html_text, language_id, licences, line_dedup, ngram_join, packing, quality, resampling, sharding, token_store
 from reachgrid.llm.registry import ORACLE, QUERIES, query
 from reachgrid.llm.texts import read
 from reachgrid.session import shared_dir
@@ -164,3 +164,19 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents")
     return packing.pack(docs, packing.byte_length(F.col("text")), packing.exact_cluster(F.col("text")))
+
+
+@query("op11_importance_resampling")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    drawn = resampling.resample(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op12_language_id")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.identify(read(spark, folder, "documents"))
+
+
+@query("op13_conversation_repair")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.Repair(conversations.damaged(read(spark, folder, "conversations"))).report()
