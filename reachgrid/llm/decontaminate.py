@@ -11,16 +11,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from reachgrid.llm.rarity import flags_of
-from reachgrid.llm.texts import text_key, without, written
+from reachgrid.llm.texts import portions, text_key, without, written
 from reachgrid.llm.words import LOWER, NOT_ALNUM, U, Words, grams, longs, read_words, text_grams
 
 #: Words of a shingle; a shorter window is one shingle.
 SHINGLE = 5
-#: Bits of the filters in front of the joins: 16 MB in a task, whatever the benchmark's size.
-FILTER_BITS = 24
+#: Bits of the filters in front of the joins: 16 places for each shingle, 16 MB in a task at most.
+LEAST_BITS, MOST_BITS = 12, 24
 
 
 def _joined(words: Words, a: int, b: int) -> str:
@@ -57,8 +58,14 @@ def _windows(benchmark: DataFrame, width: int) -> DataFrame:
     )
 
 
+def _filter(table: DataFrame) -> Broadcast:
+    """The places of the shingles of *table*; a full filter lets more pass, and the join behind it is exact."""
+    bits = min(max((16 * table.count()).bit_length(), LEAST_BITS), MOST_BITS)
+    return table.sparkSession.sparkContext.broadcast(flags_of(table, "shingle", bits))
+
+
 def _hits(hashes: np.ndarray, present: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(present[(hashes >> U(64 - FILTER_BITS)).astype(np.int64)])
+    return np.flatnonzero(present[(hashes >> U(65 - len(present).bit_length())).astype(np.int64)])
 
 
 def _runs(words: Words, sizes: list[int]):
@@ -76,7 +83,7 @@ def _counts(docs: DataFrame, present, sizes: list[int]) -> DataFrame:
     """(shingle, seen): occurrences in all documents of whatever passes the filter."""
 
     def count(batches):
-        for batch in batches:
+        for batch in portions(batches):
             for _, _, words in read_words(batch.column(0), NOT_ALNUM, LOWER):
                 for hashes, _ in _runs(words, sizes):
                     values, seen = np.unique(hashes[_hits(hashes, present.value)], return_counts=True)
@@ -91,7 +98,7 @@ def _candidates(docs: DataFrame, present, sizes: list[int], width: int) -> DataF
     found = pa.list_(pa.struct([("key", pa.int64()), ("pos", pa.int64()), ("base", pa.int64()), ("around", pa.string())]))
 
     def look(batches):
-        for batch in batches:
+        for batch in portions(batches):
             for i, j, words in read_words(batch.column(0), NOT_ALNUM, LOWER):
                 rows: list[list] = [[] for _ in range(j - i)]
                 for hashes, place in _runs(words, sizes):
@@ -127,22 +134,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> Dat
     repeated or not. Without items no document has hits; without documents
     there are no rows.
     """
-    spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     windows = _windows(benchmark.select("item_id", "text"), width)
     shingles = windows.select("window", "m", F.posexplode("shingles").alias("offset", "shingle"))
     # At most SHINGLE values.
     sizes = sorted(int(r["s"]) for r in windows.select(F.least("m", F.lit(SHINGLE)).alias("s")).distinct().collect())
-    present = spark.sparkContext.broadcast(flags_of(shingles, "shingle", FILTER_BITS))
+    present = _filter(shingles)
     counts = written(_counts(docs, present, sizes), "shingle-counts")
+    present.destroy()
     # A window with a shingle that no document has cannot occur.
     best = F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "shingle", "offset")).alias("rarest")
     prefixes = shingles.join(counts, "shingle", "left").groupBy("window", "m").agg(best).where("rarest.seen > 0")
     prefixes = written(
         prefixes.join(windows.select("window", "items"), "window").select("window", "m", "items", "rarest.shingle", "rarest.offset"), "prefixes"
     )
-    wanted = spark.sparkContext.broadcast(flags_of(prefixes, "shingle", FILTER_BITS))
+    wanted = _filter(prefixes)
     table = _candidates(docs, wanted, sizes, width)
+    wanted.destroy()
 
     places = table.where(F.size("found") > 0).select("rid", "n_words", F.explode("found").alias("f"))
     start = F.col("f.pos") - F.col("offset")

@@ -29,17 +29,29 @@ BLOCK_TAGS = frozenset(
 )
 #: Elements whose content is not text of the page.
 SKIPPED = frozenset("script style noscript template svg math iframe object canvas video audio select textarea button head title".split())
-#: Elements that never hold the article.
-APART = frozenset("nav footer aside form menu dialog fieldset".split())
+#: Elements that are not part of the article, unless it stands in them.
+APART = frozenset("nav footer aside menu dialog fieldset".split())
 CONTAINERS = (BLOCK_TAGS | SKIPPED) - {"p", "hr"}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Words in class, id or role that mark a part outside the article.
-APART_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|promo\w*|sponsor\w*|sidebar\w*|side|nav\w*|menu\w*|breadcrumbs?|footer|foot|masthead|topbar|toolbar|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommend\w*|more-?links|tags|widget\w*|comments?|comment-?list|replies|reply|respond|disqus|discussion|copyright|legal|disclaimer|pagination|pager|skip|hidden|navigation|complementary|contentinfo|dialog|form)(?:$|[\s_-])",
-    re.I,
-)
-MAIN_NAME = re.compile(r"(?:^|[\s_-])(?:article|article-?body|articlebody|main|main-?content|post-?content|entry-?content|story|story-?body)(?:$|[\s_-])", re.I)
+CONTROLS = frozenset("input select textarea button".split())
+#: Words in class, id or role of what is not the article; those of the second list also name whole layouts.
+FURNITURE = "ads? advert\\w* adsense sponsor\\w* nav(?:bar|igation|s)? menu\\w* breadcrumbs? footer foot cookies? consent gdpr notice notification alert newsletter subscribe signup login share sharing social related recommend\\w* morelinks comments? commentlist replies reply respond disqus discussion pagination pager skip contentinfo".split()
+LAYOUT = "banner promo\\w* sidebar\\w* masthead topbar toolbar popup modal overlay search tags widgets? copyright legal disclaimer hidden complementary dialog form".split()
+TALK = re.compile(r"comments?|commentlist|replies|reply|respond|disqus|discussion")
+#: Words that may stand before and behind them in one name.
+BEFORE = "site page main global top bottom left right primary secondary post entry article content wp the sub header mobile sticky user reader inline side author".split()
+BEHIND = "left right top bottom bar box list area section wrapper wrap container inner content links? block items? panel module slot unit header title icons? buttons? text message \\d+".split()
+
+
+def _names(nouns: list[str], others: list[str]) -> re.Pattern:
+    """Whole names made of one of *nouns*, with words that may stand beside it."""
+    noun, any_noun = "|".join(nouns), "|".join(nouns + others)
+    return re.compile(rf"(?:(?:{'|'.join(BEFORE)}|{any_noun})[-_]+)*(?:{noun})(?:[-_]+(?:{'|'.join(BEHIND)}|{any_noun}))*", re.I)
+
+
+FURNITURE_NAME, LAYOUT_NAME = _names(FURNITURE, LAYOUT), _names(LAYOUT, [])
+MAIN_NAME = re.compile(r"(?:article|main|story)(?:[-_]?(?:body|content|text))?|(?:post|entry)[-_]?(?:content|body|text)", re.I)
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
@@ -47,6 +59,7 @@ TOKEN = re.compile(
     re.S,
 )
 ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|lang|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+HIDDEN = re.compile(r"""type\s*=\s*["']?hidden""", re.I)
 WORD = re.compile(r"[^\W\d_]+")
 
 # Rules of the first pass.
@@ -57,13 +70,54 @@ SOME_STOPS = 0.30
 MANY_LINKS = 0.2
 MOSTLY_LINKS = 0.66
 GOOD, BAD, NEAR, SHORT = "good", "bad", "near", "short"
+#: A form with less text, unless that is most of the page's, or with fewer words for each control, is furniture.
+FORM_CHARS = 400
+WORDS_A_CONTROL = 30
+
+
+class Part:
+    """An element that may stand apart from the article, and what is in it."""
+
+    __slots__ = ("kind", "chars", "words", "mains", "controls")
+
+    def __init__(self, kind: str):
+        self.kind = kind
+        self.chars = self.words = self.mains = self.controls = 0
+
+    def apart(self, mains_elsewhere: int, page_chars: int) -> bool:
+        if self.mains and not mains_elsewhere:
+            return False
+        if self.kind == "form":
+            return self.words < WORDS_A_CONTROL * self.controls or (self.chars < FORM_CHARS and 2 * self.chars <= page_chars)
+        return self.kind != "layout" or 2 * self.chars <= page_chars
 
 
 class Block:
-    __slots__ = ("text", "linked", "apart", "inside", "heading")
+    __slots__ = ("text", "linked", "parts", "inside", "heading", "apart")
+
+    def __init__(self, text: str, linked: int, parts: tuple[Part, ...], inside: bool, heading: bool):
+        self.text, self.linked, self.parts, self.inside, self.heading = text, linked, parts, inside, heading
+        self.apart = False
+
 
-    def __init__(self, text: str, linked: int, apart: bool, inside: bool, heading: bool):
-        self.text, self.linked, self.apart, self.inside, self.heading = text, linked, apart, inside, heading
+def _kind(name: str, given: dict[str, str], inside: bool) -> str | None:
+    """Why an element may stand apart: by its tag, as a form, by its name, or by a name that layouts have too."""
+    if name in ("body", "html", "main"):
+        return None
+    if name == "form":
+        return "form"
+    # A header belongs to the page unless it stands in the article.
+    if name in APART or "hidden" in given or given.get("aria-hidden", "").lower() == "true" or (name == "header" and not inside):
+        return "tag"
+    names = [t for k in ("class", "id", "role") for t in given.get(k, "").split()]
+    if any(FURNITURE_NAME.fullmatch(t) for t in names):
+        return "talk" if any(TALK.search(t) for t in names) else "name"
+    return "layout" if any(LAYOUT_NAME.fullmatch(t) for t in names) else None
+
+
+def _is_main(name: str, given: dict[str, str]) -> bool:
+    names = [t for k in ("class", "id", "role") for t in given.get(k, "").split()]
+    return name in ("article", "main") or given.get("itemprop", "").lower() == "articlebody" or any(MAIN_NAME.fullmatch(t) for t in names)
 
 
 def _attributes(rest: str) -> dict[str, str]:
@@ -75,16 +129,22 @@ def blocks_of(page: str) -> tuple[list[Block], str]:
     blocks: list[Block] = []
     parts: list[str] = []
     links: list[str] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # element, apart, inside main, heading
+    stack: list[tuple[str, tuple[Part, ...], bool, bool]] = []  # element, parts it is in, inside main, heading
     lang, in_link, breaks = "", False, 0
-    apart = inside = heading = alone = False
+    within: tuple[Part, ...] = ()
+    alone: tuple[Part, ...] = ()
+    inside = heading = False
+    free_mains = 0
 
     def end() -> None:
         nonlocal in_link, breaks
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
             linked = len(" ".join(html.unescape("".join(links)).split()))
-            blocks.append(Block(text, linked, apart or alone, inside, heading))
+            blocks.append(Block(text, linked, within + alone, inside, heading))
+            for part in within:
+                part.chars += len(text) - linked
+                part.words += text.count(" ") + 1
         parts.clear()
         links.clear()
         in_link, breaks = False, 0
@@ -107,6 +167,9 @@ def blocks_of(page: str) -> tuple[list[Block], str]:
             continue
         closing = bool(match["close"] or match["close2"])
         rest = match["rest"] or match["rest2"] or ""
+        if name in CONTROLS and not closing and not HIDDEN.search(rest):
+            for part in within:
+                part.controls += 1
         if name in SKIPPED and not closing:
             if rest.rstrip().endswith("/"):
                 continue
@@ -129,7 +192,9 @@ def blocks_of(page: str) -> tuple[list[Block], str]:
         elif name in BLOCK_TAGS:
             end()
             # A paragraph may stand apart by its own name; it ends with the next block.
-            alone = name == "p" and not closing and bool(APART_NAME.search(" ".join(_attributes(rest).values())))
+            alone = ()
+            if name == "p" and not closing and (kind := _kind(name, _attributes(rest), inside)):
+                alone = (Part(kind),)
             if name in CONTAINERS and name not in VOID:
                 if closing:
                     for i in range(len(stack) - 1, -1, -1):
@@ -138,17 +203,23 @@ def blocks_of(page: str) -> tuple[list[Block], str]:
                             break
                 elif not rest.rstrip().endswith("/"):
                     given = _attributes(rest)
-                    names = " ".join(given.get(k, "") for k in ("class", "id", "role"))
-                    hidden = "hidden" in given or given.get("aria-hidden", "").lower() == "true"
-                    main = name in ("article", "main") or given.get("itemprop", "").lower() == "articlebody" or bool(MAIN_NAME.search(names))
-                    was = stack[-1] if stack else ("", False, False, False)
-                    # A header belongs to the page unless it stands in the article.
-                    own = name in APART or hidden or (name == "header" and not was[2]) or (name not in ("body", "html", "main") and bool(APART_NAME.search(names)))
-                    stack.append((name, was[1] or own, (was[2] or main) and not own, name in HEADINGS))
-                _, apart, inside, heading = stack[-1] if stack else ("", False, False, False)
+                    _, around, was_inside, _ = stack[-1] if stack else ("", (), False, False)
+                    main, kind = _is_main(name, given), _kind(name, given, was_inside)
+                    # The article itself may have any name but that of a comment.
+                    kind = kind if kind == "talk" or not main else None
+                    if main and kind is None:
+                        for part in around:
+                            part.mains += 1
+                        free_mains += not around
+                    own = (*around, Part(kind)) if kind else around
+                    stack.append((name, own, was_inside or (main and kind is None), name in HEADINGS))
+                _, within, inside, heading = stack[-1] if stack else ("", (), False, False)
         elif name in ("label", "input") and not closing:
             parts.append(" ")
     end()
+    page_chars = sum(len(b.text) - b.linked for b in blocks)
+    for b in blocks:
+        b.apart = any(part.apart(free_mains, page_chars) for part in b.parts)
     return blocks, lang
 
 
@@ -166,13 +237,13 @@ def first_pass(blocks: list[Block], lang: str) -> list[str]:
         if b.apart or (has_main and not b.inside):
             label = BAD
         elif has_main:
-            # The page says where its article is; only blocks of links are not part of it.
+            # The page says where its article is: only blocks of links are decided against.
             if links > MOSTLY_LINKS and not b.heading:
                 label = BAD
             elif len(b.text) < SHORT_CHARS:
                 label = SHORT
             else:
-                label = GOOD
+                label = GOOD if stop_share(b.text, stops) >= SOME_STOPS else NEAR
         elif links > MANY_LINKS:
             label = BAD
         elif len(b.text) < SHORT_CHARS:

@@ -14,17 +14,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from reachgrid.llm.rarity import frequencies, keys_of
 from reachgrid.llm.setjoin import may_match, prefix_length, shared_entries, verified
-from reachgrid.llm.texts import free, ordered_sums, text_key, written
+from reachgrid.llm.texts import free, ordered_sums, portions, text_key, written
 from reachgrid.llm.words import LOWER, U, WHITE, bytes_of, longs, mix, read_words, slices, text_grams, words_of
 from reachgrid.operators.sizes import if_small
 
 RARITY_BITS = 22
-#: A line's place in order is its document's rank times this, plus its number.
-LINE_BITS = 24
 #: Numbers in lists of lines that are broadcast, some 20 MB; longer lists are joined by shuffle.
 BROADCAST_LINES = 2_500_000
 
@@ -69,11 +67,11 @@ def _segment_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
-def _index(docs: DataFrame, ranks: DataFrame, codes, k: int, num: int, den: int, least: int) -> DataFrame:
-    """A row for each line with tokens: its place, size, fingerprint (id) and prefix keys."""
+def _index(docs: DataFrame, firsts: DataFrame, codes, k: int, num: int, den: int, least: int) -> DataFrame:
+    """A row for each line with tokens: its document's first place, its number and place, size, fingerprint (id) and prefix keys."""
 
     def lines_of(batches):
-        for batch in batches:
+        for batch in portions(batches):
             raw, bounds = bytes_of(batch.column(0))
             ends, rows, numbers = _line_bounds(raw, bounds)
             for a, b, keys, at in _line_sets(raw, ends, k, codes.value):
@@ -90,17 +88,17 @@ def _index(docs: DataFrame, ranks: DataFrame, codes, k: int, num: int, den: int,
 
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").cast("long").alias("doc"), *text_key(F.col("text")))
     lines = texts.mapInArrow(lines_of, "doc long, k1 long, k2 long, line long, n long, id long, keys array<long>").alias("l")
-    r = if_small(ranks).alias("r")
+    r = if_small(firsts).alias("r")
     same = F.col("l.doc").eqNullSafe(F.col("r.doc")) & (F.col("l.k1") == F.col("r.k1")) & (F.col("l.k2") == F.col("r.k2"))
-    place = F.shiftleft(F.col("r.doc_rank"), LINE_BITS) + F.col("l.line")
-    return written(lines.join(r, same).select(place.alias("place"), "l.id", "l.n", "l.keys"), "lines")
+    place = F.col("r.first") + F.col("l.line")
+    return written(lines.join(r, same).select("r.first", "l.line", place.alias("place"), "l.id", "l.n", "l.keys"), "lines")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, codes, k: int) -> DataFrame:
     """(id, keys) of the wanted lines (id, doc, k1, k2, line)."""
 
     def sets(batches):
-        for batch in batches:
+        for batch in portions(batches):
             ids, lines = [], []
             for text, picks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own = text.split("\n")
@@ -118,14 +116,6 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, codes, k: int) -> DataFrame:
     return written(found.groupBy("id").agg(F.first("keys").alias("keys")), "line-sets")
 
 
-def _rank() -> Column:
-    return F.shiftright(F.col("place"), LINE_BITS)
-
-
-def _line() -> Column:
-    return F.col("place").bitwiseAND((1 << LINE_BITS) - 1)
-
-
 def repeated_lines(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, least: int = 1, rarity_bits: int = RARITY_BITS) -> DataFrame:
     """(doc, k1, k2, lines): numbers of the lines, from 0, that an earlier line of any document matches.
 
@@ -137,7 +127,7 @@ def repeated_lines(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, l
     tokens, neither match nor go. Order is by doc_id (nulls last), then by
     hashes of the text (k1, k2), then by line. An earlier line counts whether or
     not it goes itself. Rows that repeat doc_id and text are one document.
-    Documents without such lines have no row. A text has at most 2 ** 24 lines.
+    Documents without such lines have no row.
     """
     docs = docs.select("doc_id", "text")
     spark = docs.sparkSession
@@ -147,14 +137,19 @@ def repeated_lines(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, l
             yield text_grams(words, k)[0]
 
     codes = spark.sparkContext.broadcast(frequencies(docs.select("text"), occurrences, rarity_bits))
-    known = docs.select(F.col("doc_id").cast("long").alias("doc"), *text_key(F.col("text"))).toDF("doc", "k1", "k2").distinct()
-    ranks = written(ordered_sums(known.withColumn("_one", F.lit(1)), ["doc", "k1", "k2"], {"doc_rank": "_one"}, "doc-order"), "doc-ranks")
-    index = _index(docs, ranks, codes, k, num, den, least)
-    classes = written(index.groupBy("id").agg(F.min("place").alias("place")), "line-classes")
-
-    entries = shared_entries(index.select("id", "n", F.col("place").alias("rank"), F.lit(0).cast("long").alias("skipped"), "keys"))
+    # Every document takes as many places as it has lines.
+    text = F.coalesce("text", F.lit(""))
+    n_lines = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    known = docs.select(F.col("doc_id").cast("long").alias("doc"), *text_key(F.col("text")), n_lines.cast("long").alias("n")).toDF("doc", "k1", "k2", "n")
+    known = known.groupBy("doc", "k1", "k2").agg(F.max("n").alias("n"))
+    firsts = written(ordered_sums(known, ["doc", "k1", "k2"], {"first": "n"}, "doc-order").drop("n"), "doc-places")
+    index = _index(docs, firsts, codes, k, num, den, least)
+    classes = written(index.groupBy("id").agg(F.min(F.struct("place", "first", "line")).alias("at")).select("id", "at.*"), "line-classes")
+
+    entries, flags = shared_entries(index.select("id", "n", F.col("place").alias("rank"), F.lit(0).cast("long").alias("skipped"), "keys"))
     # Equal lines are one entry.
     entries = written(entries.groupBy("key", "id", "n", "pos").agg(F.min("rank").alias("place")), "line-entries")
+    flags.destroy()
     leads = entries.groupBy("key").agg(F.count("*").alias("size"), F.min("place").alias("lead")).where("size > 1").select("key", "lead")
     hits = written(entries.join(leads, "key"), "line-hits")
     h, v = hits.alias("h"), hits.where("place = lead").alias("v")
@@ -164,8 +159,7 @@ def repeated_lines(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, l
 
     def matching(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        firsts = ends.join(classes, "id").select("id", _rank().alias("doc_rank"), _line().alias("line"))
-        wanted = firsts.join(ranks, "doc_rank").select("id", "doc", "k1", "k2", "line")
+        wanted = ends.join(classes, "id").join(firsts, "first").select("id", "doc", "k1", "k2", "line")
         return verified(pairs, _sets_of(docs, wanted, codes, k), num, den).select("b").distinct()
 
     gone = written(matching(first), "line-matches")
@@ -178,20 +172,16 @@ def repeated_lines(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, l
     if not rest.isEmpty():
         gone = written(gone.unionByName(matching(rest)).distinct(), "line-matches")
 
-    judged = classes.join(gone, F.col("id") == F.col("b"), "left").select("id", F.col("place").alias("first"), F.col("b").isNotNull().alias("gone"))
-    later = index.select("id", "place").join(judged, "id").where(F.col("gone") | (F.col("place") != F.col("first")))
-    lines = later.groupBy(_rank().alias("doc_rank")).agg(F.collect_set(_line()).alias("lines"))
-    return lines.join(ranks, "doc_rank").select("doc", "k1", "k2", "lines")
-
+    # All that needs them is written.
+    codes.destroy()
+    judged = classes.join(gone, F.col("id") == F.col("b"), "left").select("id", F.col("place").alias("earliest"), F.col("b").isNotNull().alias("gone"))
+    later = index.select("id", "place", "first", "line").join(judged, "id").where(F.col("gone") | (F.col("place") != F.col("earliest")))
+    lines = later.groupBy("first").agg(F.collect_set("line").alias("lines"))
+    return lines.join(firsts, "first").select("doc", "k1", "k2", "lines")
 
-def dedup_lines(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, least: int = 1, rarity_bits: int = RARITY_BITS) -> DataFrame:
-    """*docs* without its repeated lines (see :func:`repeated_lines`), with n_lines and n_removed.
 
-    Other lines keep their order and bytes. A null text stays null and has no
-    lines; an empty one has one line and stays. All columns and rows are kept;
-    columns named n_lines or n_removed are replaced.
-    """
-    found = written(repeated_lines(docs, k, num, den, least, rarity_bits), "repeated-lines")
+def cut_lines(docs: DataFrame, found: DataFrame, removed: str, lines: str | None = None) -> DataFrame:
+    """*docs* without the lines of *found* (:func:`repeated_lines`), with how many went as *removed* and, if named, how many there were as *lines*."""
     k1, k2, mark = (free(docs, n) for n in ("_own_k1", "_own_k2", "_lines"))
     found = found.withColumnsRenamed({c: free(docs, f"_cut_{c}") for c in ("doc", "k1", "k2")} | {"lines": mark})
     doc, c1, c2 = found.columns[:3]
@@ -200,12 +190,12 @@ def dedup_lines(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, leas
     keyed = docs.withColumns(dict(zip((k1, k2), text_key(F.col("text")))))
     same = (F.col(k1) == F.col(c1)) & (F.col(k2) == F.col(c2)) & F.col("doc_id").cast("long").eqNullSafe(F.col(doc))
     joined = keyed.join(F.broadcast(found) if small else found, same, "left").drop(k1, k2, doc, c1, c2)
-    counted = joined.withColumns({"n_lines": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long")})
+    counted = joined.withColumns({name: F.lit(0).cast("long") for name in (lines, removed) if name})
     schema = counted.drop(mark).schema
     at = {c: i for i, c in enumerate(counted.columns)}
 
     def cut(batches):
-        for batch in batches:
+        for batch in portions(batches, at["text"]):
             texts, gone = batch.column(at["text"]), batch.column(at[mark]).to_pylist()
             raw, bounds = bytes_of(texts)
             breaks = np.searchsorted(np.flatnonzero(raw == 10), bounds)
@@ -217,7 +207,18 @@ def dedup_lines(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, leas
                         g = set(g)
                         out[i] = "\n".join(line for k, line in enumerate(out[i].split("\n")) if k not in g)
                 texts = pa.array(out, texts.type)
-            made = {"text": texts, "n_lines": pa.array(n_lines, pa.int64()), "n_removed": pa.array([len(g or ()) for g in gone], pa.int64())}
+            made = {"text": texts, lines: pa.array(n_lines, pa.int64()), removed: pa.array([len(g or ()) for g in gone], pa.int64())}
             yield pa.RecordBatch.from_arrays([made.get(c, batch.column(i)) for c, i in at.items() if c != mark], names=schema.names)
 
     return counted.mapInArrow(cut, schema)
+
+
+def dedup_lines(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, least: int = 1, rarity_bits: int = RARITY_BITS) -> DataFrame:
+    """*docs* without its repeated lines (see :func:`repeated_lines`), with n_lines and n_removed.
+
+    Other lines keep their order and bytes. A null text stays null and has no
+    lines; an empty one has one line and stays. All columns and rows are kept;
+    columns named n_lines or n_removed are replaced.
+    """
+    found = written(repeated_lines(docs, k, num, den, least, rarity_bits), "repeated-lines")
+    return cut_lines(docs.drop("n_lines", "n_removed"), found, "n_removed", "n_lines")

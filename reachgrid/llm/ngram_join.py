@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from reachgrid.llm.components import components
 from reachgrid.llm.rarity import frequencies, keys_of
 from reachgrid.llm.setjoin import may_match, prefix_length, verified
-from reachgrid.llm.texts import text_key, without, written
+from reachgrid.llm.texts import portions, text_key, without, written
 from reachgrid.llm.words import LOWER, U, WHITE, longs, mix, read_words, text_grams
 from reachgrid.operators.sizes import if_small
 
@@ -39,7 +39,7 @@ def _sets(column: pa.Array, k: int):
 
 def _signatures(docs: DataFrame, codes, k: int, num: int, den: int) -> DataFrame:
     def sign(batches):
-        for batch in batches:
+        for batch in portions(batches):
             n, one, two, head, keys = [], [], [], [], []
             for hashes in _sets(batch.column(0), k):
                 n.append(len(hashes))
@@ -68,7 +68,7 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, codes, k: int, repeats: bool
     """
 
     def sets(batches):
-        for batch in batches:
+        for batch in portions(batches):
             keys = [np.sort(keys_of(h, codes.value)) for h in _sets(batch.column(0), k)]
             bounds = np.concatenate([[0], np.cumsum([len(x) for x in keys])])
             yield pa.RecordBatch.from_arrays(
@@ -108,7 +108,10 @@ def link(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, rarity_bits
 
     codes = spark.sparkContext.broadcast(frequencies(docs.select("text"), occurrences, rarity_bits))
     signed = _signatures(docs, codes, k, num, den)
-    return _linked(docs, signed, codes, k, num, den)
+    linked = _linked(docs, signed, codes, k, num, den)
+    # All that needs them is written.
+    codes.destroy()
+    return linked
 
 
 def _linked(docs: DataFrame, signed: DataFrame, codes, k: int, num: int, den: int) -> DataFrame:
@@ -141,7 +144,7 @@ def _linked(docs: DataFrame, signed: DataFrame, codes, k: int, num: int, den: in
     )
     inside = members.where("cls != gid").select(F.col("gid").alias("a"), F.col("cls").alias("b"))
     first = written(star.unionByName(inside).distinct(), "star-pairs")
-    edges = _checked(docs, signed, first, codes, k, num, den)
+    edges, sets = _checked(docs, signed, first, codes, k, num, den)
 
     part = components(edges)
     placed = (
@@ -153,18 +156,18 @@ def _linked(docs: DataFrame, signed: DataFrame, codes, k: int, num: int, den: in
     open_keys = entries.groupBy("key").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low < _high").select("key")
     entries = written(entries.join(open_keys, "key"), "open-buckets")
     x, y = entries.alias("x"), entries.alias("y")
-    apart = F.col("x.comp") < F.col("y.comp")
+    apart = (F.col("x.comp") < F.col("y.comp")) & (F.col("x.gid") != F.col("y.gid"))
     bound = may_match(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos"), num, den)
     met = x.join(y, (F.col("x.key") == F.col("y.key")) & apart & bound).select(
         F.col("x.gid").alias("ga"), F.col("x.comp").alias("ca"), F.col("y.gid").alias("gb"), F.col("y.comp").alias("cb")
     ).distinct()
     of_a = placed.select(F.col("gid").alias("ga"), F.col("comp").alias("ca"), F.col("cls").alias("a"))
     of_b = placed.select(F.col("gid").alias("gb"), F.col("comp").alias("cb"), F.col("cls").alias("b"))
-    rest = met.join(of_a, ["ga", "ca"]).join(of_b, ["gb", "cb"]).select("a", "b")
+    rest = met.join(of_a, ["ga", "ca"]).join(of_b, ["gb", "cb"]).select("a", "b").unionByName(_inside(placed, sets, num, den))
     tried = first.unionByName(first.select(F.col("b").alias("a"), F.col("a").alias("b")))
     rest = written(rest.join(tried, ["a", "b"], "left_anti"), "rest-pairs")
     if not rest.isEmpty():
-        found = _checked(docs, signed, rest, codes, k, num, den)
+        found, _ = _checked(docs, signed, rest, codes, k, num, den)
         if not found.isEmpty():
             edges = edges.unionByName(found)
             part = components(edges)
@@ -189,12 +192,33 @@ def _linked(docs: DataFrame, signed: DataFrame, codes, k: int, num: int, den: in
     )
 
 
-def _checked(docs: DataFrame, signed: DataFrame, pairs: DataFrame, codes, k: int, num: int, den: int) -> DataFrame:
+def _inside(placed: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): members of one group that are in different components and may match.
+
+    They have one size and one prefix, so what a match still needs must come from
+    the keys behind it: the first of those are a prefix in their turn.
+    """
+    torn = placed.groupBy("gid").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low < _high").select("gid")
+    n = F.col("n")
+    needed = F.ceil(2 * num * n / F.lit(den + num))
+    head = n - F.ceil(num * n / F.lit(den)) + 1
+    behind = F.slice("keys", (head + 1).cast("int"), F.greatest(n - needed + 1, F.lit(1)).cast("int"))
+    open_sets = placed.join(torn, "gid").join(sets, F.col("cls") == F.col("id"))
+    entries = open_sets.select("gid", "cls", "comp", F.explode(behind).alias("key"))
+    split = entries.groupBy("gid", "key").agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).where("_low < _high").select("gid", "key")
+    entries = written(entries.join(split, ["gid", "key"]), "open-members")
+    x, y = entries.alias("x"), entries.alias("y")
+    met = x.join(y, (F.col("x.gid") == F.col("y.gid")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")))
+    return met.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
+
+
+def _checked(docs: DataFrame, signed: DataFrame, pairs: DataFrame, codes, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs that match, sets of their ends)."""
     ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
     wanted = signed.select(F.col("rid").alias("id"), "doc", "k1", "k2").join(ends, "id")
     repeats = not signed.groupBy("doc", "k1", "k2").count().where("count > 1").isEmpty()
     sets = _whole_sets(docs, wanted, codes, k, repeats)
-    return written(verified(pairs, sets, num, den), "links")
+    return written(verified(pairs, sets, num, den), "links"), sets
 
 
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:

@@ -7,8 +7,10 @@ a piece the search starts at the least residual that holds it and goes on to
 the next larger ones until a bin without conflict is found, which is the
 tightest compatible one; else a bin is opened.
 
-Packing is done in blocks of consecutive rows of a task, so it needs no
-shuffle and its memory is bounded by the block.
+Packing is done in blocks of rows of a task, so its memory is bounded by the
+block. The narrow rows (id, length, source, cluster) are first spread over tasks
+by a hash, so that a block holds a cross-section of the corpus and not what one
+file has of one source or of copies.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 BLOCK = 4096
+#: Blocks of a task, about.
+BLOCKS_A_TASK = 8
 SCHEMA = "doc_id long, piece long, start long, n long, bin_id long, bin_pos long"
 
 
@@ -96,6 +100,8 @@ def pack(docs: DataFrame, length: Column, cluster: Column, capacity: int = 16384
     narrow = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), length.cast("long").alias("length"), F.col("source").cast("string").alias("source"), cluster.cast("long").alias("cluster")
     ).where("length > 0")
+    tasks = docs.count() // (block * BLOCKS_A_TASK) + 1
+    spread = narrow.repartition(tasks, F.xxhash64("doc_id", "cluster", "length"))
 
     def packed(batches):
         from pyspark import TaskContext
@@ -130,7 +136,8 @@ def pack(docs: DataFrame, length: Column, cluster: Column, capacity: int = 16384
         if wait:
             yield flush()
 
-    return narrow.mapInArrow(packed, SCHEMA)
+    # Rows come in an order of their own, so bins do not depend on when they arrive.
+    return spread.sortWithinPartitions(F.xxhash64("cluster", "doc_id"), "doc_id", "length").mapInArrow(packed, SCHEMA)
 
 
 def byte_length(text: Column) -> Column:

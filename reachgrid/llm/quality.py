@@ -1,13 +1,14 @@
 """Quality rules with risk-controlled cutoffs.
 
-Each rule is a measure of a text that is high for junk. Its cutoff in a stratum
-is the strictest on a fixed grid for which labelled good texts prove that it
-rejects few of them: the exact (Clopper-Pearson) upper bound of the share of
-good texts above the cutoff is at most the rule's part of the allowed risk.
-Cutoffs are tested from lenient to strict and the first failure ends the
-sequence, so a whole grid costs one test; the error level is divided by rules
-and strata (Bonferroni). With probability 1 - delta no stratum loses more than
-the allowed share of good texts to the rules.
+Each rule is a measure of a text that is high for junk, with a grid of cutoffs
+from lenient to strict. Joint settings of all rules form one sequence, fixed
+beforehand: the rules take turns to become one step stricter. A stratum takes
+the strictest setting up to which labelled good texts prove, at each step, that
+the rules together reject few of them: the exact (Clopper-Pearson) upper bound
+of the share that any rule rejects is at most the allowed risk. The first
+failure ends the sequence, so all of it costs one test, and only the strata
+share the error level (Bonferroni). With probability 1 - delta no stratum loses
+more than the allowed share of good texts to the rules.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from reachgrid.llm.texts import free, text_key, written
+from reachgrid.llm.texts import PORTION, free, text_key, written
 from reachgrid.llm.words import SAME, U, WHITE, Words, bytes_of, grams, slices, text_grams, words_of
 
 SYMBOLS = np.isin(np.arange(256), list(b"#*$%&|<>"))
@@ -35,6 +36,8 @@ GRIDS: dict[str, list[float]] = {
     "repeated_line_share": [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2],
     "word_length": [30.0, 25.0, 20.0, 16.0, 14.0, 12.0, 11.0, 10.0],
 }
+#: The sequence of joint settings: in step t this rule is set to this cutoff, and the others stay.
+STEPS: list[tuple[str, float]] = [(r, grid[i]) for i in range(max(map(len, GRIDS.values()))) for r, grid in GRIDS.items() if i < len(grid)]
 #: Languages with cutoffs of their own; all others, and null, are one stratum.
 STRATA = ["de", "en", "es", "fr"]
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -107,7 +110,8 @@ def measured(docs: DataFrame, name: str = Q) -> DataFrame:
 
     @F.arrow_udf(MEASURES)
     def of(text: pa.Array) -> pa.Array:
-        return measure(text)
+        _, bounds = bytes_of(text)
+        return pa.concat_arrays([measure(text.slice(i, j - i)) for i, j in slices(bounds, PORTION)] or [measure(text)])
 
     return docs.withColumn(name, of(F.coalesce("text", F.lit(""))))
 
@@ -161,28 +165,51 @@ def table_of(docs: DataFrame) -> DataFrame:
     return written(measured(docs).select("doc_id", "lang", *text_key(F.col("text")), Q), "measures")
 
 
+def first_rejected(q: str = Q) -> Column:
+    """The first step whose setting rejects a text, or the number of steps."""
+    values = rule_values(q)
+
+    def of(rule: str) -> Column:
+        out = F.lit(len(STEPS))
+        for t, (r, cutoff) in reversed(list(enumerate(STEPS))):
+            if r == rule:
+                out = F.when(values[rule] > F.lit(cutoff), t).otherwise(out)
+        return out
+
+    return F.least(*[of(r) for r in GRIDS])
+
+
+def proven_steps(rejected_at: dict[int, int], risk: float, level: float) -> int:
+    """How many steps of the sequence hold, from the number of good texts first rejected at each step."""
+    n, lost = sum(rejected_at.values()), 0
+    for t in range(len(STEPS)):
+        lost += rejected_at.get(t, 0)
+        if upper_bound(lost, n, level) > risk:
+            return t
+    return len(STEPS)
+
+
 def fit_cutoffs(table: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.05) -> dict[tuple[str, str], float]:
     """{(stratum, rule): cutoff} from all rows of *labels* (doc_id, quality) that *table* (:func:`table_of`) has.
 
     A doc_id whose labels differ counts as good. Equal texts are one draw.
-    Texts that fail the base rules are not at stake and are left out. Rules
-    without a proven cutoff in a stratum are missing there and reject nothing.
+    Texts that fail the base rules are not at stake and are left out. A stratum
+    needs ln(delta / strata) / ln(1 - risk) good texts (228) to prove a setting
+    that rejects none of them; with fewer it has no cutoffs, and rules reject
+    nothing there.
     """
     good = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("_doc")).agg(F.max("quality").alias("_good")).where("_good = 1")
     held = table.withColumn("_doc", F.col("doc_id").cast("long")).join(good, "_doc").where(~base_failed())
-    values = held.select("_k1", "_k2", stratum().alias("stratum"), *[v.alias(n) for n, v in rule_values().items()])
-    values = values.groupBy("_k1", "_k2", "stratum").agg(*[F.max(r).alias(r) for r in GRIDS])
-    above = [F.count(F.when(F.col(r) > c, 1)).alias(f"{r}_{i}") for r, grid in GRIDS.items() for i, c in enumerate(grid)]
-    # At most one row for each stratum.
-    rows = values.groupBy("stratum").agg(F.count("*").alias("n"), *above).collect()
-    level = delta / (len(GRIDS) * (len(STRATA) + 1))
+    texts = held.groupBy("_k1", "_k2", stratum().alias("stratum")).agg(F.min(first_rejected()).alias("step"))
+    found: dict[str, dict[int, int]] = {}
+    # At most one row for each stratum and step.
+    for r in texts.groupBy("stratum", "step").agg(F.count("*").alias("n")).collect():
+        found.setdefault(r["stratum"], {})[r["step"]] = r["n"]
+    level = delta / (len(STRATA) + 1)
     out: dict[tuple[str, str], float] = {}
-    for row in rows:
-        for rule, grid in GRIDS.items():
-            for i, cutoff in enumerate(grid):
-                if upper_bound(row[f"{rule}_{i}"], row["n"], level) > risk / len(GRIDS):
-                    break
-                out[row["stratum"], rule] = cutoff
+    for name, rejected_at in found.items():
+        for rule, cutoff in STEPS[: proven_steps(rejected_at, risk, level)]:
+            out[name, rule] = cutoff
     return out
 
 

@@ -128,11 +128,30 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 
 def _licence_sql() -> str:
     known = ", ".join(f"'{v}': '{k}'" for k, v in licences.SENTENCES.items())
+    endings = ", ".join(f"{{'e': ' {v}', 'id': '{k}'}}" for k, v in licences.by_length(licences.SENTENCES))
+    pattern, map_of = licences.likely(licences.SENTENCES), known
+
+    def plain(x: str) -> str:
+        return f"trim(regexp_replace(translate({x}, '{licences.UPPER}', '{licences.LOWER}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g'))"
+
+    def likely(x: str) -> str:
+        return f"regexp_matches({x}, '{pattern}')"
+
+    def named(x: str) -> str:
+        return f"element_at(map {{{map_of}}}, {x})[1]"
+
     steps = [f"""
-    s as (select doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?])[ \t\r\f]+', E'\\1\n', 'g'), E'\n') as ss from documents),
-    n as (select doc_id, list_transform(ss, lambda x: trim(regexp_replace(translate(x, '{licences.UPPER}', '{licences.LOWER}'),
-            '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'))) as ns from s),
-    i as (select doc_id, list_filter(list_transform(ns, lambda x: element_at(map {{{known}}}, x)[1]), lambda x: x is not null) as ids from n),
+    s as (select doc_id, unnest(string_split(regexp_replace(coalesce(text, ''), '{licences.CUT}', E'\\1\\2{licences.OVER}', 'g'), '{licences.OVER}')) as x,
+                 generate_subscripts(string_split(regexp_replace(coalesce(text, ''), '{licences.CUT}', E'\\1\\2{licences.OVER}', 'g'), '{licences.OVER}'), 1) as k from documents),
+    n as (select doc_id, k, x, {plain('x')} as own from s where {likely('x')}),
+    w as (select doc_id, k, x, own, {named('own')} as whole from n),
+    p as (select doc_id, k, whole,
+                 case when whole is null and contains(x, E'\n') then list_filter(list_transform(string_split(x, E'\n'),
+                   lambda y: case when {likely('y')} then {named(plain('y'))} end), lambda y: y is not null) end as lines,
+                 case when whole is null and contains(x, E'\n') then list_filter([{endings}], lambda e: ends_with(' ' || own, e.e))[1].id end as last from w),
+    i as (select d.doc_id, coalesce(ids, []) as ids from (select doc_id, row_number() over () as r from documents) d left join (
+            select doc_id, flatten(list(case when whole is not null then [whole] when last is null then coalesce(lines, [])
+                     when lines[-1] = last then lines else list_append(lines, last) end order by k)) as ids from p group by doc_id) using (doc_id)),
     r0 as (select doc_id, ids, array_to_string(list_transform(ids, lambda x: ';' || x || ';'), '') as l, [] :: varchar[] as names from i)"""]
     for k, (name, sequence) in enumerate(licences.RULES):
         w = licences.spelt(sequence)
@@ -140,7 +159,9 @@ def _licence_sql() -> str:
     r{k + 1} as (select doc_id, ids, replace(l, '{w}', '|') as l,
                  case when contains(l, '{w}') then list_append(names, '{name}') else names end as names from r{k})""")
     return "with " + ",".join(steps) + f"""
-    select doc_id, coalesce(array_to_string(ids, ','), '') as sentence_ids, coalesce(array_to_string(names, ','), '') as licences
+    select doc_id, coalesce(array_to_string(ids, ','), '') as sentence_ids,
+           coalesce(array_to_string(case when len(list_filter(names, lambda x: x <> '{licences.NOTICE}')) > 0
+             then list_filter(names, lambda x: x <> '{licences.NOTICE}') else names end, ','), '') as licences
     from r{len(licences.RULES)}"""
 
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 from reachgrid.llm.rarity import flags_of
@@ -54,8 +55,8 @@ def _short(keys: np.ndarray) -> np.ndarray:
     return (mix(keys) >> U(32)).astype(np.uint32).view(np.int32)
 
 
-def shared_entries(index: DataFrame) -> DataFrame:
-    """(id, n, rank, pos, key): the index entries whose key some other row may have too.
+def shared_entries(index: DataFrame) -> tuple[DataFrame, Broadcast]:
+    """(id, n, rank, pos, key): the index entries whose key some other row may have too; and the filter, to be destroyed once they are written.
 
     *index* has (id, n, rank, skipped, keys): keys in order, of which the first
     stands at place *skipped*. Most keys occur once. A count of their 32-bit
@@ -89,4 +90,4 @@ def shared_entries(index: DataFrame) -> DataFrame:
             taken = [batch.column(i).take(pa.array(row)) for i in range(3)]
             yield pa.RecordBatch.from_arrays([*taken, pa.array(pos.astype(np.int64)), pa.array(values[at])], names=["id", "n", "rank", "pos", "key"])
 
-    return index.select("id", "n", "rank", "skipped", "keys").mapInArrow(passing, "id long, n long, rank long, pos long, key long")
+    return index.select("id", "n", "rank", "skipped", "keys").mapInArrow(passing, "id long, n long, rank long, pos long, key long"), flags

@@ -2,20 +2,44 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from reachgrid.llm.words import bytes_of, slices
+
 from reachgrid.operators.sizes import if_small
 from reachgrid.session import written
 
-__all__ = ["free", "ordered_sums", "read", "text_key", "without", "written"]
+__all__ = ["free", "ordered_sums", "portions", "read", "text_key", "without", "written"]
+
+#: Bytes of text that a task takes at once.
+PORTION = 1 << 22
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def portions(batches: Iterable[pa.RecordBatch], text: int = 0, size: int = PORTION) -> Iterator[pa.RecordBatch]:
+    """The rows of *batches* in parts of about *size* bytes of the column at *text*; a longer row stands alone.
+
+    What a task makes of a part stays small that way. Workers serve many tasks,
+    so at the end freed memory goes back to the system.
+    """
+    for batch in batches:
+        _, bounds = bytes_of(batch.column(text))
+        for i, j in slices(bounds, size):
+            yield batch.slice(i, j - i)
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def text_key(text: Column) -> list[Column]:
     """Two 64-bit hashes that stand for a whole text; null counts as empty."""
     whole = F.coalesce(text, F.lit(""))

@@ -8,15 +8,16 @@ parallel and skips those that cannot hold a document it looks for.
 
 from __future__ import annotations
 
-import array
+import json
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from reachgrid.llm.texts import text_key
-from reachgrid.llm.words import LOWER, SAME, bytes_of, slices, words_of
+from reachgrid.llm.words import LOWER, SAME, U, bytes_of, slices, words_of
 
 #: Bytes of text whose pieces are looked up together.
 LOOKUP = 1 << 22
@@ -41,54 +42,120 @@ KINDS[[b for b in range(0x21, 0x7F) if chr(b).isalnum()]] = 1
 KINDS[[b for b in range(0x21, 0x7F) if not chr(b).isalnum() and chr(b) not in "'<|>"]] = 2
 
 
-class PieceEncoder:
+#: The normaliser and the pre-tokeniser for which texts may be encoded piece by piece.
+LOWER_CASING = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLITTING = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: Pieces that are put into one text to be encoded.
+JOINED = 500
+#: Characters below this are single letters, and stay so in lower case, but for one.
+LATIN, DOTTED = "\u0250", "\u0130"
+
+
+def by_pieces(path: str) -> bool:
+    """Whether a tokenizer file lower-cases, drops white space and splits letters from punctuation, so that pieces give its ids."""
+    with open(path, encoding="utf-8") as file:
+        given = json.load(file)
+    normalizer, splitter, model = (given.get(k) or {} for k in ("normalizer", "pre_tokenizer", "model"))
+    steps = splitter.get("pretokenizers") or [{}]
+    split = {"type": "Split", "pattern": {"Regex": SPLITTING}, "behavior": "Removed", "invert": True}
+    return (
+        normalizer.get("normalizers") == LOWER_CASING
+        and steps[0] == split
+        and [s.get("type") for s in steps[1:]] == ["ByteLevel"]
+        and not steps[1].get("add_prefix_space") and not steps[1].get("use_regex")
+        and model.get("type") == "BPE" and bool(model.get("end_of_word_suffix")) and not model.get("dropout")
+    )
+
+
+class TextEncoder:
+    """Encodes each text as a whole, for any tokenizer."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def __call__(self, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, bounds by row) of consecutive texts."""
+        texts = [raw[a:b].tobytes().decode() for a, b in zip(bounds[:-1], bounds[1:])]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in found], dtype=np.int64)])
+        return np.fromiter(chain.from_iterable(found), dtype=np.int32, count=int(ends[-1])), ends
+
+
+class PieceEncoder(TextEncoder):
     """Encodes texts piece by piece, each distinct piece once.
 
     For tokenizers that lower-case, drop white space and never join letters or
     digits with punctuation, the ids of a text are those of its pieces in order.
     A slice of texts with the start of a special token is cut at spaces alone
-    and keeps its case.
+    and keeps its case. Pieces are known by 64-bit hashes, in rising order.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+        super().__init__(path)
+        suffix = json.loads(self.tokenizer.to_str())["model"]["end_of_word_suffix"]
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.closes[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
-        self.ids = array.array("i")
-        self.ends = array.array("q", [0])
+        self.known = np.zeros(0, dtype=U)
+        self.begin, self.size = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
+        self.pool = np.zeros(0, dtype=np.int32)
+
+    def _words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each) of texts that are one word each: their last id closes a word."""
+        parts = [self.tokenizer.encode(" ".join(texts[i : i + JOINED]), add_special_tokens=False).ids for i in range(0, len(texts), JOINED)]
+        ids = np.fromiter(chain.from_iterable(parts), dtype=np.int32, count=sum(map(len, parts)))
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        return ids, np.diff(ends, prepend=0)
+
+    def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
+        """Add pieces that are not known; *hashes* rise."""
+        plain = np.fromiter((t.isalpha() and max(t) < LATIN and DOTTED not in t for t in texts), dtype=bool, count=len(texts))
+        words, others = np.flatnonzero(plain), np.flatnonzero(~plain)
+        ids, size = self._words([texts[i] for i in words])
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([texts[i] for i in others], add_special_tokens=False)]
+        rest = np.fromiter((len(x) for x in found), dtype=np.int64, count=len(found))
+        sizes = np.empty(len(texts), dtype=np.int64)
+        sizes[words], sizes[others] = size, rest
+        begin = np.empty(len(texts), dtype=np.int64)
+        begin[words] = len(self.pool) + np.cumsum(size) - size
+        begin[others] = len(self.pool) + len(ids) + np.cumsum(rest) - rest
+        more = np.fromiter(chain.from_iterable(found), dtype=np.int32, count=int(rest.sum()))
+        self.pool = np.concatenate([self.pool, ids, more])
+        at = np.searchsorted(self.known, hashes)
+        self.known, self.begin, self.size = (np.insert(a, at, b) for a, b in ((self.known, hashes), (self.begin, begin), (self.size, sizes)))
 
     def __call__(self, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, bounds by row) of consecutive texts."""
         plain = b"<|" not in raw[bounds[0] : bounds[-1]].tobytes()
         fold, kinds = (LOWER, KINDS) if plain else (SAME, None)
         words = words_of(raw, bounds, SPACES, fold, kinds)
         if len(self.known) > REMEMBERED:
             self.clear()
         distinct, first, which = np.unique(words.hash, return_index=True, return_inverse=True)
-        known = self.known
-        at = np.fromiter((known.get(h, -1) for h in distinct.tolist()), dtype=np.int64, count=len(distinct))
-        new = np.flatnonzero(at < 0)
+        at = np.minimum(np.searchsorted(self.known, distinct), max(len(self.known) - 1, 0))
+        new = np.flatnonzero(self.known[at] != distinct) if len(self.known) else np.arange(len(distinct))
         if len(new):
-            spans = zip(words.start[first[new]].tolist(), words.end[first[new]].tolist())
             data = fold[words.raw].tobytes()
-            texts = [data[a:b].decode() for a, b in spans]
-            for i, encoding in zip(new.tolist(), self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-                known[int(distinct[i])] = at[i] = len(self.ends) - 1
-                self.ids.extend(encoding.ids)
-                self.ends.append(len(self.ids))
-        pool, ends = np.array(self.ids, dtype=np.int32), np.array(self.ends, dtype=np.int64)
-        begin = ends[at][which]
-        size = ends[at + 1][which] - begin
+            self._learn(distinct[new], [data[a:b].decode() for a, b in zip(words.start[first[new]].tolist(), words.end[first[new]].tolist())])
+            at = np.searchsorted(self.known, distinct)
+        begin, size = self.begin[at][which], self.size[at][which].astype(np.int64)
         total = np.concatenate([[0], np.cumsum(size)])
-        ids = pool[np.repeat(begin - total[:-1], size) + np.arange(total[-1])]
+        ids = self.pool[np.repeat(begin - total[:-1], size) + np.arange(total[-1])]
         return ids, total[words.first]
 
 
-_encoders: dict[str, PieceEncoder] = {}
+_encoders: dict[str, TextEncoder] = {}
+
+
+def encoder_of(path: str) -> TextEncoder:
+    """The encoder of a tokenizer file; a worker makes it once."""
+    if path not in _encoders:
+        _encoders[path] = PieceEncoder(path) if by_pieces(path) else TextEncoder(path)
+    return _encoders[path]
 
 
 def encode(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
@@ -108,7 +175,7 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         part, so_far = TaskContext.get().partitionId(), 0
-        encoder = _encoders.get(tokenizer) or _encoders.setdefault(tokenizer, PieceEncoder(tokenizer))
+        encoder = encoder_of(tokenizer)
         for batch in batches:
             raw, bounds = bytes_of(batch.column(0))
             for i, j in slices(bounds, LOOKUP):

@@ -1,8 +1,8 @@
 """Words of whole texts as numpy arrays: places, rows and 64-bit hashes.
 
 All functions run inside Arrow tasks. Texts are handled as UTF-8 bytes in
-slices of about a megabyte, so memory is bounded by the slice and by the words
-of the longest single text.
+slices, so memory is bounded by the slice and by the bytes of the longest single
+text; a word longer than a slice is hashed in parts.
 """
 
 from __future__ import annotations
@@ -46,14 +46,17 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-_UP = _DOWN = np.ones(1, dtype=U)
+#: Powers for places inside a slice.
+UP, DOWN = _powers(RADIX, SLICE + 1), _powers(INVERSE, SLICE + 1)
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _UP, _DOWN
-    if len(_UP) < n:
-        _UP, _DOWN = _powers(RADIX, n), _powers(INVERSE, n)
-    return _UP, _DOWN
+def _long_sum(values: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The sum over the bytes of one long word, by parts of a slice."""
+    total = 0
+    for at in range(0, len(values), SLICE):
+        part = table[values[at : at + SLICE]]
+        total += int((part * UP[: len(part)]).sum(dtype=U)) * pow(RADIX, at, 1 << 64)
+    return np.array([total % (1 << 64)], dtype=U)
 
 
 @dataclass
@@ -118,13 +121,16 @@ def words_of(raw: np.ndarray, bounds: np.ndarray, separator: np.ndarray, fold: n
     done = 0
     while done < len(start):
         # By about SLICE bytes of words at a time, for the memory of the running sums.
-        upto = max(done + 1, int(np.searchsorted(end, start[done] + SLICE, side="right")))
-        low, high = int(start[done]), int(end[upto - 1])
-        up, down = _tables(high - low + 1)
+        upto = int(np.searchsorted(end, start[done] + SLICE, side="right"))
+        low, high = int(start[done]), int(end[max(upto - 1, done)])
+        if upto == done:
+            hashes[done] = mix(_long_sum(raw[low:high], table) + U((high - low) * STEP % (1 << 64)))[0]
+            done += 1
+            continue
         total = np.zeros(high - low + 1, dtype=U)
-        np.cumsum(table[raw[low:high]] * up[: high - low], out=total[1:])
+        np.cumsum(table[raw[low:high]] * UP[: high - low], out=total[1:])
         s, e = start[done:upto] - low, end[done:upto] - low
-        hashes[done:upto] = mix((total[e] - total[s]) * down[s] + (e - s).astype(U) * U(STEP))
+        hashes[done:upto] = mix((total[e] - total[s]) * DOWN[s] + (e - s).astype(U) * U(STEP))
         done = upto
     return Words(raw, bounds, start, end, hashes, np.searchsorted(start, bounds))
 
