@@ -10,14 +10,15 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from reachgrid.catalog.bindings import TENANT
 from reachgrid.catalog.registry import query
+from reachgrid.plans.jobs import import_travel_times
 from reachgrid.session import shared_dir
-from reachgrid.sources import census, indicators, layers, pois
+from reachgrid.sources import census, gtfs, indicators, layers, od, pois
 from reachgrid.sources.wkb import decode_rings
 from reachgrid.functions.geo import signed_area
 from reachgrid.workspace import Workspace
 
-YEARS = tuple(range(1992, 1999))
 BOX_AREA = "(x1 - x0) * (y1 - y0)"
 
 
@@ -95,12 +96,14 @@ def _(b):
     "value",
 )
 def _(b):
-    rows = b.raw("orders").join(b.raw("customer"), F.col("o_custkey") == F.col("c_custkey"))
-    sums = rows.withColumn("y", F.year("o_orderdate")).groupBy("c_nationkey").pivot("y", list(YEARS))
+    rows = b.raw("orders").join(b.raw("customer"), F.col("o_custkey") == F.col("c_custkey")).withColumn("y", F.year("o_orderdate"))
+    # A column for each year, as the file has it.
+    years = sorted(r["y"] for r in rows.select("y").distinct().collect())
+    sums = rows.groupBy("c_nationkey").pivot("y", years)
     wide = sums.agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")))
-    cells = [F.coalesce(F.replace(F.col(str(y)).cast("string"), F.lit("."), F.lit(",")), F.lit("..")) for y in YEARS]
+    cells = [F.coalesce(F.replace(F.col(str(y)).cast("string"), F.lit("."), F.lit(",")), F.lit("..")) for y in years]
     line = F.concat_ws(";", F.concat(F.lit("48"), padded(F.col("c_nationkey"), 3)), F.lit('"name"'), *cells)
-    path = stored(wide.select(line), "indicator", ("Codigo municipio;Municipio;" + ";".join(map(str, YEARS)),))
+    path = stored(wide.select(line), "indicator", ("Codigo municipio;Municipio;" + ";".join(map(str, years)),))
     return indicators.read_indicator(workspace(b), path)
 
 
@@ -161,3 +164,184 @@ def _(b):
     blobs = b.fx("fx_population_boxes").select("source_id", packed("x0", "y0", "x1", "y1").alias("geom"))
     shapes = blobs.select("source_id", decode_rings("geom").alias("rings"))
     return shapes.select("source_id", signed_area(F.col("rings")[0]["pts"]).alias("area"))
+
+
+def fresh(b, label: str) -> str:
+    return f"{shared_dir(b.spark)}/reachgrid/{b.spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+FEED_HEADS = {
+    "stops.txt": "stop_id,stop_name,stop_lat,stop_lon",
+    "trips.txt": "route_id,service_id,trip_id",
+    "stop_times.txt": "trip_id,departure_time,stop_id",
+}
+OPERATOR = "concat(event_type, '-', cast(user_id % 16 as string))"
+
+
+def zipped(lines: DataFrame, folder: str, hurt: str) -> None:
+    """Write (operator, member, value) as one feed for each operator, member by member; those of *hurt* lack their end."""
+
+    def write(batches):
+        import zipfile
+
+        import pyarrow as pa
+
+        from reachgrid.sources.feed_source import SUFFIX, opened
+
+        system, inside = opened(folder)
+        system.create_dir(inside)
+        now, stack = (None, None), []
+
+        def closed(bad):
+            for x in reversed(stack):
+                x.close()
+            stack.clear()
+            if bad:
+                with system.open_input_file(f"{inside}/{now[0]}{SUFFIX}") as file:
+                    whole = file.read()
+                with system.open_output_stream(f"{inside}/{now[0]}{SUFFIX}") as file:
+                    file.write(whole[: len(whole) // 2])
+
+        last_bad = False
+        for batch in batches:
+            for operator, member, value, bad in zip(*(c.to_pylist() for c in batch.columns)):
+                if operator != now[0]:
+                    closed(last_bad)
+                    out = system.open_output_stream(f"{inside}/{operator}{SUFFIX}")
+                    stack += [out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED)]
+                elif member != now[1]:
+                    stack.pop().close()
+                if (operator, member) != now:
+                    stack.append(stack[1].open(member, "w"))
+                    stack[-1].write((FEED_HEADS[member] + "\n").encode())
+                now, last_bad = (operator, member), bad
+                stack[-1].write((value + "\n").encode())
+        closed(last_bad)
+        yield pa.RecordBatch.from_arrays([pa.array([now[0]], pa.string())], names=["operator"])
+
+    ordered = lines.select("operator", "member", "value", F.expr(hurt).alias("bad")).repartition("operator").sortWithinPartitions("operator", "member", "value")
+    ordered.mapInArrow(write, "operator string").write.format("noop").mode("overwrite").save()
+
+
+@query(
+    "s13_timetable_feeds",
+    f"""with e as (select {OPERATOR.replace('as string', 'as varchar')} as operator, cast(hour(ts) as int) * 60 + cast(minute(ts) as int) as dep_min, * from events)
+        select operator, operator like 'click-%' and user_id % 16 = 7 as faulty,
+               case when operator like 'click-%' and user_id % 16 = 7 then 0 else count(*) end as stop_times,
+               case when operator like 'click-%' and user_id % 16 = 7 then 0 else sum(dep_min) end as minutes,
+               case when operator like 'click-%' and user_id % 16 = 7 then 0 else count(distinct event_id % 4000) end as trips,
+               case when operator like 'click-%' and user_id % 16 = 7 then 0 else count(distinct user_id) end as stops
+        from e group by operator, user_id % 16""",
+)
+def _(b):
+    """One zip file for each event type and sixteenth of the users; those of one operator in sixteen of a type are damaged."""
+    events = b.raw("events").withColumn("operator", F.expr(OPERATOR))
+    clock = F.date_format("ts", "HH:mm:ss")
+    trip, stop = (F.col("event_id") % 4000).cast("string"), F.col("user_id").cast("string")
+    lines = {
+        "stops.txt": events.select("operator", F.concat_ws(",", stop, F.concat(F.lit('"stop, '), stop, F.lit('"')), F.lit("43.0"), F.lit("-2.9")).alias("value")).distinct(),
+        "trips.txt": events.select("operator", F.concat(F.lit("r,s,"), trip).alias("value")).distinct(),
+        "stop_times.txt": events.select("operator", F.concat_ws(",", trip, clock, stop).alias("value")),
+    }
+    folder = fresh(b, "feeds")
+    parts = [df.withColumn("member", F.lit(m)) for m, df in lines.items()]
+    zipped(parts[0].unionByName(parts[1]).unionByName(parts[2]), folder, "operator = 'click-7'")
+    unpacked = gtfs.unpack(b.spark, folder)
+    times = gtfs.stop_times(unpacked).groupBy("operator").agg(
+        F.count("*").alias("stop_times"), F.sum("dep_min").alias("minutes"), F.count_distinct("trip_id").alias("trips")
+    )
+    stops = gtfs.stops(unpacked).groupBy("operator").agg(F.count("*").alias("stops"))
+    found = gtfs.feeds(b.spark, folder, unpacked).select("operator", F.col("fault").isNotNull().alias("faulty"))
+    out = found.join(times, "operator", "left").join(stops, "operator", "left")
+    return out.na.fill(0, ["stop_times", "minutes", "trips", "stops"])
+
+
+MATRIX_FILES = """m as (select departure_time, origin_cell_id as o, destination_id as d, travel_time_minutes as v, origin_cell_id % 2 as layout from fx_travel_times),
+    k as (select departure_time, case when layout = 1 and o % 11 = 0 then null else o end as o, d, case when layout = 0 then v else v + 100 end as v from m)"""
+
+
+def matrix_folder(b) -> str:
+    """Matrix files of two layouts for each slot, and some that are not accepted: of another mode, of a bad name, without times."""
+    folder = fresh(b, "matrices")
+    rows = b.fx("fx_travel_times")
+    plain = rows.where("origin_cell_id % 2 = 0").select(
+        "departure_time", F.col("origin_cell_id").alias("from_id"), F.col("destination_id").cast("int").alias("to_id"),
+        F.col("travel_time_minutes").alias("travel_time_p50"), (F.col("travel_time_minutes") + 1).alias("travel_time_p75"),
+    )
+    origin = F.when(F.col("origin_cell_id") % 11 == 0, F.lit("bad")).otherwise(F.col("origin_cell_id").cast("string"))
+    text = rows.where("origin_cell_id % 2 = 1").select(
+        "departure_time", origin.alias("from_id"), F.col("destination_id").cast("string").alias("to_id"), (F.col("travel_time_minutes") + 100).cast("string").alias("travel_time"),
+    )
+    digits = F.concat(F.substring("departure_time", 1, 2), F.substring("departure_time", 4, 2))
+    named(b, plain.withColumn("name", F.concat(F.lit("ttm_TRANSIT_"), digits)), folder)
+    named(b, text.withColumn("name", F.concat(F.lit("ttm_transit_"), digits)), folder)
+    named(b, plain.withColumn("name", F.concat(F.lit("ttm_walk_"), digits)), folder)
+    named(b, plain.withColumn("name", F.concat(F.lit("ttm_transit_"), F.substring("departure_time", 1, 2))), folder)
+    named(b, plain.drop("travel_time_p50", "travel_time_p75").withColumn("name", F.concat(F.lit("ttm_transit_1"), F.substring("departure_time", 2, 1), F.lit("30"))), folder)
+    return folder
+
+
+def named(b, rows: DataFrame, folder: str) -> None:
+    """Write the rows of each name as one Parquet file of that name."""
+
+    def write(batches):
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+
+        from reachgrid.sources.feed_source import opened
+
+        system, inside = opened(folder)
+        system.create_dir(inside)
+        now, out = None, None
+        for batch in batches:
+            names = batch.column("name").to_pylist()
+            own = batch.drop_columns(["name"])
+            starts = [i for i in range(len(names)) if i == 0 or names[i] != names[i - 1]]
+            for i, j in zip(starts, [*starts[1:], len(names)]):
+                if names[i] != now:
+                    if out is not None:
+                        out.close()
+                    now, out = names[i], pq.ParquetWriter(f"{inside}/{names[i]}.parquet", own.schema, filesystem=system)
+                out.write_batch(own.slice(i, j - i))
+        if out is not None:
+            out.close()
+        yield pa.RecordBatch.from_arrays([pa.array([now], pa.string())], names=["name"])
+
+    given = rows.drop("departure_time").repartition("name").sortWithinPartitions("name")
+    given.mapInArrow(write, "name string").write.format("noop").mode("overwrite").save()
+
+
+@query(
+    "s07_s08_matrix_files",
+    f"""with {MATRIX_FILES}
+        select departure_time, o as origin_cell_id, count(*) as n, sum(v) as minutes from k where o is not null and v between 0 and 120 group by departure_time, o""",
+    "minutes",
+)
+def _(b):
+    kept = od.import_od(workspace(b), matrix_folder(b))[0]
+    return kept.groupBy("departure_time", "origin_cell_id").agg(F.count("*").alias("n"), F.sum("travel_time_minutes").alias("minutes"))
+
+
+@query(
+    "s07_skipped_files",
+    """with s as (select distinct replace(departure_time, ':', '') as t from fx_travel_times)
+       select 'ttm_walk_' || t || '.parquet' as file, 'mode' as reason from s
+       union all select distinct 'ttm_transit_' || left(t, 2) || '.parquet', 'name' from s
+       union all select distinct 'ttm_transit_1' || substr(t, 2, 1) || '30.parquet', 'columns' from s""",
+)
+def _(b):
+    return od.skipped_files(workspace(b), matrix_folder(b))
+
+
+@query(
+    "a23_p05_file_report",
+    f"""with {MATRIX_FILES}
+        select 'TRANSIT' as mode, departure_time, count(*) filter (where o is not null and v between 0 and 120) as rows_kept,
+               count(*) filter (where o is null) as rows_not_numeric, count(*) filter (where o is not null and not v between 0 and 120) as rows_out_of_range,
+               count(*) filter (where o is null) as values_not_numeric
+        from k group by departure_time""",
+)
+def _(b):
+    """Counted while the rows are published."""
+    ws = Workspace(b.spark, fresh(b, "serving"), TENANT)
+    return import_travel_times(ws, matrix_folder(b))[1]

@@ -25,7 +25,7 @@ from reachgrid.params import ScoreParams, check_slot
 from reachgrid.plans.listings import settled
 from reachgrid.schemas import columns
 from reachgrid.session import scratch, written
-from reachgrid.sources.od import import_od
+from reachgrid.sources.od import import_od, watched_od
 from reachgrid.workspace import Workspace
 
 
@@ -129,9 +129,18 @@ def conservation(sources: DataFrame, people: DataFrame, masked: bool = False) ->
 
 
 def import_travel_times(ws: Workspace, path: str, origins: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Publish OD matrices from files, partitioned by slot; returns (table, report)."""
-    od, report = import_od(ws, path, origins=origins)
-    return ws.publish("travel_times", od, ["departure_time"]), report
+    """Publish OD matrices from files, partitioned by slot; returns (table, report).
+
+    The files are read once: the report is counted while the rows are written.
+    A task that ran twice may have been counted twice, so the rows kept are held
+    against the published table; if they differ, the files are counted again.
+    """
+    od, watched = watched_od(ws, path, origins=origins)
+    table = ws.publish("travel_times", od, ["departure_time"])
+    report = watched.report()
+    if origins is None and report.agg(F.coalesce(F.sum("rows_kept"), F.lit(0))).first()[0] != table.count():
+        report = import_od(ws, path)[1]
+    return table, report
 
 
 def run(ws: Workspace, od_path: str, params: ScoreParams | None = None, size: int = CELL_SIZE, use_mask: bool = True) -> dict[str, Any]:

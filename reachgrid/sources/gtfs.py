@@ -1,8 +1,8 @@
 """Timetable feeds: zip files to tables.
 
-Only unzipping and CSV splitting run in Python, in batches. A feed counts as a
-whole: its wanted members are first read to their ends, which checks their
-sums, and a feed with any damage gives no rows but a line with the reason. The
+:mod:`reachgrid.sources.feed_source` reads the members of the feeds side by
+side, each once. A feed counts as a whole: what is wrong with a member is known
+at its end, where its sum is checked, and then no row of the feed counts. The
 others go on.
 """
 
@@ -12,14 +12,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reachgrid.functions.text import clock_minutes
 from reachgrid.operators.ordering import number_rows
+from reachgrid.operators.sizes import if_small
 from reachgrid.operators.transit import WINDOWS, active_services, route_lines, running_stop_times, stop_frequency
 from reachgrid.schemas import columns
 from reachgrid.session import written
-from reachgrid.sources.sinks import filesystem
-
-SUFFIX = ".gtfs.zip"
-BATCH = 20_000
-
+from reachgrid.sources.feed_source import STATUS, SUFFIX, read_feeds
+from reachgrid.sources.versions import filesystem
 
 #: Members that are read, and their columns.
 WANTED = {
@@ -31,25 +29,26 @@ WANTED = {
     "calendar.txt": ["service_id", "monday"],
     "calendar_dates.txt": ["service_id", "exception_type"],
 }
-#: Member name of the line that says whether a feed could be read.
-STATUS = "status"
-
-
 def unpack(spark: SparkSession, path: str, wanted: dict[str, list[str]] | None = None) -> DataFrame:
-    """Rows of the wanted members of every feed: operator, member, row_no, cells.
+    """Rows of the wanted members of every sound feed: operator, member, row_no, cells.
 
-    One pass over the zip files, written by member. Columns a feed lacks are
-    null. The operator is the file name without its suffix. Each feed also has a
-    row of member ``status`` whose only cell is null, or says what is wrong.
+    Each member is read once, by a task of its own, and written. Columns a feed
+    lacks are null. The operator is the file name without its suffix. Each feed
+    also has a row of member ``status`` whose only cell is null, or says what is
+    wrong; a feed with a fault in a wanted member has no other rows.
     """
     fs, folder = filesystem(spark, path)
     names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
     if not any(n.endswith(SUFFIX) for n in names):
         raise FileNotFoundError(f"no {SUFFIX} files in {path}")
-    found = spark.read.format("binaryFile").option("pathGlobFilter", f"*{SUFFIX}").load(path)
-    zips = found.select(F.regexp_extract("path", r"([^/]+)\.gtfs\.zip$", 1).alias("operator"), "content")
-    rows = zips.mapInPandas(_unzip(wanted or WANTED, BATCH), "operator string, row_no bigint, cells array<string>, member string")
-    return written(rows, "feeds", ["member"])
+    read = written(read_feeds(spark, path, wanted or WANTED), "feed-members", ["member"])
+    told = read.where(F.col("member") == STATUS)
+    first = F.min(F.when(F.col("cells")[1].isNotNull(), F.col("cells")))
+    feeds = written(told.groupBy("operator").agg(first.alias("fault")).select("operator", F.col("fault")[1].alias("fault")), "feeds")
+    faulty = if_small(feeds.where("fault is not null").select("operator"))
+    rows = read.where(F.col("member") != STATUS).join(faulty, "operator", "left_anti").select("operator", "row_no", "cells", "member")
+    lines = feeds.select("operator", F.lit(1).cast("bigint").alias("row_no"), F.array("fault").alias("cells"), F.lit(STATUS).alias("member"))
+    return rows.unionByName(lines)
 
 
 def rows_of(unpacked: DataFrame, member: str, columns_of_member: list[str] | None = None) -> DataFrame:
@@ -64,50 +63,6 @@ def read_gtfs(spark: SparkSession, path: str, member: str, wanted: list[str]) ->
     return rows_of(unpack(spark, path, {member: wanted}), member, wanted)
 
 
-def _unzip(wanted: dict[str, list[str]], batch: int):
-    def lines(archive, member):
-        import csv
-        import io
-
-        with archive.open(member) as raw:
-            yield from csv.reader(io.TextIOWrapper(raw, encoding="utf-8-sig", newline=""))
-
-    def rows(frames):
-        import io
-        import itertools
-        import zipfile
-
-        import pandas as pd
-
-        def frame_of(operator, member, start, cells):
-            return pd.DataFrame({"operator": operator, "row_no": range(start, start + len(cells)), "cells": cells, "member": member})
-
-        for frame in frames:
-            for operator, content in zip(frame["operator"], frame["content"]):
-                fault = None
-                try:
-                    archive = zipfile.ZipFile(io.BytesIO(content))
-                    members = [m for m in wanted if m in archive.namelist()]
-                    for member in members:
-                        for _ in lines(archive, member):
-                            pass
-                except Exception as error:  # noqa: BLE001 - whatever is wrong with a feed, the others go on
-                    fault = f"{type(error).__name__}: {error}"
-                yield frame_of(operator, STATUS, 1, [[fault]])
-                for member in () if fault else members:
-                    reader = lines(archive, member)
-                    header = next(reader, [])
-                    at = [header.index(c) if c in header else None for c in wanted[member]]
-                    start = 1
-                    while part := list(itertools.islice(reader, batch)):
-                        cells = [[line[i] if i is not None and i < len(line) else None for i in at] for line in part if line]
-                        if cells:
-                            yield frame_of(operator, member, start, cells)
-                        start += len(cells)
-
-    return rows
-
-
 def stops(unpacked: DataFrame) -> DataFrame:
     """Stops with readable coordinates; of repeated ids all rows are kept."""
     raw = rows_of(unpacked, "stops.txt")

@@ -1,70 +1,8 @@
-"""Publishing tables, GeoJSON features and routing endpoints."""
+"""GeoJSON features and routing endpoints."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-
-from reachgrid.session import laid_out
-
-
-def filesystem(spark: SparkSession, path: str):
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
-
-
-def publish(df: DataFrame, root: str, name: str, partition_by: list[str] | None = None) -> str:
-    """Write a table so that readers see the old version or the new one, never a part.
-
-    Each version has its own directory. A small pointer names the current one
-    and is moved into place only after Spark has committed the data.
-    """
-    spark = df.sparkSession
-    version = f"{name}@{uuid.uuid4().hex}"
-    writer = laid_out(df, partition_by, _sorted_by(df)).write.mode("errorifexists")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(f"{root}/{version}")
-    fs, draft = filesystem(spark, f"{root}/.{version}.pointer")
-    stream = fs.create(draft, True)
-    try:
-        stream.write(bytearray(version.encode()))
-    finally:
-        stream.close()
-    jvm = spark._jvm
-    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), spark._jsc.hadoopConfiguration())
-    final = jvm.org.apache.hadoop.fs.Path(f"{root}/{name}.current")
-    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    context.rename(draft, final, options)
-    return f"{root}/{version}"
-
-
-def _sorted_by(df: DataFrame) -> list[str]:
-    """Cells are what single reports look up."""
-    return [c for c in ("cell_id", "origin_cell_id") if c in df.columns]
-
-
-def replace_partitions(df: DataFrame, root: str, name: str, column: str, values: list | None = None) -> str:
-    """Publish a version in which *df* stands for the rows of some values of *column*; all others stay.
-
-    *values* are the ones replaced, with or without rows in *df*; by default
-    those that occur in it, which must be few. Readers see the old version or
-    the new one. The rows that stay are copied, so this is meant for results,
-    which are far smaller than the travel times they come from.
-    """
-    from reachgrid.sources.tables import table_path
-
-    path = table_path(df.sparkSession, root, name)
-    if path is None:
-        return publish(df, root, name, [column])
-    if values is None:
-        values = [r[0] for r in df.select(column).distinct().collect()]
-    old = df.sparkSession.read.schema(df.schema).parquet(path)
-    stays = old if not values else old.where(F.col(column).isNull() | ~F.col(column).isin(values))
-    return publish(stays.unionByName(df.where(F.col(column).isin(values)) if values else df.limit(0)), root, name, [column])
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def point_geometry(lon: Column, lat: Column) -> Column:

@@ -3,19 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from reachgrid.functions.geo import CELL_SIZE, cell_xy, project_rings, unproject
 from reachgrid.operators.ordering import number_scan, scan_order
 from reachgrid.schemas import SCHEMAS, columns
-from reachgrid.sources.sinks import filesystem
+from reachgrid.sources.versions import filesystem, manifest, read_version
 from reachgrid.sources.wkb import decode_lines, decode_points, decode_rings
 
 
 def table_path(spark: SparkSession, root: str, name: str) -> str | None:
-    """Current version, else ``name.parquet`` (a file or a directory), else ``name``."""
-    fs, pointer = filesystem(spark, f"{root}/{name}.current")
-    if fs.exists(pointer):
-        return f"{root}/{spark.read.text(f'{root}/{name}.current').head()[0]}"
+    """``name.parquet`` (a file or a directory), else ``name``: tables that others wrote."""
     for candidate in (f"{root}/{name}.parquet", f"{root}/{name}"):
         fs, path = filesystem(spark, candidate)
         if fs.exists(path):
@@ -23,6 +21,10 @@ def table_path(spark: SparkSession, root: str, name: str) -> str | None:
     return None
 
 
+def exists(spark: SparkSession, root: str, name: str) -> bool:
+    return manifest(spark, root, name) is not None or table_path(spark, root, name) is not None
+
+
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """One serving table in the layout of :mod:`reachgrid.schemas`.
 
@@ -30,11 +32,18 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     files may call the geometry ``geometry``, hold it as WKB, and lack an id;
     they are brought into the same shape.
     """
+    wanted = columns(name)
+    version = manifest(spark, root, name)
+    if version is not None:
+        found = read_version(spark, root, name, version)
+        if not set(wanted) <= set(found.columns):
+            return conform(found, name)
+        fixed = StructType.fromDDL(SCHEMAS[name])
+        return read_version(spark, root, name, version, fixed).select(*wanted)
     path = table_path(spark, root, name)
     if path is None:
         raise FileNotFoundError(f"no table {name!r} under {root}")
     found = spark.read.parquet(path)
-    wanted = columns(name)
     if set(wanted) <= set(found.columns):
         return spark.read.schema(SCHEMAS[name]).parquet(path).select(*wanted)
     return conform(found, name)

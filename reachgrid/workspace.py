@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reachgrid.operators.contain import contains, polygon_edges
 from reachgrid.schemas import LAYERS, SCHEMAS
-from reachgrid.sources.sinks import publish, replace_partitions
-from reachgrid.sources.tables import read_table, table_path
+from reachgrid.sources.tables import exists, read_table
+from reachgrid.sources.versions import publish, replace_partitions
 
 # Fixed value: the tenant of the demo data.
 DEMO_TENANT = "00000000-0000-0000-0000-000000000001"
@@ -32,7 +32,7 @@ class Workspace:
         self.frames = dict(frames or {})
 
     def has(self, name: str) -> bool:
-        return name in self.frames or (self.root is not None and table_path(self.spark, self.root, name) is not None)
+        return name in self.frames or (self.root is not None and exists(self.spark, self.root, name))
 
     def table(self, name: str, required: bool = True) -> DataFrame:
         """Rows of this tenant; an optional table that is missing is empty."""

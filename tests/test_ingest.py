@@ -424,3 +424,78 @@ def test_imported_rings_feed_the_overlay(ws, tmp_path):
     table = layers.import_areas(ws, path, "municipalities")
     area = overlay.polygon_area(polygon_edges(table, "muni_code", "rings_m"), "muni_code").head().area
     assert area == pytest.approx(8140 * 11109 - 0.5 * 1630 * 2222, rel=0.01)
+
+
+def test_footers_are_read_by_tasks(ws, tmp_path):
+    """Two layouts, bad names and a damaged file; one scan for each slot and layout."""
+    folder = tmp_path / "od"
+    for i in range(6):
+        matrix(folder, f"ttm_transit_{7 + i:02d}00.parquet", [(str(i), "5", 10 + i), ("x", "5", 1), ("1", "5", 500)])
+    matrix(folder, "ttm_TRANSIT_0700.parquet", [(1, 5, 10.5, 99.0)], ("from_id", "to_id", "travel_time_p50", "travel_time_p25"))
+    matrix(folder, "ttm_transit_7.parquet", [("1", "5", 5)])
+    (folder / "ttm_transit_2300.parquet").write_bytes(b"PAR1 no parquet")
+    (folder / "other.parquet").write_bytes(b"x")
+    parts = od.branches(ws, str(folder))
+    assert [(m, s, len(df.inputFiles())) for m, s, df in parts] == [("TRANSIT", "07:00", 1), ("TRANSIT", "07:00", 1)] + [("TRANSIT", f"{8 + i:02d}:00", 1) for i in range(5)]
+    assert {(x.file, x.reason) for x in od.skipped_files(ws, str(folder)).collect()} == {("ttm_transit_7.parquet", "name"), ("ttm_transit_2300.parquet", "unreadable")}
+    plan = od.read_matrices(ws, str(folder)).where("departure_time = '08:00'")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation ") == 1
+    rows = sorted((r.departure_time, r.origin_cell_id, r.travel_time_minutes) for r in od.import_od(ws, str(folder))[0].collect())
+    # The least percentile of a layout counts.
+    assert rows == [("07:00", 0, 10.0), ("07:00", 1, 99.0)] + [(f"{8 + i:02d}:00", 1 + i, 11.0 + i) for i in range(5)]
+
+
+def test_the_import_report_is_counted_on_the_way(ws, tmp_path, monkeypatch):
+    from reachgrid.plans import jobs
+
+    folder = tmp_path / "od"
+    for i in range(3):
+        matrix(folder, f"ttm_transit_{7 + i:02d}00.parquet", [(str(k), "5", k * 3) for k in range(100)] + [("x", "y", 1), ("1", "5", -1)])
+    want = {tuple(r) for r in od.import_od(ws, str(folder))[1].collect()}
+    passes = []
+    monkeypatch.setattr(jobs, "import_od", lambda *a, **k: passes.append(a) or od.import_od(*a, **k))
+    table, report = jobs.import_travel_times(ws, str(folder))
+    assert {tuple(r) for r in report.collect()} == want and passes == [] and table.count() == 123
+    # Counts that do not agree with the table are taken again.
+    monkeypatch.setattr(od.Watched, "report", lambda self: ws.spark.createDataFrame([("TRANSIT", "07:00", 999, 0, 0, 0)], od.REPORT))
+    _, report = jobs.import_travel_times(ws, str(folder))
+    assert {tuple(r) for r in report.collect()} == want and len(passes) == 1
+
+
+def test_feed_members_are_read_apart(spark, tmp_path):
+    from reachgrid.sources import feed_source
+
+    folder = tmp_path / "gtfs"
+    folder.mkdir()
+    lines = "".join(f"s{i},\"name, {i}\nof two lines\",43.{i}\n" for i in range(3000))
+    with zipfile.ZipFile(folder / "A.gtfs.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("stops.txt", "﻿stop_id,stop_name,lat\n" + lines.replace("s7,", "s7,x\n\ns7b,", 1) + 'last,"a ""b""",1,2,3\n')
+        z.writestr("trips.txt", "trip_id\n")
+        z.writestr("empty.txt", "")
+        z.writestr("uneven.txt", "a,b,a\n" + "".join(f"{i},x\n" for i in range(20_000)))
+    (folder / "B.gtfs.zip").write_bytes(b"no zip")
+    wanted = {"stops.txt": ["lat", "stop_id", "none"], "trips.txt": ["trip_id"], "empty.txt": ["x"], "missing.txt": ["x"]}
+    df = feed_source.read_feeds(spark, str(folder), wanted, block=4096)
+    assert df.rdd.getNumPartitions() == 8
+    rows = {(r.operator, r.member, r.row_no): r.cells for r in df.collect()}
+    own = [rows["A", "stops.txt", i] for i in range(1, 3003)]
+    want = [[f"43.{i}", f"s{i}", None] for i in range(3000)]
+    want[7:8] = [[None, "s7", None], ["43.7", "s7b", None]]
+    assert own == want + [["1", "last", None]]
+    assert {k: v[1] is None for k, v in rows.items() if k[1] == "status" and k[0] == "A"} == {("A", "status", 0): True}
+    assert [r.cells[1] is None for r in df.where("operator = 'B' and member = 'status'").collect()] == [False] * 4
+    # A member that is asked for alone is read alone, in batches of a block.
+    reader = feed_source.FeedReader({"path": str(folder), "members": json.dumps(wanted), "block": "4096"})
+    from pyspark.sql.datasource import EqualTo
+
+    assert len(list(reader.pushFilters([EqualTo(("member",), "trips.txt")]))) == 1
+    assert [(p.operator, p.member) for p in reader.partitions()] == [("A", "trips.txt"), ("B", "trips.txt")]
+    reader = feed_source.FeedReader({"path": str(folder), "members": json.dumps(wanted), "block": "4096"})
+    batches = [b.num_rows for p in reader.partitions() if (p.operator, p.member) == ("A", "stops.txt") for b in reader.read(p)]
+    assert len(batches) > 10 and max(batches) < 400
+    # Rows that all lack a column come in blocks too; of equal names the first counts.
+    reader = feed_source.FeedReader({"path": str(folder), "members": json.dumps({"uneven.txt": ["a"]}), "block": "4096"})
+    parts = [b for b in reader.read(reader.partitions()[0])][:-1]
+    assert [c[0] for b in parts for c in b.column(3).to_pylist()] == [str(i) for i in range(20_000)]
+    assert [k for b in parts for k in b.column(2).to_pylist()] == list(range(1, 20_001))
+    assert len(parts) > 20 and max(b.num_rows for b in parts) < 2000
