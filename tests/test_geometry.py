@@ -261,3 +261,47 @@ def test_rings_without_an_inside_are_left_out(spark):
     assert {r.key for r in edges} == {"a"} and len(edges) == 4
     areas = df.select(F.transform("rings", lambda r: signed_area(r["pts"])).alias("a")).collect()
     assert [list(r.a) for r in areas] == [[1.0, 0.0, 0.0], [0.0]]
+
+
+def star(rng, n, radius, cx=0.0, cy=0.0):
+    turn = sorted(rng.random() * 2 * math.pi for _ in range(n))
+    return [(cx + math.cos(t) * radius * (0.6 + 0.4 * rng.random()), cy + math.sin(t) * radius * (0.6 + 0.4 * rng.random())) for t in turn]
+
+
+@pytest.mark.parametrize("tile", [37.0, 400.0, 10_000.0])
+def test_cover_by_brute_force(spark, tile):
+    """Stars with holes and corners on round coordinates, points on a grid of round coordinates among them."""
+    rng = random.Random(int(tile))
+    shapes = {i: [ring([(round(x), round(y)) for x, y in star(rng, 25, 600, rng.randrange(-300, 300), rng.randrange(-300, 300))])] for i in range(5)}
+    shapes[5] = [box(-500, -500, 500, 500), list(reversed(box(-200, -200, 200, 200)))]
+    x, y = (c.ravel().astype(float) for c in np.meshgrid(np.arange(-1000, 1001, 50), np.arange(-1000, 1001, 50)))
+    x, y = x + np.where(np.arange(len(x)) % 2, 0.5, 0.0), y + np.where(np.arange(len(x)) % 3, 0.25, 0.0)
+    points = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))], "id long, x double, y double")
+    given = edges(spark, "code", shapes)
+    got = {(r.id, r.code) for r in contains(points, given, "code", tile=tile).collect()}
+    want, unsure = set(), set()
+    for code, rings in shapes.items():
+        hit = np.zeros(x.shape, bool)
+        for r in rings:
+            hit ^= inside(r, x, y)
+            for (ax, ay), (bx, by) in zip(r, r[1:] + r[:1]):
+                on = ((bx - ax) * (y - ay) - (by - ay) * (x - ax) == 0) & (x >= min(ax, bx)) & (x <= max(ax, bx)) & (y >= min(ay, by)) & (y <= max(ay, by))
+                unsure |= {(int(i), code) for i in np.flatnonzero(on)}
+        want |= {(int(i), code) for i in np.flatnonzero(hit)}
+    assert got == want | unsure
+
+
+def test_cover_of_a_large_polygon(spark):
+    """100 km across: fewer than three filed rows for each edge, and most tiles need none."""
+    from reachgrid.operators.contain import filed_edges, tile_cover
+
+    rng = random.Random(4)
+    given = edges(spark, "code", {1: [ring([(50_000 + math.cos(t / 4000 * math.pi) * 50_000 + rng.random() * 40, 50_000 + math.sin(t / 4000 * math.pi) * 50_000) for t in range(8000)])]})
+    filed = filed_edges(given, "code", 2000.0)
+    assert filed.count() < 1.5 * given.count()
+    cover = tile_cover(given, filed, "code", 2000.0)
+    kinds = {r._inner: r["count"] for r in cover.groupBy("_inner").count().collect()}
+    assert cover.count() == cover.select("_tx", "_ty").distinct().count()
+    assert kinds[True] > 1500 and kinds[False] < 300
+    area = 4e6 * (kinds[True] + kinds[False] / 2)
+    assert area == pytest.approx(math.pi * 50_000**2, rel=0.02)
