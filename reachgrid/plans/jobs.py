@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from reachgrid.functions.geo import CELL_SIZE
 from reachgrid.operators.contain import polygon_edges
@@ -25,7 +30,8 @@ from reachgrid.params import ScoreParams, check_slot
 from reachgrid.plans.listings import settled
 from reachgrid.schemas import columns
 from reachgrid.session import scratch, written
-from reachgrid.sources.od import import_od, watched_od
+from reachgrid.sources.od import import_od, listing, watched_od
+from reachgrid.sources.versions import filesystem, manifest, place
 from reachgrid.workspace import Workspace
 
 
@@ -143,13 +149,92 @@ def import_travel_times(ws: Workspace, path: str, origins: DataFrame | None = No
     return table, report
 
 
-def run(ws: Workspace, od_path: str, params: ScoreParams | None = None, size: int = CELL_SIZE, use_mask: bool = True) -> dict[str, Any]:
-    """Grid, population, travel times and scores from imported layers and OD files."""
-    ws.publish("grid_cells", build_grid(ws, size))
-    cells, people = spread_population(ws, use_mask)
-    ws.publish("grid_cells", cells)
-    _, imported = import_travel_times(ws, od_path)
-    return {"population": people, "import": imported, **score(ws, params)}
+class RunRecord:
+    """What a run has done, so that one that was killed goes on where it was.
+
+    Every stage leaves a mark when its tables are published, named after its
+    inputs: parameters, versions of the tables it reads, and the stages before
+    it. A stage whose mark is there is skipped; when an input has changed, it and
+    all later ones run again. A finished run puts its marks aside. One run at a
+    time works on a workspace.
+    """
+
+    def __init__(self, ws: Workspace, kind: str, **given: Any) -> None:
+        if ws.root is None:
+            raise ValueError("a run needs a workspace with a root")
+        self.ws, self.folder, self.token = ws, f"{ws.root}/runs/{kind}", digest(kind, ws.tenant, given)
+        self.skipped: list[str] = []
+
+    def stage(self, name: str, reads: list[str], work: Callable[[], DataFrame | None], **given: Any) -> DataFrame | None:
+        """Do *work*, which publishes tables and may return a small report, or give the report of when it was done."""
+        versions = {t: v.number if (v := manifest(self.ws.spark, self.ws.root, t)) else None for t in reads}
+        self.token = digest(self.token, name, versions, given)
+        path = f"{self.folder}/{name}-{self.token}.json"
+        fs, mark = filesystem(self.ws.spark, path)
+        if fs.exists(mark):
+            self.skipped.append(name)
+            stream = fs.open(mark)
+            try:
+                said = json.loads(self.ws.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            finally:
+                stream.close()
+        else:
+            report = work()
+            # Reports have a row for each mode and slot at most.
+            said = None if report is None else {"schema": report.schema.json(), "rows": [list(r) for r in report.collect()]}
+            place(self.ws.spark, path, json.dumps(said))
+        if said is None:
+            return None
+        return self.ws.spark.createDataFrame([tuple(r) for r in said["rows"]], StructType.fromJson(json.loads(said["schema"])))
+
+    def finish(self) -> None:
+        fs, folder = filesystem(self.ws.spark, self.folder)
+        done = self.ws.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}-done-{uuid.uuid4().hex}")
+        fs.rename(folder, done)
+
+
+def digest(*parts: Any) -> str:
+    return hashlib.sha256(json.dumps(parts, sort_keys=True, default=str).encode()).hexdigest()[:16]
+
+
+SCORED = ("connectivity_scores", "combined_scores", "min_travel_times")
+
+
+def _grid_and_population(ws: Workspace, record: RunRecord, size: int, use_mask: bool) -> DataFrame | None:
+    record.stage("grid", ["boundaries"], lambda: ws.publish("grid_cells", build_grid(ws, size)) and None, size=size)
+
+    def people() -> DataFrame:
+        cells, report = spread_population(ws, use_mask)
+        ws.publish("grid_cells", cells)
+        return report
+
+    return record.stage("population", ["population_sources", "nucleos"], people, use_mask=use_mask)
+
+
+def _scores(ws: Workspace, record: RunRecord, params: ScoreParams | None) -> dict[str, DataFrame]:
+    record.stage("scores", ["destinations", "destination_types", "travel_times"], lambda: score(ws, params) and None, params=params or ScoreParams())
+    record.finish()
+    return {name: ws.table(name) for name in SCORED}
+
+
+def run(
+    ws: Workspace,
+    od_path: str,
+    params: ScoreParams | None = None,
+    size: int = CELL_SIZE,
+    use_mask: bool = True,
+    origins: DataFrame | None = None,
+) -> dict[str, Any]:
+    """Grid, population, travel times and scores from imported layers and OD files; goes on where a killed run was (:class:`RunRecord`).
+
+    *origins* (id, x, y) are the cells that the OD files were routed for, if the
+    grid has changed since.
+    """
+    record = RunRecord(ws, "full")
+    people = _grid_and_population(ws, record, size, use_mask)
+    files = sorted((r.path, r.length, str(r.modificationTime)) for r in listing(ws, od_path, "path", "length", "modificationTime").collect())
+    imported = record.stage("import", [], lambda: import_travel_times(ws, od_path, origins)[1], files=files)
+    return {"population": people, "import": imported, **_scores(ws, record, params), "skipped": record.skipped}
 
 
 def run_demo(
@@ -161,15 +246,18 @@ def run_demo(
     slots: tuple[str, ...] = SLOTS,
 ) -> dict[str, Any]:
     """As :func:`run`, with distance-based travel times in place of OD files."""
-    ws.publish("grid_cells", build_grid(ws, size))
-    cells, people = spread_population(ws)
-    ws.publish("grid_cells", cells)
-    ws.publish("destinations", destinations)
-    od = slot_od(
-        ws.table("grid_cells").select("id", "lon", "lat"),
-        ws.table("destinations").select("id", "lon", "lat"),
-        slots,
-        fraction=fraction,
-    ).withColumn("tenant_id", F.lit(ws.tenant))
-    ws.publish("travel_times", od.select(*columns("travel_times")), ["departure_time"])
-    return {"population": people, **score(ws, params)}
+    record = RunRecord(ws, "demo")
+    people = _grid_and_population(ws, record, size, True)
+
+    def travel() -> None:
+        ws.publish("destinations", destinations)
+        od = slot_od(
+            ws.table("grid_cells").select("id", "lon", "lat"),
+            ws.table("destinations").select("id", "lon", "lat"),
+            slots,
+            fraction=fraction,
+        ).withColumn("tenant_id", F.lit(ws.tenant))
+        ws.publish("travel_times", od.select(*columns("travel_times")), ["departure_time"])
+
+    record.stage("travel_times", [], travel, fraction=fraction, slots=slots)
+    return {"population": people, **_scores(ws, record, params), "skipped": record.skipped}

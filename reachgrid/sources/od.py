@@ -42,14 +42,14 @@ def value_column(names: list[str]) -> str | None:
 FOOTER = "path string, file string, from_type string, to_type string, value string, value_type string, fault string"
 
 
-def listing(ws, path: str) -> DataFrame:
-    """(path, file) of the matrix files of a folder, listed by Spark; no content is read."""
+def listing(ws, path: str, *names_of: str) -> DataFrame:
+    """(path, file), or the named columns, of the matrix files of a folder, listed by Spark; no content is read."""
     fs, folder = filesystem(ws.spark, path)
     names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
     if not any(n.startswith("ttm_") and n.endswith(".parquet") for n in names):
         raise FileNotFoundError(f"no ttm_*.parquet files in {path}")
     found = ws.spark.read.format("binaryFile").option("pathGlobFilter", "ttm_*.parquet").load(path)
-    return found.select("path", F.element_at(F.split("path", "/"), -1).alias("file"))
+    return found.select(*names_of) if names_of else found.select("path", F.element_at(F.split("path", "/"), -1).alias("file"))
 
 
 def footers(files: DataFrame) -> DataFrame:

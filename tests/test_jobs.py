@@ -334,3 +334,53 @@ def test_a_run_leaves_nothing_behind(spark, tmp_path):
         assert written(spark.range(3), "passing").count() == 3
         assert glob.glob(f"{shared_dir(spark)}/reachgrid/*/run-*/passing-*")
     assert not glob.glob(f"{shared_dir(spark)}/reachgrid/*/run-*") and kept.count() == 5
+
+
+def test_a_killed_run_goes_on(ws, tmp_path, monkeypatch):
+    """Killed after the import it resumes at scoring; a changed layer or file runs again what hangs on it."""
+    ws.publish("destinations", small_region(ws))
+    path = matrices(tmp_path / "od", range(1, 65), ["0800", "0830"])
+    done = []
+
+    def watched(name):
+        real = getattr(jobs, name)
+
+        def call(*args, **kwargs):
+            done.append(name)
+            return real(*args, **kwargs)
+
+        monkeypatch.setattr(jobs, name, call)
+        return real
+
+    for name in ("build_grid", "spread_population", "import_travel_times"):
+        watched(name)
+    score = jobs.score
+
+    def killed(*args, **kwargs):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(jobs, "score", killed)
+    with pytest.raises(KeyboardInterrupt):
+        jobs.run(ws, path)
+    assert done == ["build_grid", "spread_population", "import_travel_times"] and not ws.has("combined_scores")
+    done.clear()
+    monkeypatch.setattr(jobs, "score", score)
+    out = jobs.run(ws, path)
+    assert done == [] and out["skipped"] == ["grid", "population", "import"]
+    assert out["population"].head().allocated_population == pytest.approx(1400)
+    assert {r.departure_time: r.rows_kept > 0 for r in out["import"].collect()} == {"08:00": True, "08:30": True}
+    assert out["combined_scores"].count() == ws.table("combined_scores").count() > 0
+    # A finished run is not gone on with.
+    monkeypatch.setattr(jobs, "score", killed)
+    with pytest.raises(KeyboardInterrupt):
+        jobs.run(ws, path)
+    assert done == ["build_grid", "spread_population", "import_travel_times"]
+    done.clear()
+    # New population: the grid stays, all behind it runs again.
+    ws.publish("population_sources", ws.table("population_sources").withColumn("population", F.col("population") * 2))
+    monkeypatch.setattr(jobs, "score", score)
+    out = jobs.run(ws, path)
+    assert done == ["spread_population", "import_travel_times"] and out["skipped"] == ["grid"]
+    assert out["population"].head().allocated_population == pytest.approx(2800)
+    with pytest.raises(ValueError):
+        jobs.RunRecord(Workspace(ws.spark), "full")
