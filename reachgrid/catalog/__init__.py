@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("access", "cells", "region", "areas", "social", "geo", "transit", "tables", "files")
+MODULES = ("access", "cells", "region", "areas", "social", "geo", "transit", "tables", "files", "runs")
 
 
 def load() -> tuple[dict, dict]:

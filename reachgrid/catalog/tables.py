@@ -149,16 +149,14 @@ def _(b):
 
 @query(
     "u03_replace_by_type",
-    """select s_suppkey as id, s_nationkey as type_id from supplier where s_nationkey not in
-         (select c_nationkey from customer where c_nationkey >= 12)
+    """select s_suppkey as id, s_nationkey as type_id from supplier where s_nationkey not in (select c_nationkey * 2 from customer)
        union all
-       select c_custkey, c_nationkey from customer where c_nationkey >= 12""",
+       select c_custkey, c_nationkey * 2 from customer""",
 )
 def _(b):
     existing = b.raw("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("type_id"))
-    incoming = b.raw("customer").where("c_nationkey >= 12").select(
-        F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("type_id")
-    )
+    # Customers come in under twice their type, so suppliers of odd types stay.
+    incoming = b.raw("customer").select(F.col("c_custkey").alias("id"), (F.col("c_nationkey") * 2).alias("type_id"))
     return keys.replace_types(existing, incoming).unionByName(incoming)
 
 
@@ -303,11 +301,12 @@ def _(b):
 @query(
     "j14_sections_unmatched",
     """select cast(c_nationkey as varchar) as source_code, count(*) as n from customer
-       where c_nationkey not in (select s_nationkey from supplier where s_nationkey % 5 <> 0) group by c_nationkey""",
+       where c_nationkey not in (select s_nationkey + 5 from supplier) group by c_nationkey""",
 )
 def _(b):
-    polygons = b.raw("supplier").where("s_nationkey % 5 <> 0").select(
-        F.col("s_nationkey").cast("string").alias("join_key"), F.col("s_suppkey").alias("polygon")
+    # Polygons of all suppliers, under keys that the first sections do not have.
+    polygons = b.raw("supplier").select(
+        (F.col("s_nationkey") + 5).cast("string").alias("join_key"), F.col("s_suppkey").alias("polygon")
     )
     census = b.raw("customer").select(F.col("c_nationkey").cast("string").alias("source_code"), F.col("c_custkey").alias("population"))
     return match_sections(census, polygons, "polygon")[1].groupBy("source_code").agg(F.count("*").alias("n"))
