@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from reachgrid.functions.geo import project_rings
 from reachgrid.operators.ordering import number_rows
 from reachgrid.schemas import RINGS, columns
+from reachgrid.sources.features import feature_texts
 
 # Property names of the source layers and the province code.
 PROVINCE = "48"
@@ -41,15 +42,14 @@ RING = "array<array<double>>"
 def read_features(ws, path: str, lines: bool = False) -> DataFrame:
     """(props, geometry text) of every feature.
 
-    A feature collection is one JSON document per file; with *lines* the files
-    hold one feature per line and are read in splits.
+    A feature collection is one JSON document per file, which is read in byte
+    ranges (:mod:`reachgrid.sources.features`); with *lines* the files hold one
+    feature per line.
     """
     if lines:
         found = ws.spark.read.schema(FEATURE).json(path)
     else:
-        schema = "features array<struct<properties:map<string,string>,geometry:string>>"
-        document = ws.spark.read.schema(schema).option("multiLine", True).json(path)
-        found = document.select(F.explode("features").alias("f")).select("f.properties", "f.geometry")
+        found = feature_texts(ws.spark, path).select(F.from_json("text", FEATURE).alias("f")).select("f.properties", "f.geometry")
     return found.select(F.col("properties").alias("props"), "geometry")
 
 

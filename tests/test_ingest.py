@@ -499,3 +499,45 @@ def test_feed_members_are_read_apart(spark, tmp_path):
     assert [c[0] for b in parts for c in b.column(3).to_pylist()] == [str(i) for i in range(20_000)]
     assert [k for b in parts for k in b.column(2).to_pylist()] == list(range(1, 20_001))
     assert len(parts) > 20 and max(b.num_rows for b in parts) < 2000
+
+
+def odd_features(n):
+    rng = random.Random(n)
+    texts = ['a "quoted" {brace}', "back\\slash", "ends \\", '"features":[{', "}]", "é中\U0001f600", "", "\\\\\"", "tab\t\n"]
+    out = []
+    for i in range(n):
+        props = {"id": str(i), "name": rng.choice(texts), rng.choice(texts) or "k": rng.choice(texts)}
+        geometry = rng.choice([None, {"type": "Polygon", "coordinates": [[[rng.random(), 1.5], [2, 3], [4, i]]]}, {"type": "GeometryCollection", "geometries": [{"type": "Point", "coordinates": [i, 2]}]}])
+        out.append(feature(props, geometry))
+    return out
+
+
+@pytest.mark.parametrize("indent, ascii_", [(None, True), (2, False)])
+def test_collections_in_byte_ranges(spark, tmp_path, indent, ascii_):
+    """A document read in many ranges, some inside texts and some smaller than a feature, equals one that is read whole."""
+    from reachgrid.sources.features import feature_texts
+
+    given = odd_features(60)
+    given[7]["properties"]["long"] = "x{[\\\"" * 3000
+    document = {"type": "FeatureCollection", "bbox": [1, 2], "crs": {"a": [{"b": 1}], "features": [{"no": 1}]}, "other": [{"c": 1}], "features": given, "tail": [{"d": 2}]}
+    path = tmp_path / "c.json"
+    path.write_text(json.dumps(document, indent=indent, ensure_ascii=ascii_))
+    size = path.stat().st_size
+    for limit in (size * 2, size // 4 + 1, 3000, 211):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(limit))
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        spark.conf.set("spark.sql.files.minPartitionNum", "1")
+        try:
+            got = [json.loads(r.text) for r in feature_texts(spark, str(path)).collect()]
+        finally:
+            for key in ("maxPartitionBytes", "openCostInBytes", "minPartitionNum"):
+                spark.conf.unset(f"spark.sql.files.{key}")
+        assert sorted(got, key=lambda f: int(f["properties"]["id"])) == given, limit
+
+
+def test_collections_without_features(spark, tmp_path):
+    from reachgrid.sources.features import feature_texts
+
+    for i, text in enumerate(['{"type":"FeatureCollection","features":[]}', "{}", "", '{"features":{"a":[{"b":1}]}}', "[]"]):
+        (tmp_path / f"{i}.json").write_text(text)
+    assert feature_texts(spark, str(tmp_path)).collect() == []
