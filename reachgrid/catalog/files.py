@@ -166,6 +166,90 @@ def _(b):
     return shapes.select("source_id", signed_area(F.col("rings")[0]["pts"]).alias("area"))
 
 
+def collection(features: DataFrame, label: str) -> str:
+    """Write one column of features as feature collections, one document for each file."""
+    spark = features.sparkSession
+    path = f"{shared_dir(spark)}/reachgrid/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+    def documents(batches):
+        import pyarrow as pa
+
+        begun = False
+        for batch in batches:
+            values = batch.column(0).to_pylist()
+            lines = [("," if begun or i else '{"type":"FeatureCollection","features":[') + v for i, v in enumerate(values)]
+            begun = begun or bool(values)
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+        if begun:
+            yield pa.RecordBatch.from_arrays([pa.array(["]}"], pa.string())], names=["value"])
+
+    features.toDF("value").mapInArrow(documents, "value string").write.mode("errorifexists").text(path)
+    return path
+
+
+def box_features(b, properties: dict[str, Column]) -> DataFrame:
+    """A feature for each population box, with the supplier's name at hand."""
+    boxes = b.fx("fx_population_boxes").join(b.raw("supplier").select(F.col("s_suppkey").alias("source_id"), "s_name", "s_nationkey"), "source_id")
+    corners = [("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"), ("x0", "y0")]
+    ring = F.array(*[F.array(F.col(x), F.col(y)) for x, y in corners])
+    props = F.create_map(*[x for k, v in properties.items() for x in (F.lit(k), v)])
+    geometry = F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates"))
+    return boxes.select(F.to_json(F.struct(F.lit("Feature").alias("type"), props.alias("properties"), geometry.alias("geometry"))))
+
+
+PROVINCE_SQL = "case when s_nationkey < 5 then '20' else '48' end"
+
+
+def province() -> Column:
+    return F.when(F.col("s_nationkey") < 5, "20").otherwise("48")
+
+
+@query(
+    "s15_section_file",
+    f"""select '48' || lpad(cast(s_nationkey as varchar), 3, '0') || lpad(cast(s_suppkey % 10 as varchar), 2, '0') || lpad(cast(s_suppkey as varchar), 7, '0') as code,
+               s_name || ' {{"x"}}' as name, {BOX_AREA} as area
+        from fx_population_boxes join supplier on s_suppkey = source_id where {PROVINCE_SQL} = '48'""",
+    "area",
+)
+def _(b):
+    """Sections from collections; the names hold quotes and braces."""
+    path = collection(
+        box_features(
+            b,
+            {
+                "SEC_PROV": province(), "SEC_MUNI": padded(F.col("s_nationkey"), 3), "SEC_DIST": padded(F.col("source_id") % 10, 2),
+                "SEC_SECC": padded(F.col("source_id"), 7), "SEC_MUNI_D": F.concat(F.col("s_name"), F.lit(' {"x"}')),
+            },
+        ),
+        "sections",
+    )
+    areas = layers.import_sections(workspace(b), path)
+    return areas.select("code", "name", signed_area(F.col("rings")[0]["pts"]).alias("area"))
+
+
+@query(
+    "s16_settlement_file",
+    f"""select lpad(cast(s_suppkey as varchar), 7, '0') as code, case when s_suppkey % 9 = 0 then '99' else lpad(cast(s_suppkey % 9 as varchar), 2, '0') end as nucleo_num,
+               s_name as name, cast(s_nationkey as varchar) as muni_code, s_suppkey % 9 = 0 as dispersed, {BOX_AREA} as area
+        from fx_population_boxes join supplier on s_suppkey = source_id where {PROVINCE_SQL} = '48'""",
+    "area",
+)
+def _(b):
+    number = F.when(F.col("source_id") % 9 == 0, F.lit(" 99 ")).otherwise(padded(F.col("source_id") % 9, 2))
+    path = collection(
+        box_features(
+            b,
+            {
+                "NUC_PROV": province(), "NUC_CL": padded(F.col("source_id"), 7), "NUC_NUCD": number, "NUC_DS_O": F.col("s_name"),
+                "NUC_MUNI": F.col("s_nationkey").cast("string"),
+            },
+        ),
+        "settlements",
+    )
+    table, _ = layers.import_settlements(workspace(b), path)
+    return table.select("code", "nucleo_num", "name", "muni_code", (F.col("nucleo_num") == "99").alias("dispersed"), signed_area(F.col("rings")[0]["pts"]).alias("area"))
+
+
 def fresh(b, label: str) -> str:
     return f"{shared_dir(b.spark)}/reachgrid/{b.spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reachgrid.functions.geo import haversine_km
-from reachgrid.operators.sizes import if_small
+from reachgrid.operators.sizes import if_small, is_small
 
 # Speed, wait, reach and cut-off of the distance model, and the
 # time-of-day factors (hours from, to, speed factor, wait factor).
@@ -19,22 +19,76 @@ JITTER_LOW, JITTER_STEPS = 0.85, 31
 SLOTS = tuple(f"{h:02d}:{m:02d}" for h in range(24) for m in (0, 30))
 
 
-def near_pairs(cells: DataFrame, dests: DataFrame, reach: float, x: str = "x", y: str = "y") -> DataFrame:
+#: Points of a leaf of the tile tree, if it is not as deep as it may be.
+LEAF = 2048
+#: Times that a tile as wide as the reach may be cut in four.
+DEPTH = 6
+
+
+def near_pairs(cells: DataFrame, dests: DataFrame, reach: float, x: str = "x", y: str = "y", leaf: int = LEAF) -> DataFrame:
     """Cell and destination pairs at most *reach* apart in the plane.
 
-    Destinations are filed under their own tile and its eight neighbours; a cell
-    looks only into its own tile. The exact distance decides.
+    Few destinations are broadcast, filed under their own tile and its eight
+    neighbours; a cell looks only into its own tile. Beyond that see
+    :func:`leaf_pairs`. The exact distance decides.
     """
-    a = cells.select("*", *_tile(x, y, reach, "_tx", "_ty"))
-    around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
     b = dests.select(*[F.col(c).alias(f"d_{c}") for c in dests.columns])
-    b = b.select("*", *_tile(f"d_{x}", f"d_{y}", reach, "_cx", "_cy"))
-    b = b.select("*", around.alias("_i")).select("*", around.alias("_j"))
-    b = b.select(
-        *[f"d_{c}" for c in dests.columns], (F.col("_cx") + F.col("_i")).alias("_tx"), (F.col("_cy") + F.col("_j")).alias("_ty")
-    )
     apart = F.sqrt(F.pow(F.col(x) - F.col(f"d_{x}"), 2) + F.pow(F.col(y) - F.col(f"d_{y}"), 2))
-    return a.join(if_small(b), ["_tx", "_ty"]).withColumn("metres", apart).where(F.col("metres") <= reach).drop("_tx", "_ty")
+    if is_small(dests):
+        a = cells.select("*", *_tile(x, y, reach, "_tx", "_ty"))
+        near = F.broadcast(around(b.select("*", *_tile(f"d_{x}", f"d_{y}", reach, "_tx", "_ty"))))
+        met = a.join(near, ["_tx", "_ty"]).drop("_tx", "_ty")
+    else:
+        met = leaf_pairs(cells, b, reach, (x, y), (f"d_{x}", f"d_{y}"), leaf)
+    return met.withColumn("metres", apart).where(F.col("metres") <= reach)
+
+
+def around(tiled: DataFrame) -> DataFrame:
+    """Each row under its tile (_tx, _ty) and the eight tiles around it."""
+    step = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+    spread = tiled.select("*", step.alias("_i")).select("*", step.alias("_j"))
+    return spread.withColumns({"_tx": F.col("_tx") + F.col("_i"), "_ty": F.col("_ty") + F.col("_j")}).drop("_i", "_j")
+
+
+def leaves_of(points: DataFrame, x: str, y: str, reach: float, leaf: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """(points with the leaf of a quad-tree that each lies in, the leaves with their tiles of the reach's width).
+
+    A tile with more than *leaf* points is cut in four, DEPTH times at most. The
+    tree comes from counts in the smallest tiles; no point is moved for it.
+    """
+    fine = [F.floor(F.col(c) / F.lit(reach / (1 << DEPTH))).cast("bigint").alias(n) for c, n in ((x, "_fx"), (y, "_fy"))]
+    placed = points.select("*", *fine)
+    counts = placed.groupBy("_fx", "_fy").agg(F.count("*").alias("_n"))
+    level = F.lit(DEPTH)
+    for k in reversed(range(DEPTH)):
+        tile = [F.shiftright(F.col(c), DEPTH - k) for c in ("_fx", "_fy")]
+        # A tile has at most 4 ** DEPTH rows here.
+        level = F.when(F.sum("_n").over(Window.partitionBy(*tile)) <= leaf, k).otherwise(level)
+    shifted = counts.select("_fx", "_fy", level.alias("_level"))
+    own = F.struct("_level", *[F.expr(f"shiftright({c}, {DEPTH} - _level)").alias(n) for c, n in (("_fx", "_lx"), ("_fy", "_ly"))])
+    tree = shifted.select("_fx", "_fy", own.alias(name))
+    wide = [F.shiftright(F.col(c), DEPTH).alias(n) for c, n in (("_fx", "_tx"), ("_fy", "_ty"))]
+    return placed.join(if_small(tree), ["_fx", "_fy"]).drop("_fx", "_fy"), tree.select(name, *wide).distinct()
+
+
+def leaf_pairs(cells: DataFrame, dests: DataFrame, reach: float, own: tuple[str, str], theirs: tuple[str, str], leaf: int = LEAF) -> DataFrame:
+    """Cells with destinations in leaves that come within *reach* of each other.
+
+    A pair of leaves is a join key, so that none has more than the square of
+    *leaf* pairs, however many points a city has. Leaves too far apart are left
+    out by the distance of their tiles.
+    """
+    a, a_leaves = leaves_of(cells, *own, reach, leaf, "_a")
+    b, b_leaves = leaves_of(dests, *theirs, reach, leaf, "_b")
+
+    def gap(axis: str) -> Column:
+        sides = [F.lit(reach) / F.pow(F.lit(2.0), F.col(f"{n}._level")) for n in ("_a", "_b")]
+        low = [F.col(f"{n}.{axis}") * side for n, side in zip(("_a", "_b"), sides)]
+        return F.greatest(F.lit(0.0), low[1] - low[0] - sides[0], low[0] - low[1] - sides[1])
+
+    # A little more than the reach, for the rounding of tile borders.
+    pairs = a_leaves.join(around(b_leaves), ["_tx", "_ty"]).where(F.hypot(gap("_lx"), gap("_ly")) <= reach * (1 + 1e-9)).select("_a", "_b")
+    return a.join(if_small(pairs), "_a").join(b.join(if_small(pairs), "_b"), ["_a", "_b"]).drop("_a", "_b")
 
 
 def _tile(x: str, y: str, side: float, tx: str, ty: str) -> list[Column]:

@@ -8,6 +8,12 @@ from pyspark.sql import DataFrame, functions as F
 BROADCAST_ROWS = 500_000
 
 
+def is_small(df: DataFrame, rows: int | None = None) -> bool:
+    """Whether *df* has at most *rows* rows, by a count that stops early."""
+    rows = BROADCAST_ROWS if rows is None else rows
+    return df.select(F.lit(1)).limit(rows + 1).count() <= rows
+
+
 def if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Mark *df* for broadcast when it has at most *rows* rows, else leave it alone.
 
@@ -15,6 +21,4 @@ def if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
     a small one that is itself joined. A count that stops early settles it. A
     side that is too large is joined by shuffle, where AQE splits hot keys.
     """
-    rows = BROADCAST_ROWS if rows is None else rows
-    found = df.select(F.lit(1)).limit(rows + 1).count()
-    return F.broadcast(df) if found <= rows else df
+    return F.broadcast(df) if is_small(df, rows) else df

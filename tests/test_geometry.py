@@ -305,3 +305,27 @@ def test_cover_of_a_large_polygon(spark):
     assert kinds[True] > 1500 and kinds[False] < 300
     area = 4e6 * (kinds[True] + kinds[False] / 2)
     assert area == pytest.approx(math.pi * 50_000**2, rel=0.02)
+
+
+@pytest.mark.parametrize("leaf", [8, 60])
+def test_near_pairs_in_leaves(spark, monkeypatch, leaf):
+    """Most points in two small towns: the same pairs as all with all, and no join key with more than its share."""
+    from reachgrid.operators import sizes
+    from reachgrid.operators.distance import DEPTH, leaf_pairs, leaves_of, near_pairs
+
+    rng = np.random.default_rng(leaf)
+    towns = np.concatenate([rng.normal((300, -900), 60, (150, 2)), rng.normal((-2500, 400), 40, (100, 2)), rng.uniform(-4000, 4000, (80, 2)), [[0.0, 0.0]] * 5])
+    shops = np.concatenate([rng.normal((320, -880), 80, (150, 2)), rng.uniform(-4000, 4000, (60, 2)), [[0.0, 1000.0]] * 3])
+    frames = [spark.createDataFrame([(i, float(p[0]), float(p[1])) for i, p in enumerate(pts)], "id long, x double, y double") for pts in (towns, shops)]
+    apart = np.hypot(*(towns[:, None, :] - shops[None, :, :]).transpose(2, 0, 1))
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(apart <= 1000.0))}
+    few = {(r.id, r.d_id) for r in near_pairs(*frames, 1000.0).collect()}
+    monkeypatch.setattr(sizes, "BROADCAST_ROWS", 0)
+    got = [(r.id, r.d_id) for r in near_pairs(*frames, 1000.0, leaf=leaf).collect()]
+    assert set(got) == want == few and len(got) == len(want)
+    points, leaves = leaves_of(frames[0], "x", "y", 1000.0, leaf, "_a")
+    sizes_ = points.groupBy("_a").count().collect()
+    assert len(sizes_) == leaves.count() and all(r["count"] <= leaf or r["_a"]["_level"] == DEPTH for r in sizes_)
+    renamed = frames[1].toDF("d_id", "d_x", "d_y")
+    tried = leaf_pairs(frames[0], renamed, 1000.0, ("x", "y"), ("d_x", "d_y"), leaf).count()
+    assert tried < 0.75 * len(towns) * len(shops)

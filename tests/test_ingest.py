@@ -541,3 +541,100 @@ def test_collections_without_features(spark, tmp_path):
     for i, text in enumerate(['{"type":"FeatureCollection","features":[]}', "{}", "", '{"features":{"a":[{"b":1}]}}', "[]"]):
         (tmp_path / f"{i}.json").write_text(text)
     assert feature_texts(spark, str(tmp_path)).collect() == []
+
+
+def by_recursion(buf, at=0):
+    """(kind, value), next place: one geometry after the other."""
+    order = "<" if buf[at] == 1 else ">"
+    code = struct.unpack_from(order + "I", buf, at + 1)[0]
+    at += 9 if code & 0x20000000 else 5
+    flags, code = code & 0xC0000000, code & 0x0FFFFFFF
+    dims = 2 + (bin(flags).count("1") if flags else {0: 0, 1: 1, 2: 1, 3: 2}[code // 1000])
+    code %= 1000
+
+    def run(at, n):
+        if at + 8 * dims * n > len(buf):
+            raise ValueError
+        return [struct.unpack_from(order + f"{dims}d", buf, at + 8 * dims * i)[:2] for i in range(n)], at + 8 * dims * n
+
+    if code == 1:
+        pts, at = run(at, 1)
+        return ("point", pts[0]), at
+    n = struct.unpack_from(order + "I", buf, at)[0]
+    at += 4
+    if code == 2:
+        pts, at = run(at, n)
+        return ("lines", [pts]), at
+    if code == 3:
+        rings = []
+        for _ in range(n):
+            size = struct.unpack_from(order + "I", buf, at)[0]
+            pts, at = run(at + 4, size)
+            rings.append(pts[:-1] if pts and pts[0] == pts[-1] else pts)
+        return ("polygons", [rings] if rings else []), at
+    members = []
+    for _ in range(n):
+        member, at = by_recursion(buf, at)
+        members.append(member)
+    kind = {5: "lines", 6: "polygons", 7: "polygons"}.get(code, "none")
+    return (kind, [p for m in members if m[0] == kind for p in m[1]] if kind != "none" else []), at
+
+
+def blob(rng, depth=0, only=None):
+    order, dims = rng.choice("<>"), rng.choice([2, 2, 3, 4])
+    code = only or rng.choice([1, 2, 3, 3, 4, 5, 6, 6, 7, 7] if depth < 3 else [1, 2, 3])
+    style = rng.randrange(3)
+    head = {2: [0, 0, 0], 3: [1000, 0x80000000, 0x40000000], 4: [3000, 0xC0000000, 0xC0000000]}[dims][style] + code
+    srid = style and rng.random() < 0.3
+    out = struct.pack(order + "BI", order == "<", head | (0x20000000 if srid else 0)) + (struct.pack(order + "I", 4326) if srid else b"")
+    point = lambda: struct.pack(order + f"{dims}d", *[rng.randrange(9) for _ in range(dims)])
+    if code == 1:
+        return out + point()
+    n = rng.randrange(4)
+    out += struct.pack(order + "I", n)
+    for _ in range(n):
+        if code == 2:
+            out += point()
+        elif code == 3:
+            pts = [point() for _ in range(rng.randrange(5))]
+            pts += pts[:1] if rng.random() < 0.7 else []
+            out += struct.pack(order + "I", len(pts)) + b"".join(pts)
+        else:
+            out += blob(rng, depth + 1, {4: 1, 5: 2, 6: 3}.get(code))
+    return out
+
+
+def test_blobs_by_recursion():
+    import pyarrow as pa
+
+    from reachgrid.sources import wkb
+
+    rng = random.Random(9)
+    blobs = [blob(rng) for _ in range(3000)]
+    for i in range(0, 3000, 4):
+        b = bytearray(blobs[i])
+        if rng.random() < 0.5:
+            b = b[: rng.randrange(len(b))]
+        elif len(b) > 6:
+            b[rng.randrange(len(b))] ^= 1 << rng.randrange(8)
+        blobs[i] = bytes(b)
+    blobs[5] = blobs[6] = None
+    rings, lines, points = [], [], []
+    for b in blobs:
+        try:
+            kind, value = ("none", None) if b is None else by_recursion(b)[0]
+        except (struct.error, ValueError, IndexError, KeyError, RecursionError):
+            kind = "bad"
+        rings.append(None if kind == "bad" else [(i, j, r) for i, part in enumerate(value) for j, r in enumerate(part)] if kind == "polygons" else [])
+        lines.append(None if kind == "bad" or b is None else value if kind == "lines" else [])
+        points.append(value if kind == "point" else (None, None))
+    column = pa.array(blobs, pa.binary())
+    pts = lambda x: [(p["x"], p["y"]) for p in x]
+    shown = repr  # a NaN equals itself in text
+    for a, b in zip([None if x is None else [(r["part"], r["ring"], pts(r["pts"])) for r in x] for x in wkb.rings_of(column).to_pylist()], rings):
+        assert shown(a) == shown(b)
+    for a, b in zip([None if x is None else [pts(line) for line in x] for x in wkb.lines_of(column).to_pylist()], lines):
+        assert shown(a) == shown(b)
+    for a, b in zip([(p["x"], p["y"]) for p in wkb.points_of(column).to_pylist()], points):
+        assert shown(a) == shown(b)
+    assert wkb.rings_of(column[10:10]).to_pylist() == [] and len(wkb.rings_of(column[7:90])) == 83
