@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from reachgrid.catalog.bindings import TENANT
 from reachgrid.catalog.files import fresh, named
@@ -11,6 +13,7 @@ from reachgrid.catalog.registry import query
 from reachgrid.params import ScoreParams
 from reachgrid.plans import jobs
 from reachgrid.sources import versions
+from reachgrid.sources.seed import seed_reference
 from reachgrid.workspace import Workspace
 
 #: Cells of a grid that was numbered otherwise.
@@ -95,3 +98,32 @@ def _(b):
     out = jobs.run(ws, folder, origins=origins)
     grid = ws.table("grid_cells").select(F.col("id").alias("cell_id"), "cell_code", "population")
     return out["combined_scores"].join(grid, "cell_id").select("cell_code", "population", "departure_time", "combined_score")
+
+
+@query(
+    "s03_missing_tables",
+    """select 'destinations' as name, count(*) as n from supplier union all select 'municipalities', count(*) from nation
+       union all select 'travel_times', count(*) from fx_travel_times
+       union all select unnest(['gtfs_stops', 'gtfs_routes', 'nucleos', 'stop_frequency']), 0""",
+)
+def _(b):
+    """Tables that were never written are empty, and counted as such beside those that were."""
+    ws = b.workspace()
+    names = ("destinations", "municipalities", "travel_times", "gtfs_stops", "gtfs_routes", "nucleos", "stop_frequency")
+    counts = [ws.table(n, required=False).agg(F.lit(n).alias("name"), F.count("*").alias("n")) for n in names]
+    return reduce(DataFrame.unionByName, counts)
+
+
+@query(
+    "s20_seeded_types",
+    """select t.id, t.code, array_to_string(list_transform(string_split(t.code, '_'), lambda w: upper(w[1]) || lower(w[2:])), ' ') as label,
+              count(d.id) as places, coalesce(sum(d.weight), 0) as weight
+       from types t left join fx_destinations d on d.type_id = t.id group by t.id, t.code""",
+    "weight",
+)
+def _(b):
+    """Destinations by the types that a new tenant starts with."""
+    ws = b.workspace()
+    places = ws.table("destinations").groupBy(F.col("type_id").alias("id")).agg(F.count("*").alias("places"), F.sum("weight").alias("weight"))
+    types = seed_reference(ws)["destination_types"].select("id", "code", "label")
+    return types.join(places, "id", "left").na.fill(0, ["places", "weight"])
