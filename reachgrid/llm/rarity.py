@@ -66,7 +66,8 @@ def frequencies(texts: DataFrame, tokens: Callable[[pa.Array], Iterator[np.ndarr
                 elif len(at) > size // 8:
                     total += np.bincount(at, minlength=size).astype(np.uint32)
                 else:
-                    np.add.at(total, at, 1)
+                    # A number of the same type, or it goes the slow way.
+                    np.add.at(total, at, total.dtype.type(1))
         part = TaskContext.get().partitionId()
         if total.any():
             for i, values in enumerate(total.reshape(-1, min(SEGMENT, size))):
