@@ -23,26 +23,35 @@ SLOTS = tuple(f"{h:02d}:{m:02d}" for h in range(24) for m in (0, 30))
 LEAF = 2048
 #: Times that a tile as wide as the reach may be cut in four.
 DEPTH = 6
+#: Pairs that a task looks at where destinations are broadcast.
+PAIRS = 4_000_000
 
 
 def near_pairs(cells: DataFrame, dests: DataFrame, reach: float, x: str = "x", y: str = "y", leaf: int = LEAF) -> DataFrame:
     """Cell and destination pairs at most *reach* apart in the plane.
 
-    Few destinations are broadcast, filed under their own tile and its eight
-    neighbours; a cell looks only into its own tile. Beyond that see
+    Few destinations are broadcast, filed under their own tile; a cell looks
+    into its own tile and its eight neighbours. Beyond that see
     :func:`leaf_pairs`. The exact distance decides.
     """
     b = dests.select(*[F.col(c).alias(f"d_{c}") for c in dests.columns])
     apart = F.sqrt(F.pow(F.col(x) - F.col(f"d_{x}"), 2) + F.pow(F.col(y) - F.col(f"d_{y}"), 2))
     if is_small(dests):
         a = cells.select("*", *_tile(x, y, reach, "_tx", "_ty"))
-        near = F.broadcast(around(b.select("*", *_tile(f"d_{x}", f"d_{y}", reach, "_tx", "_ty"))))
-        met = a.join(near, ["_tx", "_ty"]).drop("_tx", "_ty")
+        near = b.select("*", *_tile(f"d_{x}", f"d_{y}", reach, "_tx", "_ty"))
+        met = around(dealt(a, near)).join(F.broadcast(near), ["_tx", "_ty"]).drop("_tx", "_ty")
     else:
         met = leaf_pairs(cells, b, reach, (x, y), (f"d_{x}", f"d_{y}"), leaf)
     return met.withColumn("metres", apart).where(F.col("metres") <= reach)
 
 
+def dealt(cells: DataFrame, dests: DataFrame) -> DataFrame:
+    """Cells dealt out evenly, by the pairs that they meet: a small table of cells is one file split, and so one task."""
+    n, m = (df.groupBy("_tx", "_ty").agg(F.count("*").alias(c)) for df, c in ((cells, "_n"), (dests, "_m")))
+    pairs = around(n).join(m, ["_tx", "_ty"]).agg(F.sum(F.col("_n") * F.col("_m"))).head()[0] or 0
+    return cells.repartition(-(-pairs // PAIRS)) if pairs > PAIRS else cells
+
+
 def around(tiled: DataFrame) -> DataFrame:
     """Each row under its tile (_tx, _ty) and the eight tiles around it."""
     step = F.explode(F.sequence(F.lit(-1), F.lit(1)))
@@ -161,8 +170,15 @@ def slot_od(
 
     pairs = near_pairs(flat(cells), flat(dests), reach_km * 1.01)
     km_apart = haversine_km(F.col("lon"), F.col("lat"), F.col("d_lon"), F.col("d_lat"))
+    # Slots of the same factors have the same minutes, which are found once.
+    alike: dict[tuple[float, float], list[str]] = {}
+    for slot, *pair in factors:
+        alike.setdefault(tuple(pair), []).append(slot)
     table = F.array(
-        *[F.struct(F.lit(s).alias("slot"), F.lit(a).alias("speed"), F.lit(b).alias("wait")) for s, a, b in factors]
+        *[
+            F.struct(F.array(*map(F.lit, names)).alias("slots"), F.lit(a).alias("speed"), F.lit(b).alias("wait"))
+            for (a, b), names in alike.items()
+        ]
     )
     wobble = (
         F.lit(JITTER_LOW) + F.pmod(F.xxhash64("id", "d_id", F.lit(mode)), F.lit(JITTER_STEPS)) / 100.0
@@ -178,7 +194,8 @@ def slot_od(
             F.col("id").alias("origin_cell_id"),
             F.col("d_id").alias("destination_id"),
             F.lit(mode).alias("mode"),
-            F.col("f.slot").alias("departure_time"),
+            F.col("f.slots").alias("slots"),
             F.round(F.greatest("minutes", F.lit(1.0)), 1).alias("travel_time_minutes"),
         )
+        .select("origin_cell_id", "destination_id", "mode", F.explode("slots").alias("departure_time"), "travel_time_minutes")
     )

@@ -329,3 +329,44 @@ def test_near_pairs_in_leaves(spark, monkeypatch, leaf):
     renamed = frames[1].toDF("d_id", "d_x", "d_y")
     tried = leaf_pairs(frames[0], renamed, 1000.0, ("x", "y"), ("d_x", "d_y"), leaf).count()
     assert tried < 0.75 * len(towns) * len(shops)
+
+
+def test_near_cells_of_one_file_split_are_dealt_over_tasks(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from reachgrid.operators import distance
+
+    monkeypatch.setattr(distance, "PAIRS", 500)
+    ids = F.col("id")
+    cells = spark.range(0, 100, 1, 1).select("id", (ids * 10).cast("double").alias("x"), (ids * 7 % 90).cast("double").alias("y"))
+    dests = spark.range(40).select("id", (ids * 31 % 1000).cast("double").alias("x"), (ids * 13 % 95).cast("double").alias("y"))
+    met = distance.near_pairs(cells, dests, 300.0)
+    assert met.select(F.spark_partition_id()).distinct().count() > 1
+    a, b = cells.collect(), dests.collect()
+    want = {(p.id, q.id) for p in a for q in b if math.hypot(p.x - q.x, p.y - q.y) <= 300}
+    got = [(r.id, r.d_id) for r in met.collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_minutes_of_every_slot_by_brute_force(spark):
+    """Minutes are found once for slots of the same factors: there are four, not 48."""
+    from reachgrid.operators.distance import CUT_MIN, SPEED_KMH, WAIT_MIN, slot_factors
+
+    places = [(i, -2.0 + i * 0.013, 43.0 + i * i % 7 * 0.01) for i in range(12)]
+    c = spark.createDataFrame(places, "id long, lon double, lat double")
+    od = slot_od(c, c, jitter=False)
+    got = {(r.origin_cell_id, r.destination_id, r.departure_time): r.travel_time_minutes for r in od.collect()}
+
+    def km(p, q):
+        la, lb = math.radians(p[2]), math.radians(q[2])
+        h = math.sin((lb - la) / 2) ** 2 + math.cos(la) * math.cos(lb) * math.sin(math.radians(q[1] - p[1]) / 2) ** 2
+        return 2 * 6371 * math.atan2(math.sqrt(h), math.sqrt(1 - h))
+
+    want = {
+        (p[0], q[0], slot): minutes
+        for p in places
+        for q in places
+        for slot, speed, wait in slot_factors()
+        if (minutes := km(p, q) / SPEED_KMH * 60 * speed + WAIT_MIN * wait) <= CUT_MIN
+    }
+    assert set(got) == set(want) and len({k[2] for k in got}) == 48
+    assert all(abs(got[k] - max(want[k], 1)) <= 0.0500001 for k in got)
