@@ -18,6 +18,8 @@ from reachgrid.workspace import Workspace
 
 TENANT = "demo"
 SLOT = "08:00"
+#: Rows of travel times in a part; rows are narrow, so that parts by bytes would be long.
+PART = 500_000
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
@@ -93,6 +95,10 @@ FX: dict[str, str] = {
         from events""",
 }
 
+# Slots of the lines of an order, as in ``fx_travel_times``; all later lines have the last.
+LINE_SLOTS = ("07:00", "07:30", "08:00", "08:30", "09:00", "09:30")
+LAST_SLOT = "10:00"
+
 
 @cache
 def _read(spark: SparkSession, app: str, path: str) -> DataFrame:
@@ -146,8 +152,24 @@ class Bound:
         )
 
     def travel_times(self) -> DataFrame:
-        return self.fx("fx_travel_times").select(
-            tenant(), "origin_cell_id", "destination_id", "mode", "travel_time_minutes", "departure_time"
+        """The rows of ``fx_travel_times``, dealt by cell in parts of bounded size.
+
+        They are moved once for their own grouping and for any by cell behind
+        it; no task's groups outgrow its memory.
+        """
+        lines = self.raw("lineitem")
+        parts = -(-lines.count() // PART)
+        met = lines.join(self.raw("orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(
+            "o_custkey", "l_suppkey", "l_linenumber", (F.col("l_quantity") * 2.5).alias("minutes")
+        )
+        # Few rows are left to AQE.
+        dealt = met.repartition(max(parts, self.spark.sparkContext.defaultParallelism), "o_custkey") if parts > 1 else met.repartition("o_custkey")
+        least = dealt.groupBy("o_custkey", "l_suppkey", "l_linenumber").agg(F.min("minutes").alias("travel_time_minutes"))
+        slot = F.get(F.array(*map(F.lit, LINE_SLOTS)), F.col("l_linenumber") - 1)
+        return least.select(
+            tenant(), F.col("o_custkey").alias("origin_cell_id"), F.col("l_suppkey").alias("destination_id"),
+            F.lit("TRANSIT").alias("mode"), "travel_time_minutes",
+            F.coalesce(slot, F.lit(LAST_SLOT)).alias("departure_time"),
         )
 
     def municipalities(self) -> DataFrame:
@@ -199,7 +221,7 @@ def _scored(spark: SparkSession, app: str, folder: str) -> Workspace:
     frames = bound.inputs()
     ws = Workspace(spark, None, TENANT, frames)
     for name, df in score_frames(ws, store=True).items():
-        frames[name] = written(df, name, ["departure_time"])
+        frames[name] = written(df, name, ["departure_time"], move=False)
     ws = Workspace(spark, None, TENANT, frames)
     for layer in ("municipalities", "comarcas"):
         frames[f"{layer}_cells"] = written(ws.area_cells(layer), f"{layer}_cells")
